@@ -1,0 +1,91 @@
+"""Results and table states on a shared file system."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+class Folder:
+    """The few file-system calls needed, on whatever file system the path names."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path_of = spark._jvm.org.apache.hadoop.fs.Path
+        self.path = path.rstrip("/")
+        self._fs = self._path_of(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self, sub: str = "") -> list[str]:
+        where = self._path_of(f"{self.path}/{sub}" if sub else self.path)
+        if not self._fs.exists(where):
+            return []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(where))
+
+    def claim(self, name: str) -> None:
+        """Create an empty file; fails if another writer already has."""
+        self._fs.create(self._path_of(f"{self.path}/{name}"), False).close()
+
+
+class SnapshotStore:
+    """Versions of one or more tables. All tables of a version are written before its marker appears, so
+    a reader sees either the whole old version or the whole new one."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.folder = Folder(spark, path)
+
+    def versions(self) -> list[int]:
+        return [int(name) for name in self.folder.names("_versions") if name.isdigit()]
+
+    def write(self, frames: Mapping[str, DataFrame], partition_by: Mapping[str, list[str]] | None = None) -> int:
+        version = max(self.versions(), default=0) + 1
+        for name, df in frames.items():
+            columns = (partition_by or {}).get(name, [])
+            # One shuffle by the partition columns, so that each partition is a few large files.
+            ordered = df.repartition(*columns) if columns else df
+            ordered.write.mode("overwrite").partitionBy(*columns).parquet(self._path(version, name))
+        self.folder.claim(f"_versions/{version:010d}")
+        return version
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """The newest version of a table that has it."""
+        for v in sorted(self.versions(), reverse=True) if version is None else [version]:
+            if name in self.folder.names(f"v{v:010d}"):
+                return self.spark.read.parquet(self._path(v, name))
+        raise FileNotFoundError(f"no snapshot of {name} in {self.folder.path}")
+
+    def _path(self, version: int, name: str) -> str:
+        return f"{self.folder.path}/v{version:010d}/{name}"
+
+
+class BatchLog:
+    """A table kept as one folder per batch. Writing a batch again replaces it, so a repeated
+    batch changes nothing."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def put(self, batch: int, df: DataFrame) -> None:
+        df.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def rows(self, before: int | None = None) -> DataFrame:
+        """All rows with their ``batch``; only of batches below ``before`` if given."""
+        schema = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
+        if not [n for n in Folder(self.spark, self.path).names() if n.startswith("batch=")]:
+            return self.spark.createDataFrame([], schema)
+        df = self.spark.read.schema(schema).option("basePath", self.path).parquet(self.path)
+        return df if before is None else df.filter(F.col("batch") < before)
+
+    def latest(self, *keys: str, before: int | None = None) -> DataFrame:
+        """The row of the newest batch for each key."""
+        rest = [n for n in self.schema.fieldNames() if n not in keys]
+        newest = self.rows(before).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+        return newest.select(*keys, "_row.*")
+
+    def summed(self, *keys: str, before: int | None = None) -> DataFrame:
+        """The columns other than ``keys`` added up over all batches."""
+        rest = [n for n in self.schema.fieldNames() if n not in keys]
+        kinds = {f.name: f.dataType for f in self.schema.fields}
+        return self.rows(before).groupBy(*keys).agg(*[F.sum(n).cast(kinds[n]).alias(n) for n in rest])
