@@ -829,3 +829,18 @@ add(
         + [_count("customer", "range:wallet_balance", "un_customer", "abs(wallet_balance) >= 100000000")]
     ),
 )
+
+# ---- streams ------------------------------------------------------------------------------------
+SQL["stream_order_totals"] = SQL["order_totals"]
+SQL["stream_favorite_totals"] = SQL["favorite_totals"]
+add("stream_product_ratings", "select product_id, mean as rating from rated", _ratings)
+SQL["stream_stock_gate"] = SQL["allocate_stock"]
+SQL["stream_wallet_ledger"] = SQL["wallet_ledger"]
+add(
+    "stream_order_address_check",
+    """select o_orderkey as order_id, o_custkey as customer_id, o_custkey * 4 + o_orderkey % 4 as address_id,
+              o_orderkey % 4 <= o_custkey % 3 as accepted from orders""",
+)
+SQL["stream_review_notifications"] = SQL["review_notifications"]
+SQL["stream_order_history"] = SQL["order_history"]
+SQL["stream_daily_sales"] = SQL["monthly_report"]

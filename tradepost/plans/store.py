@@ -84,6 +84,9 @@ class BatchLog:
         newest = self.rows(before).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
         return newest.select(*keys, "_row.*")
 
+    def latest_keys(self, *keys: str, before: int | None = None) -> DataFrame:
+        return self.rows(before).select(*keys).distinct()
+
     def summed(self, *keys: str, before: int | None = None) -> DataFrame:
         """The columns other than ``keys`` added up over all batches."""
         rest = [n for n in self.schema.fieldNames() if n not in keys]
