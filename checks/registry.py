@@ -304,6 +304,14 @@ def validate_order_address(spark, folder):
 over_tables("payment_progress", derive.payment_progress)
 over_tables("payment_settlement", derive.payment_settlement)
 over_tables("wallet_ledger", lambda t: wallet.wallet_ledger(t).drop("payment_date"))
+
+
+@registered
+def wallet_ledger_shared(spark, folder):
+    t = shop_tables(spark, folder)
+    return wallet.wallet_ledger(t.replace(payment=ask.shared_payments(spark, folder))).drop("payment_date")
+
+
 over_tables("product_ratings", lambda t: derive.product_ratings(t).select("product_id", "rating"))
 
 

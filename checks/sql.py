@@ -672,6 +672,41 @@ add(
        from walk""",
     _wallet,
 )
+_shared = """
+    numbered as (
+        select p.payment_id, p.payer as customer_id, p.order_id, cast(p.amount * 100 as bigint) as amount,
+               cast(o.total_price * 100 as bigint) as total, cast(c.wallet_balance * 100 as bigint) as wallet,
+               p.payer // 2 as pair, row_number() over (partition by p.payer // 2 order by p.payment_date, p.payment_id) as n
+        from (select *, case when payment_id - order_id * 3 = 1 then xor(customer_id, 1) else customer_id end as payer
+              from shop_payment) p
+        join shop_order o using (order_id) join shop_customer c on c.customer_id = p.payer),
+    walk as (
+        select payment_id, customer_id, order_id, pair, n, amount + wallet >= total as order_paid,
+               case when amount + wallet >= total then amount else amount + wallet end as stored,
+               case when amount + wallet > total then amount + wallet - total when amount + wallet = total then wallet else 0 end
+                   as wallet_after,
+               map([order_id], [case when amount + wallet >= total then amount else amount + wallet end]) as sums,
+               map([customer_id], [case when amount + wallet > total then amount + wallet - total
+                                        when amount + wallet = total then wallet else 0 end]) as wallets
+        from numbered where n = 1
+        union all
+        select payment_id, customer_id, order_id, pair, n, funds >= total, case when funds >= total then amount else funds end,
+               case when funds > total then funds - total when funds = total then wallet_before else 0 end,
+               map_concat(sums, map([order_id], [before + case when funds >= total then amount else funds end])),
+               map_concat(wallets, map([customer_id],
+                   [case when funds > total then funds - total when funds = total then wallet_before else 0 end]))
+        from (select *, before + amount + wallet_before as funds
+              from (select r.payment_id, r.customer_id, r.order_id, r.pair, r.n, r.amount, r.total, w.sums, w.wallets,
+                           coalesce(w.wallets[r.customer_id], r.wallet) as wallet_before,
+                           coalesce(w.sums[r.order_id], 0) as before
+                    from walk w join numbered r on r.pair = w.pair and r.n = w.n + 1)))"""
+add(
+    "wallet_ledger_shared",
+    f"""select payment_id, customer_id, order_id, order_paid, cast(stored / 100.0 as {MONEY}) as stored_amount,
+              cast(wallet_after / 100.0 as {MONEY}) as wallet_after, cast(sums[order_id] / 100.0 as {MONEY}) as paid_sum
+       from walk""",
+    _shared,
+)
 _ratings = f"""
     rated as (select product_id, cast({MEAN2} as decimal(5,2)) as mean from shop_review group by product_id)"""
 add(

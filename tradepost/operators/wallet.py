@@ -1,13 +1,13 @@
 """Payments with the payer's wallet, taken strictly in order of date and id.
 
-For a payment of order o by customer c, with the stored amounts of o up to and including it and
-the wallet added up: if that reaches the order's total, o is paid and an excess above zero becomes the
+For a payment of order o by customer c, take the stored amounts of o up to and including it and add
+the wallet of c: if that reaches the order's total, o is paid and an excess above zero becomes the
 new wallet (an exact match leaves the wallet as it was); if not, the payment's stored amount becomes the
 whole sum and the wallet is emptied. Earlier payments therefore count again after an insufficient one,
 and paying a paid order fills the wallet: both are the shop's rule.
 
-Only payments by the order's own customer are folded; others are returned as quarantined, because they
-would tie the wallets of different customers together.
+A wallet belongs to the payer, whoever placed the order. Payers who paid for a common order depend on
+each other, directly or over others, and are folded as one group; all other payers are a group each.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.durable import cut
 from ..functions.fold import CHUNK, State, fold_in_order
+from ..functions.groups import linked_groups
 from ..functions.joins import keyed_join
 from ..sources.schema import MONEY, MONEY_SUM
 
@@ -32,35 +34,37 @@ _WRITES = T.StructType(
         T.StructField("_wallet_after", T.LongType()),
     ]
 )
-_READS = ("customer_id", CHUNK, "order_id", "_amount", "_total", "_paid_before", "_wallet_before")
+_READS = ("_group", CHUNK, "customer_id", "order_id", "_amount", "_total", "_paid_before", "_wallet_before")
 
 
 class _Ledger:
-    """The rule above for rows sorted by customer, chunk, date and payment; money in cents."""
+    """The rule above for rows sorted by group, chunk, date and payment; money in cents."""
 
     def __init__(self):
         self.run = None
-        self.wallet = 0
+        self.wallets: dict[int, int] = {}
         self.paid: dict[int, int] = {}
 
     def __call__(self, columns):
         out = {"_enough": [], "_stored": [], "_paid_after": [], "_wallet_after": []}
-        for customer, chunk, order, amount, total, paid, wallet in zip(*(columns[c] for c in _READS)):
-            if (customer, chunk) != self.run:
-                self.run, self.wallet, self.paid = (customer, chunk), wallet, {}
+        for group, chunk, customer, order, amount, total, paid, wallet in zip(*(columns[c] for c in _READS)):
+            if (group, chunk) != self.run:
+                self.run, self.wallets, self.paid = (group, chunk), {}, {}
             before = self.paid.get(order, paid)
-            funds = before + amount + self.wallet
+            wallet = self.wallets.get(customer, wallet)
+            funds = before + amount + wallet
             enough = total is not None and funds >= total
             if enough:
                 if funds > total:
-                    self.wallet = funds - total
+                    wallet = funds - total
             else:
-                amount, self.wallet = funds, 0
+                amount, wallet = funds, 0
             self.paid[order] = before + amount
+            self.wallets[customer] = wallet
             out["_enough"].append(enough)
             out["_stored"].append(amount)
             out["_paid_after"].append(before + amount)
-            out["_wallet_after"].append(self.wallet)
+            out["_wallet_after"].append(wallet)
         return out
 
 
@@ -72,20 +76,34 @@ def _money(cents: str, kind):
     return (F.col(cents).cast("decimal(20,0)") / 100).cast(kind)
 
 
-def split_payers(tables: Frames) -> tuple[DataFrame, DataFrame]:
-    """Payments by the order's own customer, with the order's total, and all other payments."""
-    orders = tables["order"].select("order_id", "total_price", F.col("customer_id").alias("_buyer"))
-    known = keyed_join(tables["payment"], orders, "order_id")
-    own = F.col("customer_id") == F.col("_buyer")
-    return known.filter(own).drop("_buyer"), known.filter(~own).drop("_buyer", "total_price")
+def payer_groups(payment: DataFrame) -> DataFrame | None:
+    """(customer_id, _group) of payers who share an order with another, None if nobody does."""
+    payers = payment.groupBy("order_id").agg(F.min("customer_id").alias("a"), F.max("customer_id").alias("_b"))
+    shared = payers.filter(F.col("a") != F.col("_b")).select("order_id", "a")
+    if shared.isEmpty():
+        return None
+    shared = cut(shared)
+    links = (
+        keyed_join(payment.select("order_id", F.col("customer_id").alias("b")), shared, "order_id")
+        .filter(F.col("a") != F.col("b"))
+        .select("a", "b")
+        .distinct()
+    )
+    return linked_groups(links).select(F.col("node").alias("customer_id"), F.col("group").alias("_group"))
 
 
 def wallet_ledger(tables: Frames, paid_before: DataFrame | None = None) -> DataFrame:
-    """One row per folded payment: stored amount, whether the order is paid by it, the order's paid sum
-    and the wallet afterwards. ``paid_before`` (order_id, paid) carries on from an earlier batch."""
-    own, _ = split_payers(tables)
+    """One row per payment: stored amount, whether the order is paid by it, the order's paid sum and the
+    payer's wallet afterwards. ``paid_before`` (order_id, paid) carries on from an earlier batch."""
+    orders = tables["order"].select("order_id", "total_price")
+    known = keyed_join(tables["payment"], orders, "order_id")
     wallets = tables["customer"].select("customer_id", F.coalesce("wallet_balance", F.lit(0)).alias("wallet_balance"))
-    rows = keyed_join(own, wallets, "customer_id")
+    groups = payer_groups(tables["payment"])
+    if groups is None:
+        wallets = wallets.withColumn("_group", F.col("customer_id"))
+    else:
+        wallets = wallets.join(groups, "customer_id", "left").withColumn("_group", F.coalesce("_group", "customer_id"))
+    rows = keyed_join(known, wallets, "customer_id")
     if paid_before is not None:
         rows = keyed_join(rows, paid_before.select("order_id", "paid"), "order_id", "left")
     else:
@@ -95,6 +113,7 @@ def wallet_ledger(tables: Frames, paid_before: DataFrame | None = None) -> DataF
         "payment_date",
         "customer_id",
         "order_id",
+        "_group",
         _cents("amount").alias("_amount"),
         _cents("total_price").alias("_total"),
         _cents("paid").alias("_paid_before"),
@@ -102,7 +121,7 @@ def wallet_ledger(tables: Frames, paid_before: DataFrame | None = None) -> DataF
     )
     folded = fold_in_order(
         rows,
-        "customer_id",
+        "_group",
         ("payment_date", "payment_id"),
         [
             State(("customer_id",), "_wallet_before", "_wallet_after"),
@@ -111,7 +130,7 @@ def wallet_ledger(tables: Frames, paid_before: DataFrame | None = None) -> DataF
         _READS,
         _WRITES,
         _Ledger,
-        counted=tables["payment"].select("customer_id"),
+        counted=tables["payment"].select(F.col("customer_id").alias("_group")) if groups is None else None,
     )
     return folded.select(
         "payment_id",
