@@ -17,6 +17,8 @@ class Limits:
     stretch: int = 1 << 18
     # Rows of one key that one task may fold in order.
     fold_rows: int = 1_000_000
+    # When rows that need no walk are fewer than this share of those that do, all are walked together.
+    walk_share: float = 0.25
     # Entries in one nested array of a document.
     page_rows: int = 10_000
 

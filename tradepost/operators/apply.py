@@ -203,7 +203,7 @@ def create_orders(tables: Frames, requests: DataFrame, as_of: str) -> Result:
         .withColumn("_status", F.coalesce("_status", F.when(F.col("_unknown"), "UNKNOWN_PRODUCT")))
         .select(*columns, "_status")
     )
-    placed = cut(new_ids(judged.filter("_status is null").drop("_status"), tables["order"], "order_id", "seq"))
+    placed = new_ids(judged.filter("_status is null").drop("_status"), tables["order"], "order_id", "seq")
     new_orders = placed.select(
         "order_id",
         F.lit(as_of).cast("timestamp_ntz").alias("order_date"),

@@ -1,7 +1,7 @@
 """Reports on orders, items, products and categories.
 
-Items are the largest table, so each report first adds items up by product (or by order date and
-product) and only then looks names and prices up. Prices are the products' current ones: items store
+Items are the largest table, so names and prices are looked up after items have been added up by
+product, or on the way when the lookup needs no shuffle. Prices are the products' current ones: items store
 none, so past revenue moves when a price changes.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import full_name, money_sum, month_of, month_range, whole_sum, within
-from ..functions.joins import keyed_join
+from ..functions.joins import fits, keyed_join
 from ..sources.schema import MONEY_SUM
 
 Frames = Mapping[str, DataFrame]
@@ -23,11 +23,6 @@ def _category_names(tables: Frames) -> DataFrame:
     return tables["category"].select("category_id", F.col("name").alias("category_name"))
 
 
-def _priced(tables: Frames) -> DataFrame:
-    """Products that belong to a category, with their price."""
-    return tables["product"].filter("category_id is not null").select("product_id", "price", "category_id")
-
-
 def units_by_product(items: DataFrame) -> DataFrame:
     return items.groupBy("product_id").agg(whole_sum("quantity").alias("units"))
 
@@ -59,20 +54,11 @@ def order_item_history(tables: Frames, as_of: str) -> DataFrame:
     )
 
 
-def _dated_items(tables: Frames, orders: DataFrame, *when: str) -> DataFrame:
-    """Units per product and the order columns ``when``."""
-    items = tables["order_items"].select("order_id", "product_id", "quantity")
-    return (
-        keyed_join(items, orders.select("order_id", *when), "order_id")
-        .groupBy("product_id", *when)
-        .agg(whole_sum("quantity").alias("units"))
-    )
-
-
 def total_sales_by_product(tables: Frames, start: str, end: str) -> DataFrame:
     """Sales of every product in a closed period, 0 for a product that did not sell."""
     chosen = tables["order"].filter(within("order_date", start, end))
-    sold = _dated_items(tables, chosen)
+    items = tables["order_items"].select("order_id", "product_id", "quantity")
+    sold = units_by_product(keyed_join(items, chosen.select("order_id"), "order_id", "left_semi"))
     return tables["product"].select("product_id", "price").join(sold, "product_id", "left").select(
         "product_id",
         (F.coalesce("units", F.lit(0)) * F.col("price")).cast(MONEY_SUM).alias("total_sales"),
@@ -84,25 +70,37 @@ def total_sales(tables: Frames, product_id: int, start: str, end: str) -> DataFr
     items = tables["order_items"].filter(F.col("product_id") == product_id)
     chosen = tables["order"].filter(within("order_date", start, end)).select("order_id")
     prices = tables["product"].filter(F.col("product_id") == product_id).select("product_id", "price")
-    sold = items.join(chosen, "order_id", "left_semi").groupBy("product_id").agg(whole_sum("quantity").alias("units"))
+    sold = keyed_join(items, chosen, "order_id", "left_semi").groupBy("product_id").agg(whole_sum("quantity").alias("units"))
     return sold.join(prices, "product_id").agg(
         F.coalesce(F.sum(F.col("units") * F.col("price")), F.lit(0)).cast(MONEY_SUM).alias("total_sales")
     )
 
 
+def category_sales(items: DataFrame, product: DataFrame, *keys: str) -> DataFrame:
+    """Units and revenue per category id and ``keys`` of items (product_id, quantity, keys).
+
+    Prices are looked up row by row when the price list is small enough to send everywhere; the only
+    shuffle is then by category. Otherwise items are first added up by product, so that the join with
+    the price list moves one row per product.
+    """
+    prices = product.filter("category_id is not null").select("product_id", "price", "category_id")
+    if fits(prices):
+        sold = items.select("product_id", *keys, F.col("quantity").alias("units")).join(F.broadcast(prices), "product_id")
+    else:
+        by_product = items.groupBy("product_id", *keys).agg(whole_sum("quantity").alias("units"))
+        sold = keyed_join(by_product, prices, "product_id", unique=not keys)
+    return sold.groupBy("category_id", *keys).agg(
+        whole_sum("units").alias("units"), money_sum(F.col("units") * F.col("price")).alias("revenue")
+    )
+
+
 def monthly_sales_category(tables: Frames, year: int, month: int) -> DataFrame:
     """Sales and units of one month per category id; two categories of one name stay two rows."""
-    sold = _dated_items(tables, tables["order"].filter(month_range("order_date", year, month)))
-    by_category = (
-        keyed_join(sold, _priced(tables), "product_id", unique=True)
-        .groupBy("category_id")
-        .agg(
-            money_sum(F.col("units") * F.col("price")).alias("total_sales"),
-            whole_sum("units").alias("products_sold"),
-        )
-    )
+    chosen = tables["order"].filter(month_range("order_date", year, month)).select("order_id")
+    items = tables["order_items"].select("order_id", "product_id", "quantity")
+    by_category = category_sales(keyed_join(items, chosen, "order_id", "left_semi"), tables["product"])
     return keyed_join(by_category, _category_names(tables), "category_id", unique=True).select(
-        "category_id", "category_name", "total_sales", "products_sold"
+        "category_id", "category_name", F.col("revenue").alias("total_sales"), F.col("units").alias("products_sold")
     )
 
 
@@ -129,45 +127,39 @@ def product_summary(tables: Frames) -> DataFrame:
     return product_summary_from_units(units_by_product(tables["order_items"]), tables["product"])
 
 
-def sales_by_category_from_units(units: DataFrame, product: DataFrame, category: DataFrame) -> DataFrame:
-    prices = product.filter("category_id is not null").select("product_id", "price", "category_id")
-    by_category = (
-        keyed_join(units, prices, "product_id", unique=True)
-        .groupBy("category_id")
-        .agg(
-            whole_sum("units").alias("total_quantity_sold"),
-            money_sum(F.col("units") * F.col("price")).alias("total_sales"),
-        )
-    )
+def _named_category_sales(by_category: DataFrame, category: DataFrame) -> DataFrame:
     return keyed_join(by_category, category, "category_id", unique=True).select(
-        "category_id", "name", "total_quantity_sold", "total_sales"
+        "category_id", "name", F.col("units").alias("total_quantity_sold"), F.col("revenue").alias("total_sales")
     )
 
 
+def sales_by_category_from_units(units: DataFrame, product: DataFrame, category: DataFrame) -> DataFrame:
+    sold = units.withColumnRenamed("units", "quantity")
+    return _named_category_sales(category_sales(sold, product), category)
+
+
 def sales_by_category(tables: Frames, check_orders: bool = False) -> DataFrame:
     """Units and revenue per category id. ``check_orders`` leaves out items without an order, for
     tables whose references were not checked."""
     items = tables["order_items"]
     if check_orders:
         items = keyed_join(items, tables["order"].select("order_id"), "order_id", "left_semi")
-    return sales_by_category_from_units(units_by_product(items), tables["product"], tables["category"])
+    return _named_category_sales(category_sales(items, tables["product"]), tables["category"])
+
+
+def _items_by_month(tables: Frames) -> DataFrame:
+    orders = tables["order"].select("order_id", month_of("order_date").alias("sales_month"))
+    return keyed_join(tables["order_items"].select("order_id", "product_id", "quantity"), orders, "order_id")
 
 
 def monthly_units(tables: Frames) -> DataFrame:
     """Units per product and month. These add up, so later items can be merged in; prices are looked up
     last because revenue follows the current price."""
-    orders = tables["order"].select("order_id", month_of("order_date").alias("sales_month"))
-    return _dated_items(tables, orders, "sales_month")
+    return _items_by_month(tables).groupBy("product_id", "sales_month").agg(whole_sum("quantity").alias("units"))
 
 
-def monthly_report_from_units(units: DataFrame, product: DataFrame, category: DataFrame) -> DataFrame:
-    prices = product.filter("category_id is not null").select("product_id", "price", "category_id")
+def _by_category_name(by_category: DataFrame, category: DataFrame) -> DataFrame:
     names = category.select("category_id", F.col("name").alias("category_name"))
-    by_category = (
-        keyed_join(units, prices, "product_id")
-        .groupBy("category_id", "sales_month")
-        .agg(F.sum("units").alias("units"), F.sum(F.col("units") * F.col("price")).alias("revenue"))
-    )
     return (
         keyed_join(by_category, names, "category_id")
         .groupBy("category_name", "sales_month")
@@ -178,9 +170,15 @@ def monthly_report_from_units(units: DataFrame, product: DataFrame, category: Da
     )
 
 
+def monthly_report_from_units(units: DataFrame, product: DataFrame, category: DataFrame) -> DataFrame:
+    sold = units.withColumnRenamed("units", "quantity")
+    return _by_category_name(category_sales(sold, product, "sales_month"), category)
+
+
 def monthly_report(tables: Frames) -> DataFrame:
     """Units and revenue per category name and month; categories of one name are one row."""
-    return monthly_report_from_units(monthly_units(tables), tables["product"], tables["category"])
+    by_category = category_sales(_items_by_month(tables), tables["product"], "sales_month")
+    return _by_category_name(by_category, tables["category"])
 
 
 def discount_summary(tables: Frames) -> DataFrame:

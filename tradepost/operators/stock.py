@@ -8,33 +8,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.durable import cut
-from ..functions.fold import CHUNK, fold
+from ..functions.fold import CHUNK, State, fold, fold_in_order
 from ..functions.joins import keyed_join
 from ..functions.limits import LIMITS
 from ..functions.scan import running_total
 
-ACCEPTED = T.StructType([T.StructField("accepted", T.BooleanType())])
+ROUNDS = 6
+_WRITES = T.StructType([T.StructField("accepted", T.BooleanType()), T.StructField("_left", T.LongType())])
+_READS = ("product_id", CHUNK, "quantity", "_stock")
 
 
 class _Greedy:
-    """Accept-or-skip for rows sorted by product and arrival."""
+    """Accept-or-skip for rows sorted by product, chunk and arrival."""
 
     def __init__(self):
-        self.product = None
+        self.run = None
         self.left = 0
 
     def __call__(self, columns):
-        product, left = self.product, self.left
-        taken = []
-        for p, q, stock in zip(columns["product_id"], columns["quantity"], columns["_stock"]):
-            if p != product:
-                product, left = p, stock
-            ok = q <= left
+        run, left = self.run, self.left
+        taken, remaining = [], []
+        for product, chunk, quantity, stock in zip(*(columns[c] for c in _READS)):
+            if (product, chunk) != run:
+                run, left = (product, chunk), stock
+            ok = quantity <= left
             if ok:
-                left -= q
+                left -= quantity
             taken.append(ok)
-        self.product, self.left = product, left
-        return {"accepted": taken}
+            remaining.append(left)
+        self.run, self.left = run, left
+        return {"accepted": taken, "_left": remaining}
 
 
 def _positive(quantity: str = "quantity"):
@@ -46,67 +49,82 @@ def allocate_stock(requests: DataFrame, stock: DataFrame) -> DataFrame:
     stock_count; a product without a stock count accepts everything. ``seq`` is a whole arrival number,
     unique within a product.
 
-    Products whose stock covers all requests need only a sum. For the others, very long queues are
-    first shortened by ``_shorten`` and the rest is walked through in order.
+    Products whose stock covers all requests need only a sum. Of the others, very long queues are first
+    decided in bulk as far as that goes, and what is left is walked through in order.
     """
     wanted = requests.groupBy("product_id").agg(
-        F.sum(_positive()).alias("_wanted"), F.count(F.lit(1)).alias("_n")
+        F.sum(_positive()).alias("_wanted"),
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(F.col("quantity") < 0).alias("_returns"),
     )
     asked = wanted.join(stock.select("product_id", F.col("stock_count").cast("bigint").alias("_stock")), "product_id", "left")
-    rows = keyed_join(requests, asked, "product_id")
     covered = F.col("_stock").isNull() | (F.col("_wanted") <= F.col("_stock"))
-    extra = ["_wanted", "_n", "_stock"]
+    long = F.col("_n") > LIMITS.fold_rows
+    size = asked.agg(
+        F.coalesce(F.sum(F.when(covered, F.col("_n"))), F.lit(0)).alias("easy"),
+        F.coalesce(F.sum(F.when(~covered, F.col("_n"))), F.lit(0)).alias("scarce"),
+        F.count_if(~covered & long).alias("long"),
+        F.coalesce(F.max("_n"), F.lit(0)).alias("most"),
+    ).first()
+    rows = keyed_join(requests, asked, "product_id")
+    extra = ["_wanted", "_n", "_returns", "_stock"]
+    if not size["scarce"]:
+        return rows.withColumn("accepted", F.lit(True)).drop(*extra)
+    if size["most"] <= LIMITS.fold_rows and size["easy"] < LIMITS.walk_share * size["scarce"]:
+        # Nearly all rows must be walked: take the few others along instead of reading all twice.
+        enough = F.when(covered, F.greatest("_wanted", "_stock")).otherwise(F.col("_stock"))
+        return _walk(rows.withColumn("_stock", enough).drop("_wanted", "_n", "_returns"))
     easy = rows.filter(covered).withColumn("accepted", F.lit(True)).drop(*extra)
     scarce = rows.filter(~covered).drop("_wanted")
-    crowded = wanted.filter(F.col("_n") > LIMITS.fold_rows).isEmpty()
-    if crowded:
-        return easy.unionByName(_walk(scarce.drop("_n")).drop("_stock"))
-    long = F.col("_n") > LIMITS.fold_rows
-    short = _walk(scarce.filter(~long).drop("_n"))
-    decided, rest = _shorten(cut(scarce.filter(long).drop("_n")))
-    return easy.unionByName(short.unionByName(decided).unionByName(_walk(rest)).drop("_stock"))
+    if not size["long"]:
+        return easy.unionByName(_walk(scarce.drop("_n", "_returns")))
+    # A return can make room again, so only queues without one can be decided in bulk.
+    bulk = long & (F.col("_returns") == 0)
+    decided, rest = _shorten(cut(scarce.filter(bulk).drop("_n", "_returns")))
+    undecided = scarce.filter(~bulk).drop("_n", "_returns").unionByName(rest)
+    walked = fold_in_order(
+        undecided, "product_id", ("seq",), [State(("product_id",), "_stock", "_left")], _READS, _WRITES, _Greedy
+    ).drop("_left")
+    return easy.unionByName(decided.unionByName(walked).drop("_stock"))
 
 
 def _walk(rows: DataFrame) -> DataFrame:
-    return fold(
-        rows, "product_id", ("seq",), ("product_id", "quantity", "_stock"), ACCEPTED, _Greedy
-    ).drop(CHUNK)
+    """All rows in order, for queues that one task can take."""
+    return fold(rows, "product_id", ("seq",), _READS, _WRITES, _Greedy).drop(CHUNK, "_left", "_stock")
 
 
 def _shorten(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Decide rows in bulk until no product has more than ``LIMITS.fold_rows`` undecided ones.
+    """Decide rows in bulk, in a few rounds or until no product has more than ``LIMITS.fold_rows``
+    undecided ones.
 
     In each round a running total finds the first request that does not fit. All before it are
-    accepted, it is skipped, and so is every later request for more than can ever be left again (what is
-    left plus anything later requests give back). What is left is now less than one request asked for,
-    so queues shrink quickly. Returns the decided rows and the open ones with their stock.
+    accepted, it is skipped, and so is every later request for more than is left then. What is left is
+    now less than that one request asked for, so queues shrink quickly. Returns the decided rows
+    and the open ones with their stock.
     """
     columns = rows.columns
     decided = None
-    while True:
-        totals = running_total(rows, ["product_id"], "seq", F.col("quantity").cast("bigint"), "_taken")
+    for _ in range(ROUNDS):
+        quantity = F.col("quantity").cast("bigint")
+        totals = running_total(rows, ["product_id"], "seq", quantity, "_taken")
         blocked = (
             totals.filter(F.col("_taken") > F.col("_stock")).groupBy("product_id").agg(F.min("seq").alias("_blocker"))
         )
         marked = cut(keyed_join(totals, blocked, "product_id", "left"))
         before = F.col("_blocker").isNull() | (F.col("seq") < F.col("_blocker"))
-        after = F.coalesce(F.col("seq") > F.col("_blocker"), F.lit(False))
-        quantity = F.col("quantity").cast("bigint")
-        summary = marked.groupBy("product_id").agg(
-            (F.max("_stock") - F.coalesce(F.sum(F.when(before, quantity)), F.lit(0))).alias("_left"),
-            F.coalesce(F.sum(F.when(after, _positive() - quantity)), F.lit(0)).alias("_back"),
+        left = marked.groupBy("product_id").agg(
+            (F.max("_stock") - F.coalesce(F.sum(F.when(before, quantity)), F.lit(0))).alias("_left")
         )
+        skipped = (F.col("seq") == F.col("_blocker")) | (F.col("quantity") > F.col("_left"))
         judged = cut(
-            keyed_join(marked, summary, "product_id").withColumn(
-                "accepted",
-                F.when(before, True).when(~after | (F.col("quantity") > F.col("_left") + F.col("_back")), False),
-            )
+            keyed_join(marked, left, "product_id").withColumn("accepted", F.when(before, True).when(skipped, False))
         )
         sure = judged.filter("accepted is not null").select(*columns, "accepted")
         decided = sure if decided is None else decided.unionByName(sure)
         rows = judged.filter("accepted is null").withColumn("_stock", F.col("_left")).select(*columns)
         if rows.groupBy("product_id").count().filter(F.col("count") > LIMITS.fold_rows).isEmpty():
-            return decided, rows
+            break
+    return decided, rows
 
 
 def remaining_stock(allocated: DataFrame, product: DataFrame) -> DataFrame:
