@@ -150,6 +150,8 @@ def test_batch_log(spark, folder):
     assert {r.k: r.v for r in log.latest("k").collect()} == {1: 11, 2: 22}
     assert {r.k: r.v for r in log.latest("k", before=2).collect()} == {1: 11, 2: 20}
     assert {r.k: r.v for r in log.summed("k").collect()} == {1: 21, 2: 42}
+    log.compact("k", before=2)
+    assert {(r.batch, r.k, r.v) for r in log.rows().collect()} == {(1, 1, 11), (1, 2, 20), (2, 2, 22)}
 
 
 def test_load_reads_the_declared_schema(spark, shop, folder):

@@ -70,15 +70,16 @@ def fold_in_order(
     reads: tuple[str, ...],
     writes: T.StructType,
     make_step: Callable[[], Callable[[dict[str, list]], dict[str, list]]],
-    counted: DataFrame | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Fold of any key size; see the module text. ``rows`` has every state's ``start`` column.
-    ``counted`` may name a cheaper table with at least the rows of ``rows`` per key, for the size check."""
+    ``sizes`` may give the rows per key (key, count), or an upper bound, where that is cheaper to get."""
 
     def one_pass(some: DataFrame) -> DataFrame:
         return fold(some, key, order, reads, writes, make_step)
 
-    sizes = (rows if counted is None else counted).groupBy(key).count().filter(F.col("count") > LIMITS.fold_rows)
+    sizes = rows.groupBy(key).count() if sizes is None else sizes
+    sizes = sizes.filter(F.col("count") > LIMITS.fold_rows)
     large = sizes.agg(F.count(F.lit(1)).alias("keys"), F.sum("count").alias("n")).first()
     if not large["keys"]:
         return one_pass(rows).drop(CHUNK)

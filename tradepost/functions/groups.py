@@ -17,7 +17,8 @@ def linked_groups(links: DataFrame) -> DataFrame:
     links is reduced by a map-side minimum.
     """
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    groups = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("group")))
+    smallest = both.groupBy("a").agg(F.min("b").alias("b"))
+    groups = cut(smallest.select(F.col("a").alias("node"), F.least("a", "b").alias("group")))
     while True:
         nearby = (
             keyed_join(both, groups.select(F.col("node").alias("b"), "group"), "b")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .limits import LIMITS
@@ -33,16 +33,24 @@ def heavy_keys(df: DataFrame, key: str) -> list:
     return [k for k in found.first()["keys"] if k is not None]
 
 
-def keyed_join(fact: DataFrame, side: DataFrame, on: str, how: str = "inner", unique: bool = False) -> DataFrame:
+def keyed_join(
+    fact: DataFrame,
+    side: DataFrame,
+    on: str,
+    how: str = "inner",
+    unique: bool = False,
+    counted: DataFrame | None = None,
+) -> DataFrame:
     """Join ``fact`` to ``side``, which has one row per value of ``on``.
 
     ``how`` is inner, left, left_semi or left_anti. A side of bounded size is broadcast. Otherwise the
     rows of heavy keys join a broadcast of just those keys' side rows (at most 1,000) and the rest
-    is shuffled. ``unique`` says that ``fact`` too has one row per key, so that no key is heavy.
+    is shuffled. ``unique`` says that ``fact`` has few rows per key, so that no key is heavy.
+    ``counted`` names the table to look for heavy keys in, when ``fact`` itself takes work to compute.
     """
     if fits(side):
         return fact.join(F.broadcast(side), on, how)
-    heavy = [] if unique else heavy_keys(fact, on)
+    heavy = [] if unique else heavy_keys(fact if counted is None else counted, on)
     if not heavy:
         return fact.join(side, on, how)
     is_heavy = F.coalesce(F.col(on).isin(heavy), F.lit(False))
@@ -53,6 +61,18 @@ def keyed_join(fact: DataFrame, side: DataFrame, on: str, how: str = "inner", un
     )
 
 
+def streamed_join(changes: DataFrame, side: DataFrame, on: str, spread_by: str) -> DataFrame:
+    """Inner join of a stream to a static side with one row per key. A stream cannot be searched for heavy
+    keys beforehand, so when the side is not small each of its rows is copied to ``LIMITS.stream_spread``
+    tasks and the rows of a key are dealt out to them by ``spread_by``."""
+    if fits(side):
+        return changes.join(F.broadcast(side), on)
+    n = LIMITS.stream_spread
+    copies = side.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = changes.withColumn("_deal", F.pmod(F.xxhash64(spread_by), F.lit(n)).cast("int"))
+    return dealt.join(copies, [on, "_deal"]).drop("_deal")
+
+
 def first_per_key(requests: DataFrame, *keys: str, seq: str = "seq") -> DataFrame:
     """``requests`` with a flag ``is_first``: the earliest of its key. The winners come from a map-side
     minimum and are matched on key and ``seq`` together, which spreads a key with many requests."""
@@ -61,9 +81,3 @@ def first_per_key(requests: DataFrame, *keys: str, seq: str = "seq") -> DataFram
         "is_first", F.coalesce("is_first", F.lit(False))
     )
 
-
-def all_of(*conditions: Column) -> Column:
-    out = F.lit(True)
-    for condition in conditions:
-        out = out & condition
-    return out

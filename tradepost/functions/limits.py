@@ -13,6 +13,8 @@ class Limits:
     heavy_rows: int = 1_000_000
     # ... and at least this share of all rows, so there are never more than 1,000 heavy keys.
     heavy_share: float = 0.001
+    # Tasks that share the rows of one key when a stream meets a large static table.
+    stream_spread: int = 8
     # Width of a stretch of arrival numbers handled by one window group.
     stretch: int = 1 << 18
     # Rows of one key that one task may fold in order.

@@ -146,8 +146,8 @@ def payment_details(tables: Frames) -> DataFrame:
     """Payments with the city and country the order is shipped to."""
     orders = tables["order"].select("order_id", "address_id")
     places = tables["address"].select("address_id", "city", "country")
-    paid = keyed_join(tables["payment"], orders, "order_id")
-    return keyed_join(paid, places, "address_id").select(
+    shipped = keyed_join(orders, places, "address_id")
+    return keyed_join(tables["payment"], shipped, "order_id").select(
         "payment_id", "payment_date", F.col("amount").alias("total_amount"), "city", "country"
     )
 

@@ -173,7 +173,8 @@ def order_history(tables: Frames, paid: DataFrame | None = None, dedupe: bool =
         "order_id",
         "left_semi",
     )
-    priced = keyed_join(items, tables["product"].select("product_id", "price"), "product_id")
+    prices = tables["product"].select("product_id", "price")
+    priced = keyed_join(items, prices, "product_id", counted=tables["order_items"])
     entry = F.struct("product_id", F.col("quantity").cast("int").alias("quantity"), F.col("price").cast(MONEY).alias("price"))
     pages = (
         position(priced, ["order_id"], "product_id")

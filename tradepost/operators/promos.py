@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.durable import cut
 from ..functions.fold import CHUNK, State, fold_in_order
 from ..functions.joins import first_per_key, keyed_join
 from ..sources.schema import MONEY
@@ -77,11 +78,13 @@ def apply_discounts(order: DataFrame, discount_code: DataFrame, requests: DataFr
     compound in arrival order, rounded to cents after each."""
     judged = _judge(requests, discount_code, "discount_id", "percentage")
     applied = judged.filter("status = 'APPLIED'").select("seq", "order_id", "code", "percentage")
-    per_order = applied.groupBy("order_id").agg(F.count(F.lit(1)).alias("_codes"), F.first("percentage").alias("_only"))
+    per_order = cut(
+        applied.groupBy("order_id").agg(F.count(F.lit(1)).alias("_codes"), F.first("percentage").alias("_only"))
+    )
     # One code: plain arithmetic. More than one: the order matters because of the rounding.
     single = per_order.filter("_codes = 1").select("order_id", "_only")
     many = keyed_join(applied, per_order.filter("_codes > 1").select("order_id"), "order_id", "left_semi")
-    steps = keyed_join(many, order.select("order_id", "total_price"), "order_id").select(
+    steps = keyed_join(many, order.select("order_id", "total_price"), "order_id", counted=requests).select(
         "seq",
         "order_id",
         (F.col("percentage") * 100).cast("bigint").alias("_percent"),
@@ -95,7 +98,7 @@ def apply_discounts(order: DataFrame, discount_code: DataFrame, requests: DataFr
         _READS,
         _WRITES,
         _Compound,
-        counted=requests.select("order_id"),
+        sizes=per_order.select("order_id", F.col("_codes").alias("count")),
     )
     compounded = folded.groupBy("order_id").agg(F.max_by("_after", "seq").alias("_after")).select(
         "order_id", (F.col("_after").cast("decimal(20,0)") / 100).cast(MONEY).alias("_compounded"), F.lit(True).alias("_many")

@@ -46,10 +46,11 @@ def product_reviews_with_favorites(
     per_list = tables["favorite_list_items"].groupBy("favorite_id").agg(F.count(F.lit(1)).alias("favorites"))
     favorites = keyed_join(per_list, lists, "favorite_id", unique=True).select("customer_id", "favorites")
     people = tables["customer"].select("customer_id", full_name().alias("customer_name"))
-    written = keyed_join(keyed_join(reviews, products, "product_id"), people, "customer_id", "left")
+    known = keyed_join(reviews, products, "product_id")
+    written = keyed_join(known, people, "customer_id", "left", counted=reviews)
     silent = products.join(reviews.select("product_id").distinct(), "product_id", "left_anti")
     rows = (
-        keyed_join(written, favorites, "customer_id", "left")
+        keyed_join(written, favorites, "customer_id", "left", counted=reviews)
         .unionByName(silent, allowMissingColumns=True)
         .select(
             "product_id",
@@ -80,11 +81,14 @@ def reviewers_who_favorited(tables: Frames, product_ids: list[int] | None = None
         .withColumn("listed", F.lit(True))
     )
     people = tables["customer"].select("customer_id", full_name().alias("customer_name"))
-    rows = keyed_join(keyed_join(reviews, products, "product_id"), people, "customer_id")
+    known = keyed_join(reviews, products, "product_id")
+    rows = keyed_join(known, people, "customer_id", counted=reviews)
     # The pair as one text key, so that a pair with very many reviews is split like any heavy key.
     pair = F.concat_ws("/", "customer_id", "product_id")
     pairs = listed.select(pair.alias("pair"), "listed")
-    return keyed_join(rows.withColumn("pair", pair), pairs, "pair", "left").select(
+    return keyed_join(
+        rows.withColumn("pair", pair), pairs, "pair", "left", counted=reviews.select(pair.alias("pair"))
+    ).select(
         "review_id",
         "product_id",
         "product_name",
@@ -163,7 +167,8 @@ def users_favorites(tables: Frames) -> DataFrame:
         tables["favorite_list"].select("favorite_id", "customer_id"), people, "customer_id", unique=True
     )
     products = tables["product"].select("product_id", F.col("name").alias("product_name"), "price")
-    items = keyed_join(tables["favorite_list_items"].select("favorite_id", "product_id"), owners, "favorite_id")
-    return keyed_join(items, products, "product_id").select(
+    items = tables["favorite_list_items"].select("favorite_id", "product_id")
+    owned = keyed_join(items, owners, "favorite_id")
+    return keyed_join(owned, products, "product_id", counted=items).select(
         "customer_id", "full_name", "product_id", "product_name", "price"
     )

@@ -47,9 +47,10 @@ def order_item_history(tables: Frames, as_of: str) -> DataFrame:
     buyers = tables["customer"].select("customer_id", full_name().alias("customer_name"))
     products = tables["product"].select("product_id", F.col("name").alias("product_name"), "price", "category_id")
     named = keyed_join(products, _category_names(tables), "category_id").drop("category_id")
-    orders = keyed_join(past, buyers, "customer_id")
-    items = keyed_join(tables["order_items"].select("order_id", "product_id"), orders, "order_id")
-    return keyed_join(items, named, "product_id").select(
+    orders = keyed_join(past, buyers, "customer_id", counted=tables["order"])
+    items = tables["order_items"].select("order_id", "product_id")
+    sold = keyed_join(items, named, "product_id")
+    return keyed_join(sold, orders, "order_id", counted=items).select(
         "customer_id", "customer_name", "order_id", "product_id", "product_name", "price", "category_name"
     )
 
@@ -88,7 +89,8 @@ def category_sales(items: DataFrame, product: DataFrame, *keys: str) -> DataFram
         sold = items.select("product_id", *keys, F.col("quantity").alias("units")).join(F.broadcast(prices), "product_id")
     else:
         by_product = items.groupBy("product_id", *keys).agg(whole_sum("quantity").alias("units"))
-        sold = keyed_join(by_product, prices, "product_id", unique=not keys)
+        # At most one row per product and month is left, so no product is heavy any more.
+        sold = keyed_join(by_product, prices, "product_id", unique=True)
     return sold.groupBy("category_id", *keys).agg(
         whole_sum("units").alias("units"), money_sum(F.col("units") * F.col("price")).alias("revenue")
     )
@@ -161,7 +163,7 @@ def monthly_units(tables: Frames) -> DataFrame:
 def _by_category_name(by_category: DataFrame, category: DataFrame) -> DataFrame:
     names = category.select("category_id", F.col("name").alias("category_name"))
     return (
-        keyed_join(by_category, names, "category_id")
+        keyed_join(by_category, names, "category_id", unique=True)
         .groupBy("category_name", "sales_month")
         .agg(
             whole_sum("units").alias("total_products_sold"),

@@ -57,7 +57,8 @@ def allocate_stock(requests: DataFrame, stock: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_n"),
         F.count_if(F.col("quantity") < 0).alias("_returns"),
     )
-    asked = wanted.join(stock.select("product_id", F.col("stock_count").cast("bigint").alias("_stock")), "product_id", "left")
+    on_hand = stock.select("product_id", F.col("stock_count").cast("bigint").alias("_stock"))
+    asked = cut(wanted.join(on_hand, "product_id", "left"))
     covered = F.col("_stock").isNull() | (F.col("_wanted") <= F.col("_stock"))
     long = F.col("_n") > LIMITS.fold_rows
     size = asked.agg(

@@ -103,9 +103,9 @@ def wallet_ledger(tables: Frames, paid_before: DataFrame | None = None) -> DataF
         wallets = wallets.withColumn("_group", F.col("customer_id"))
     else:
         wallets = wallets.join(groups, "customer_id", "left").withColumn("_group", F.coalesce("_group", "customer_id"))
-    rows = keyed_join(known, wallets, "customer_id")
+    rows = keyed_join(known, wallets, "customer_id", counted=tables["payment"])
     if paid_before is not None:
-        rows = keyed_join(rows, paid_before.select("order_id", "paid"), "order_id", "left")
+        rows = keyed_join(rows, paid_before.select("order_id", "paid"), "order_id", "left", counted=tables["payment"])
     else:
         rows = rows.withColumn("paid", F.lit(0).cast(MONEY_SUM))
     rows = rows.withColumn("paid", F.coalesce("paid", F.lit(0))).select(
@@ -130,7 +130,7 @@ def wallet_ledger(tables: Frames, paid_before: DataFrame | None = None) -> DataF
         _READS,
         _WRITES,
         _Ledger,
-        counted=tables["payment"].select(F.col("customer_id").alias("_group")) if groups is None else None,
+        sizes=tables["payment"].groupBy(F.col("customer_id").alias("_group")).count() if groups is None else None,
     )
     return folded.select(
         "payment_id",

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.durable import cut
+
 
 class Folder:
     """The few file-system calls needed, on whatever file system the path names."""
@@ -23,6 +25,9 @@ class Folder:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(where))
 
+    def remove(self, name: str) -> None:
+        self._fs.delete(self._path_of(f"{self.path}/{name}"), True)
+
     def claim(self, name: str) -> None:
         """Create an empty file; fails if another writer already has."""
         self._fs.create(self._path_of(f"{self.path}/{name}"), False).close()
@@ -84,6 +89,18 @@ class BatchLog:
         newest = self.rows(before).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
         return newest.select(*keys, "_row.*")
 
+    def compact(self, *keys: str, before: int) -> None:
+        """Merge the batches below ``before`` into the last of them, keeping the newest row per key. The
+        merged folder replaces that batch before older ones go, so ``latest`` never changes."""
+        folder = Folder(self.spark, self.path)
+        old = [n for n in folder.names() if n.startswith("batch=") and int(n[6:]) < before]
+        if len(old) > 1:
+            merged = cut(self.latest(*keys, before=before))
+            self.put(before - 1, merged)
+            for name in old:
+                if name != f"batch={before - 1}":
+                    folder.remove(name)
+
     def latest_keys(self, *keys: str, before: int | None = None) -> DataFrame:
         return self.rows(before).select(*keys).distinct()
 

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import mean
 from ..functions.durable import cut
+from ..functions.joins import streamed_join
 from ..operators.derive import check_order_addresses, history_json, notice_columns, order_history
 from ..operators.sales import monthly_report_from_units
 from ..operators.stock import allocate_stock
@@ -32,6 +33,16 @@ def _schema(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
+TIDY_EVERY = 100
+
+
+def _tidy(batch: int, *logs: tuple[BatchLog, str]) -> None:
+    """Now and then merge the folders of earlier batches, so that reading state stays cheap."""
+    if batch and batch % TIDY_EVERY == 0:
+        for log, key in logs:
+            log.compact(key, before=batch)
+
+
 def _signed(changes: DataFrame) -> DataFrame:
     return changes if "sign" in changes.columns else changes.withColumn("sign", F.lit(1))
 
@@ -50,8 +61,7 @@ def stream_totals(items: DataFrame, tables: Now, key: str, path: str, checkpoint
     prices = tables()["product"].select("product_id", "price")
     worth = F.col("sign") * F.col("quantity") * F.col("price")
     totals = (
-        _signed(items)
-        .join(prices, "product_id")
+        streamed_join(_signed(items), prices, "product_id", spread_by=key)
         .groupBy(key)
         .agg(F.sum(worth).cast(MONEY_SUM).alias("total_price"))
     )
@@ -117,6 +127,7 @@ def stream_stock_gate(
     gate, left = gate_log(spark, path), stock_log(spark, path)
 
     def on_batch(rows: DataFrame, batch: int) -> None:
+        _tidy(batch, (left, "product_id"))
         stock = (
             tables()["product"]
             .select("product_id", F.col("stock_count").cast("bigint").alias("_opening"))
@@ -161,6 +172,7 @@ def stream_wallet_ledger(payments: DataFrame, tables: Now, path: str, checkpoint
     sums = BatchLog(spark, f"{path}/sums", _schema(order_id=ID, paid=MONEY_SUM))
 
     def on_batch(rows: DataFrame, batch: int) -> None:
+        _tidy(batch, (wallets, "customer_id"), (sums, "order_id"))
         now = tables()
         opening = (
             now["customer"]
@@ -233,7 +245,7 @@ def stream_daily_sales(
     """Units per product and day of the order. Without a watermark no item is ever too late; with one,
     days older than it leave the state and later items for them are not counted."""
     orders = tables()["order"].select("order_id", F.col("order_date").cast("timestamp").alias("at"))
-    dated = _signed(items).join(orders, "order_id")
+    dated = streamed_join(_signed(items), orders, "order_id", spread_by="product_id")
     if watermark:
         dated = dated.withWatermark("at", watermark)
     units = (
