@@ -196,8 +196,9 @@ def test_seed_breaks_no_rule(raw):
 
 
 def test_scalar_functions_give_one_row(raw):
-    assert [r.total_sales for r in sales.total_sales(raw, 1, "2024-01-01", "2025-01-01").collect()] == [0]
-    assert [r.total_sales for r in sales.total_sales(raw, 3, "2024-01-01", "2025-01-01").collect()] == [D("2356.29")]
+    assert [r.total_sales for r in sales.total_sales(raw, "2024-01-01", "2025-01-01", 1).collect()] == [0]
+    assert [r.total_sales for r in sales.total_sales(raw, "2024-01-01", "2025-01-01", 3).collect()] == [D("2356.29")]
+    assert [r.total_sales for r in sales.total_sales(raw, "2024-01-01", "2025-01-01").collect()] == [D("10614.12")]
     assert [r.average_rating for r in reviews.average_product_rating(raw, 999).collect()] == [0]
     assert [r.average_rating for r in reviews.average_product_rating(raw, 12).collect()] == [0]
 

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 @dataclass
 class Limits:
-    # A lookup side is broadcast only when the files behind it are no larger than this.
-    broadcast_bytes: int = 48 * 1024 * 1024
+    # A lookup side is broadcast only when the files behind it are no larger than this. Its keys are
+    # unique and so do not compress far below two bytes: that is at most some eight million rows.
+    broadcast_bytes: int = 16 * 1024 * 1024
     # A key is treated as heavy when it holds at least this many rows ...
     heavy_rows: int = 1_000_000
     # ... and at least this share of all rows, so there are never more than 1,000 heavy keys.

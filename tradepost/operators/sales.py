@@ -66,13 +66,15 @@ def total_sales_by_product(tables: Frames, start: str, end: str) -> DataFrame:
     )
 
 
-def total_sales(tables: Frames, product_id: int, start: str, end: str) -> DataFrame:
-    """One row: sales of one product in a closed period, 0 if there are none."""
-    items = tables["order_items"].filter(F.col("product_id") == product_id)
+def total_sales(tables: Frames, start: str, end: str, product_id: int | None = None) -> DataFrame:
+    """One row: sales of the whole shop or of one product in a closed period, 0 if there are none."""
+    items, products = tables["order_items"], tables["product"].select("product_id", "price")
+    if product_id is not None:
+        items, products = (df.filter(F.col("product_id") == product_id) for df in (items, products))
     chosen = tables["order"].filter(within("order_date", start, end)).select("order_id")
-    prices = tables["product"].filter(F.col("product_id") == product_id).select("product_id", "price")
-    sold = keyed_join(items, chosen, "order_id", "left_semi").groupBy("product_id").agg(whole_sum("quantity").alias("units"))
-    return sold.join(prices, "product_id").agg(
+    items = items.select("order_id", "product_id", "quantity")
+    sold = units_by_product(keyed_join(items, chosen, "order_id", "left_semi"))
+    return keyed_join(sold, products, "product_id", unique=True).agg(
         F.coalesce(F.sum(F.col("units") * F.col("price")), F.lit(0)).cast(MONEY_SUM).alias("total_sales")
     )
 
