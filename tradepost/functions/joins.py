@@ -12,7 +12,7 @@ def source_bytes(df: DataFrame) -> int:
     """Bytes of the tables ``df`` is read from. A side with one row per key has at most as many rows
     as the table its key comes from, so this bounds it, where Spark's own estimate of a joined side
     multiplies sizes. Sides that are not read from files count as unbounded."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 

@@ -27,32 +27,31 @@ def _specs(tables: Frames) -> list[TableSpec]:
     return [TABLES[name] for name in tables if name in TABLES]
 
 
-def not_null_rules(spec: TableSpec) -> dict[str, Column]:
-    """Rule name -> broken?"""
-    return {f"not_null:{c}": F.col(c).isNull() for c in spec.required}
+def not_null_rules(spec: TableSpec) -> dict[str, str]:
+    """Rule name -> SQL condition of a broken row."""
+    return {f"not_null:{c}": f"{c} is null" for c in spec.required}
 
 
-def check_rules(spec: TableSpec) -> dict[str, Column]:
-    return {f"check:{name}": ~F.coalesce(F.expr(text), F.lit(True)) for name, text in spec.checks.items()}
+def check_rules(spec: TableSpec) -> dict[str, str]:
+    return {f"check:{name}": f"not coalesce({text}, true)" for name, text in spec.checks.items()}
 
 
-def domain_rules(spec: TableSpec, df: DataFrame) -> dict[str, Column]:
+def domain_rules(spec: TableSpec, df: DataFrame) -> dict[str, str]:
     """Texts that are too long, and numbers that do not fit the declared decimal."""
-    rules = {f"length:{c}": F.coalesce(F.length(c) > n, F.lit(False)) for c, n in spec.lengths.items()}
+    rules = {f"length:{c}": f"coalesce(length({c}) > {n}, false)" for c, n in spec.lengths.items()}
+    given = {f.name: f.dataType for f in df.schema.fields}
     for f in spec.schema.fields:
-        if isinstance(f.dataType, T.DecimalType) and f.name in df.columns and df.schema[f.name].dataType != f.dataType:
+        if isinstance(f.dataType, T.DecimalType) and given.get(f.name, f.dataType) != f.dataType:
             kind = f.dataType.simpleString()
-            rules[f"range:{f.name}"] = F.col(f.name).isNotNull() & F.expr(f"try_cast({f.name} as {kind}) is null")
+            rules[f"range:{f.name}"] = f"{f.name} is not null and try_cast({f.name} as {kind}) is null"
     return rules
 
 
-def _count_rules(name: str, df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+def _count_rules(name: str, df: DataFrame, rules: dict[str, str]) -> DataFrame:
     """One pass over the table for all its rules, then one row per rule."""
-    counts = df.agg(
-        *[F.count_if(broken).cast("bigint").alias(f"r{i}") for i, broken in enumerate(rules.values())]
-    )
-    pairs = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"r{i}").alias("violations")) for i, rule in enumerate(rules)])
-    return counts.select(F.lit(name).alias("table_name"), F.inline(pairs))
+    counts = df.selectExpr(*[f"count_if({broken}) as r{i}" for i, broken in enumerate(rules.values())])
+    pairs = ", ".join(f"struct('{rule}' as rule, r{i} as violations)" for i, rule in enumerate(rules))
+    return counts.selectExpr(f"'{name}' as table_name", f"inline(array({pairs}))")
 
 
 def _rule_report(tables: Frames, rules_of) -> DataFrame:
@@ -77,22 +76,17 @@ def dq_domain(tables: Frames) -> DataFrame:
 
 
 def duplicate_keys(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
-    return df.filter(present).groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    return df.dropna(subset=list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
 def dq_unique(tables: Frames) -> DataFrame:
-    """Per key: how many rows are one too many."""
+    """Per key: how many rows are one too many. Keys with a missing part are not compared."""
     parts = []
     for spec in _specs(tables):
         for key in spec.unique_keys:
-            extra = duplicate_keys(tables[spec.name], key).agg(
-                F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("bigint").alias("violations")
-            )
+            extra = duplicate_keys(tables[spec.name], key).selectExpr("coalesce(sum(copies - 1), 0L) as violations")
             parts.append(
-                extra.select(
-                    F.lit(spec.name).alias("table_name"), F.lit("unique:" + ",".join(key)).alias("rule"), "violations"
-                )
+                extra.selectExpr(f"'{spec.name}' as table_name", f"'unique:{','.join(key)}' as rule", "violations")
             )
     return _union(parts)
 
@@ -110,16 +104,9 @@ def dq_foreign_keys(tables: Frames) -> DataFrame:
     parts = []
     for spec in _specs(tables):
         for fk in spec.foreign_keys:
-            lost = orphans(tables, spec, fk.column).agg(
-                F.coalesce(F.sum("n_rows"), F.lit(0)).cast("bigint").alias("violations")
-            )
-            parts.append(
-                lost.select(
-                    F.lit(spec.name).alias("table_name"),
-                    F.lit(f"foreign_key:{fk.column}->{fk.parent}").alias("rule"),
-                    "violations",
-                )
-            )
+            lost = orphans(tables, spec, fk.column).selectExpr("coalesce(sum(n_rows), 0L) as violations")
+            rule = f"foreign_key:{fk.column}->{fk.parent}"
+            parts.append(lost.selectExpr(f"'{spec.name}' as table_name", f"'{rule}' as rule", "violations"))
     return _union(parts)
 
 
@@ -130,7 +117,8 @@ def quality_report(tables: Frames) -> DataFrame:
 def row_faults(spec: TableSpec, df: DataFrame) -> Column:
     """Names of the rules a row breaks by itself, as an array."""
     rules = {**not_null_rules(spec), **check_rules(spec), **domain_rules(spec, df)}
-    return F.array_compact(F.array(*[F.when(broken, F.lit(rule)) for rule, broken in rules.items()]))
+    found = ", ".join(f"if({broken}, '{rule}', null)" for rule, broken in rules.items())
+    return F.expr(f"array_compact(array({found}))")
 
 
 def violating_keys(tables: Frames) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import types as T
 from ..functions.durable import cut
 
 
+WRITERS = 4
+
+
 class Folder:
     """The few file-system calls needed, on whatever file system the path names."""
 
@@ -46,11 +50,16 @@ class SnapshotStore:
 
     def write(self, frames: Mapping[str, DataFrame], partition_by: Mapping[str, list[str]] | None = None) -> int:
         version = max(self.versions(), default=0) + 1
-        for name, df in frames.items():
+
+        def write_one(name: str) -> None:
             columns = (partition_by or {}).get(name, [])
             # One shuffle by the partition columns, so that each partition is a few large files.
-            ordered = df.repartition(*columns) if columns else df
+            ordered = frames[name].repartition(*columns) if columns else frames[name]
             ordered.write.mode("overwrite").partitionBy(*columns).parquet(self._path(version, name))
+
+        # The tables do not depend on each other; their jobs can share the cluster.
+        with ThreadPoolExecutor(WRITERS) as pool:
+            list(pool.map(write_one, frames))
         self.folder.claim(f"_versions/{version:010d}")
         return version
 

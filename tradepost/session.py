@@ -26,6 +26,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "tr
         .appName(name)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # Noting the caller's line for every column takes longer than building the plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in SETTINGS.items():
