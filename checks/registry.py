@@ -225,7 +225,8 @@ def update_customers_log(spark, folder):
 
 
 def _orders(spark, folder):
-    return apply.create_orders(shop_tables(spark, folder), ask.order_requests(spark, folder), ask.AS_OF)
+    t = shop_tables(spark, folder)
+    return apply.place_orders(t, ask.order_heads(spark, folder), ask.order_lines(spark, folder), ask.AS_OF)
 
 
 @registered
@@ -296,7 +297,7 @@ over_tables("order_totals", lambda t: derive.order_totals(t).select("order_id",
 
 @registered
 def validate_order_address(spark, folder):
-    asked = ask.order_requests(spark, folder).select(F.col("seq").alias("order_id"), "customer_id", "address_id")
+    asked = ask.order_heads(spark, folder).select(F.col("seq").alias("order_id"), "customer_id", "address_id")
     return derive.check_order_addresses(asked, shop_tables(spark, folder)["address"])
 
 

@@ -74,41 +74,24 @@ def profile_changes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def order_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """Every order placed again with its line items. Orders in progress come with one quantity too few,
-    seventh lines name an unknown product, and some addresses do not belong to the customer."""
-    lines = (
-        raw_table(spark, folder, "lineitem")
-        .groupBy("l_orderkey")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "l_linenumber",
-                        "l_partkey",
-                        F.col("l_quantity").cast("int").alias("quantity"),
-                        "l_suppkey",
-                    )
-                )
-            ).alias("lines")
-        )
-    )
-    products = F.transform(
-        "lines", lambda x: x["l_partkey"] + F.when(x["l_linenumber"] == 7, 1_000_000_000).otherwise(0)
+def order_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order placed again. Those in progress are already refused, and some addresses do not belong
+    to the customer."""
+    return raw_table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("seq"),
+        F.col("o_custkey").alias("customer_id"),
+        (F.col("o_custkey") * 4 + F.col("o_orderkey") % 4).alias("address_id"),
+        F.when(F.col("o_orderstatus") == "P", "INCORRECT_INPUT").alias("refused"),
     )
-    quantities = F.transform("lines", lambda x: x["quantity"])
-    return (
-        raw_table(spark, folder, "orders")
-        .join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-        .select(
-            F.col("o_orderkey").alias("seq"),
-            F.col("o_custkey").alias("customer_id"),
-            (F.col("o_custkey") * 4 + F.col("o_orderkey") % 4).alias("address_id"),
-            products.alias("product_ids"),
-            F.when(F.col("o_orderstatus") == "P", F.slice(quantities, F.lit(1), F.size("lines") - 1))
-            .otherwise(quantities)
-            .alias("quantities"),
-        )
+
+
+def order_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The line items of those orders; seventh lines name an unknown product."""
+    unknown = F.when(F.col("l_linenumber") == 7, 1_000_000_000).otherwise(0)
+    return raw_table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("seq"),
+        (F.col("l_partkey") + unknown).alias("product_id"),
+        F.col("l_quantity").cast("int").alias("quantity"),
     )
 
 

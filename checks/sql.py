@@ -87,11 +87,11 @@ DEFINITIONS = {
         from lineitem""",
     "ask_orders": """
         select o_orderkey as seq, o_custkey as customer_id, o_custkey * 4 + o_orderkey % 4 as address_id,
-               case when o_orderstatus = 'P' then 'INCORRECT_INPUT'
+               case when o_orderstatus = 'P' or n_lines is null then 'INCORRECT_INPUT'
                     when o_orderkey % 4 > o_custkey % 3 then 'ADDRESS_NOT_OF_CUSTOMER'
                     when n_products < n_lines then 'PRODUCT_TWICE'
                     when n_unknown > 0 then 'UNKNOWN_PRODUCT' end as refused
-        from orders join (select seq, count(*) as n_lines, count(distinct product_id) as n_products,
+        from orders left join (select seq, count(*) as n_lines, count(distinct product_id) as n_products,
                                  count(*) filter (where product_id >= 1000000000) as n_unknown
                           from ask_order_lines group by seq) on seq = o_orderkey""",
     "ask_placed": """

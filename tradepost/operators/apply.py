@@ -171,39 +171,62 @@ def add_to_favorites(tables: Frames, requests: DataFrame, as_of: str) -> Result:
 
 
 def create_orders(tables: Frames, requests: DataFrame, as_of: str) -> Result:
-    """Place orders (seq, customer_id, address_id, product_ids, quantities).
-
-    A request is refused as a whole, before it takes any stock, when its arrays differ in length or
-    are empty, the address is not the customer's, a product is unknown or named twice, or a quantity is
-    missing. Otherwise the order exists even if each of its items is skipped for lack of stock. The log
-    has one row per refused request and one per item of the others.
-    """
-    columns = ["seq", "customer_id", "address_id", "product_ids", "quantities"]
+    """Place orders (seq, customer_id, address_id, product_ids, quantities); see ``place_orders``. Arrays that
+    are empty or differ in length are refused."""
     sized = F.coalesce(
         (F.size("product_ids") > 0) & (F.size("product_ids") == F.size("quantities")), F.lit(False)
     )
-    shaped = check_order_addresses(requests.select(*columns), tables["address"]).withColumn(
-        "_status",
-        F.when(~sized, "INCORRECT_INPUT")
-        .when(~F.col("accepted"), "ADDRESS_NOT_OF_CUSTOMER")
-        .when(F.size(F.array_distinct("product_ids")) < F.size("product_ids"), "PRODUCT_TWICE")
-        .when(F.exists("quantities", lambda q: q.isNull()), "NO_QUANTITY"),
+    heads = requests.select(
+        "seq", "customer_id", "address_id", F.when(~sized, F.lit("INCORRECT_INPUT")).alias("refused")
     )
-    lines = (
-        shaped.filter("_status is null")
-        .select("seq", F.posexplode(F.arrays_zip("product_ids", "quantities")).alias("line", "_pair"))
-        .select("seq", "line", F.col("_pair.product_ids").alias("product_id"), F.col("_pair.quantities").alias("quantity"))
+    pairs = requests.filter(sized).select("seq", F.explode(F.arrays_zip("product_ids", "quantities")).alias("_pair"))
+    lines = pairs.select(
+        "seq", F.col("_pair.product_ids").alias("product_id"), F.col("_pair.quantities").alias("quantity")
+    )
+    return place_orders(tables, heads, lines, as_of)
+
+
+def place_orders(tables: Frames, heads: DataFrame, lines: DataFrame, as_of: str) -> Result:
+    """Place orders given as heads (seq, customer_id, address_id, refused) and lines (seq, product_id,
+    quantity), so that an order may have any number of lines.
+
+    An order is refused as a whole, before it takes any stock, when ``refused`` already says why, it has
+    no lines, the address is not the customer's, a product is unknown or named twice, or a quantity is
+    missing. Otherwise the order exists even if each of its items is skipped for lack of stock. The log
+    has one row per refused order and one per item of the others.
+    """
+    merged = cut(
+        lines.groupBy("seq", "product_id").agg(
+            F.count(F.lit(1)).alias("_times"),
+            F.count_if(F.col("quantity").isNull()).alias("_missing"),
+            F.max("quantity").alias("quantity"),
+        )
     )
     goods = tables["product"].select("product_id", F.lit(True).alias("_product"))
-    unknown = (
-        keyed_join(lines, goods, "product_id", "left").filter("_product is null").select("seq").distinct()
-    ).withColumn("_unknown", F.lit(True))
+    faults = (
+        keyed_join(merged, goods, "product_id", "left")
+        .groupBy("seq")
+        .agg(
+            (F.max("_times") > 1).alias("_twice"),
+            (F.max("_missing") > 0).alias("_missing"),
+            F.bool_or(F.col("_product").isNull()).alias("_unknown"),
+        )
+    )
     judged = cut(
-        shaped.join(unknown, "seq", "left")
-        .withColumn("_status", F.coalesce("_status", F.when(F.col("_unknown"), "UNKNOWN_PRODUCT")))
-        .select(*columns, "_status")
+        check_order_addresses(heads, tables["address"])
+        .join(faults, "seq", "left")
+        .withColumn(
+            "refused",
+            F.when(F.col("refused").isNotNull(), F.col("refused"))
+            .when(F.col("_twice").isNull(), "INCORRECT_INPUT")
+            .when(~F.col("accepted"), "ADDRESS_NOT_OF_CUSTOMER")
+            .when(F.col("_twice"), "PRODUCT_TWICE")
+            .when(F.col("_missing"), "NO_QUANTITY")
+            .when(F.col("_unknown"), "UNKNOWN_PRODUCT"),
+        )
+        .select("seq", "customer_id", "address_id", "refused")
     )
-    placed = new_ids(judged.filter("_status is null").drop("_status"), tables["order"], "order_id", "seq")
+    placed = new_ids(judged.filter("refused is null").drop("refused"), tables["order"], "order_id", "seq")
     new_orders = placed.select(
         "order_id",
         F.lit(as_of).cast("timestamp_ntz").alias("order_date"),
@@ -213,9 +236,7 @@ def create_orders(tables: Frames, requests: DataFrame, as_of: str) -> Result:
         "address_id",
     )
     # A product occurs once in an order, so the order's arrival number is unique within a product.
-    wanted = placed.select("seq", "order_id", F.explode(F.arrays_zip("product_ids", "quantities")).alias("_pair")).select(
-        "seq", "order_id", F.col("_pair.product_ids").alias("product_id"), F.col("_pair.quantities").alias("quantity")
-    )
+    wanted = keyed_join(merged.select("seq", "product_id", "quantity"), placed.select("seq", "order_id"), "seq")
     allocated = cut(allocate_stock(wanted, tables["product"]))
     new_items = allocated.filter("accepted").select(F.col("quantity").cast("int").alias("quantity"), "order_id", "product_id")
     totalled = order_totals({"order": new_orders, "order_items": new_items, "product": tables["product"]})
@@ -227,5 +248,5 @@ def create_orders(tables: Frames, requests: DataFrame, as_of: str) -> Result:
     log = allocated.select(
         "seq", "order_id", "product_id", F.when(F.col("accepted"), "DONE").otherwise("EXCEEDS_STOCK").alias("status")
     )
-    refused = judged.filter("_status is not null").select("seq", F.col("_status").alias("status"))
+    refused = judged.filter("refused is not null").select("seq", F.col("refused").alias("status"))
     return changed, log.unionByName(refused, allowMissingColumns=True)
