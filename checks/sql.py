@@ -145,7 +145,6 @@ def query(body: str, extra: str = "") -> str:
 MEAN2 = "cast(floor((200 * sum(rating) + count(rating)) / (2 * count(rating))) / 100 as decimal(10,2))"
 NAME = "coalesce(c.first_name, '') || ' ' || coalesce(c.last_name, '')"
 MONEY = "decimal(18,2)"
-UNORDERED = "('1996-01-01', '1996-06-30')"
 IDLE = """select distinct customer_id from shop_order
           where order_date between timestamp '1996-01-01' and timestamp '1996-06-30'"""
 

@@ -12,7 +12,6 @@ from ..functions.limits import LIMITS
 from ..functions.scan import position
 
 Frames = Mapping[str, DataFrame]
-Keys = "list | DataFrame | None"
 
 
 def matching(df: DataFrame, column: str, keys) -> DataFrame:

@@ -74,6 +74,7 @@ def categories(part: DataFrame) -> DataFrame:
 
 
 def products(part: DataFrame) -> DataFrame:
+    # Part types come from a fixed word list, so there are a few hundred categories at any scale.
     kinds = categories(part)
     return (
         part.withColumn("half", F.col("p_partkey") % 2)
