@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, secret_scan, sharding, tool_calls
+from . import exact_dedup, near_join, packing, secret_scan, sharding, tool_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -89,3 +90,16 @@ def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
     lost = tool_calls.orphans(results, calls).select("conv_id", "turn", "call_id", F.lit("orphan").alias("linked"))
     return linked.unionByName(lost, allowMissingColumns=True)
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return near_join.near_duplicates(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), "class_id", "n_links", "kept"
+    )
