@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_join, packing, secret_scan, sharding, tool_calls
+from . import byte_bpe, exact_dedup, near_join, packing, secret_scan, sharding, token_files, tool_calls, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -103,3 +103,38 @@ def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return near_join.near_duplicates(table(spark, folder, "documents")).select(
         F.col("id").alias("doc_id"), "class_id", "n_links", "kept"
     )
+
+
+def toxicity_model(spark: SparkSession, folder: str, docs: DataFrame) -> toxicity.Model:
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    return toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, folder, docs))
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        toxicity.held_out(F.col("id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = token_files.token_files(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return files.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, folder, "documents"), path, pattern), path, pattern)
+    return coded.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
