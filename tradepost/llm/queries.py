@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, near_join, packing, secret_scan, sharding, token_files, tool_calls, toxicity
+from . import byte_bpe, embedding_join, exact_dedup, near_join, packing, secret_scan, sharding, token_files, tool_calls, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -138,3 +138,11 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op7_embedding_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    found = embedding_join.near_vectors(table(spark, folder, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
