@@ -113,10 +113,10 @@ def toxicity_model(spark: SparkSession, folder: str, docs: DataFrame) -> toxicit
 @query
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    scored = toxicity.score(docs, toxicity_model(spark, folder, docs))
+    scored = docs.select("doc_id", toxicity.score(docs["text"], toxicity_model(spark, folder, docs)).alias("score"))
     return scored.select(
-        F.col("id").alias("doc_id"),
-        toxicity.held_out(F.col("id")).alias("held_out"),
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
         "score",
         (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"),
     )

@@ -18,12 +18,13 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import ROW, Scratch, column, numbered
+from .scratch import Scratch, column
 
 # Letters of other scripts that look like Latin ones.
 LOOK_ALIKE = dict(
@@ -233,25 +234,15 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, fl
     return tuple(float(v) for v in w)
 
 
-def _scored(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = matcher(model)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                scores = [m.score(folded(t)) for t in batch.column("text").to_pylist()]
-                columns = [batch.column("row"), batch.column("id"), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "score"])
-
-    return run
+def score(text: Column, model: Model) -> Column:
+    """Score between 0 and 1 of a text; higher is likelier toxic. Missing and empty texts get the score of a text without
+    matches."""
 
+    def scored(texts: pd.Series) -> pd.Series:
+        m = matcher(model)
+        return pd.Series([m.score(folded(t)) for t in texts], dtype=float)
 
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, id, score) for every row of ``docs``; only the text counts. Missing and empty texts get the score of a text without
-    matches, repeated rows are scored each for itself, an empty table gives no rows."""
-    rows = numbered(docs).select(F.col(ROW).alias("row"), column(docs, id_column).alias("id"), column(docs, text).alias("text"))
-    kind = docs.schema[id_column].dataType.simpleString()
-    return rows.mapInArrow(_scored(model), f"row bigint, id {kind}, score double")
+    return F.pandas_udf(scored, "double")(text)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -263,7 +254,6 @@ def held_out(doc_id: Column) -> Column:
 CUT = 0.7
 
 
-def without_toxic(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score stays below ``CUT``, with all their columns."""
-    toxic = score(docs, model, id_column, text).filter(F.col("score") >= CUT).select(F.col("row").alias(ROW))
-    return numbered(docs).join(toxic, ROW, "left_anti").drop(ROW)
+def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score stays below ``CUT``, with all their columns. An empty table gives no rows."""
+    return docs.filter(score(column(docs, text), model) < CUT)
