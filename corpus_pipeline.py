@@ -3,25 +3,50 @@ written as Parquet and read again as the documents of the next."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tradepost.llm import exact_dedup, secret_scan
+from tradepost.llm import exact_dedup, near_join, packing, secret_scan, toxicity
+from tradepost.llm.queries import toxicity_model
 from tradepost.llm.scratch import Scratch
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score counts as toxic go."""
+    return toxicity.without_toxic(docs, toxicity_model(spark, sf_dir, docs))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """Of equal texts one document stays."""
     return exact_dedup.without_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of linked texts one document stays."""
+    return near_join.one_of_each(docs)
+
+
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; no document goes."""
     return secret_scan.redact(docs)
 
 
-STAGES = [("exact dedup", drop_copies), ("secret scans", hide_secrets)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences."""
+    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram jaccard join", drop_near_copies),
+    ("secret scans", hide_secrets),
+    ("best-fit packing", pack),
+]
 
-#: No stage but the first two has a counterpart in SQL; tests compare with plain Python instead.
+#: Fitted scores, near copies and packing have no form in SQL; a test compares with plain Python.
 ORACLE_SQL = None
 
 
