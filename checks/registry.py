@@ -14,6 +14,7 @@ from tradepost.plans import catalog
 from tradepost.session import configure
 from tradepost.sources import TABLES, Tables, shop_tables
 from tradepost.sources.ingest import ingest
+from tradepost.streaming import jobs
 
 from . import requests as ask
 
@@ -80,8 +81,23 @@ def view_catalog(spark, folder):
     )
 
 
+def _snapshot(name: str) -> None:
+    """A stored summary written and read back."""
+
+    def read_back(spark, folder):
+        store = catalog.write_summaries(spark, shop_tables(configure(spark), folder), work_folder(spark, "snapshot"), [name])
+        return store.read(name)
+
+    QUERIES[f"mv_snapshot_{name}"] = read_back
+
+
+for _name in catalog.SUMMARIES:
+    _snapshot(_name)
+
+
 @registered
 def mv_snapshot(spark, folder):
+    """All summaries written as one version, one of them read back."""
     store = catalog.write_summaries(spark, shop_tables(spark, folder), work_folder(spark, "snapshot"))
     return store.read("monthly_report").select(*_MONTHLY)
 
@@ -91,13 +107,13 @@ _MONTHLY = ["category_name", "sales_month", "total_products_sold", "total_revenu
 
 @registered
 def mv_refresh(spark, folder):
-    """The monthly summary built from the orders of each half of the time in turn."""
+    """The monthly summary built from the orders of three stretches of time in turn."""
     t = shop_tables(spark, folder)
     path = work_folder(spark, "refresh")
-    early = F.col("order_date") < F.lit("1998-01-01").cast("timestamp_ntz")
-    for batch, half in enumerate([early, ~early]):
+    first, second = (F.col("order_date") < F.lit(d).cast("timestamp_ntz") for d in ("1995-01-01", "1998-01-01"))
+    for batch, stretch in enumerate([first, ~first & second, ~second]):
         result = catalog.refresh_summary(
-            spark, "monthly_report", batch, t.replace(order=t["order"].filter(half)), t, path
+            spark, "monthly_report", batch, t.replace(order=t["order"].filter(stretch)), t, path
         )
     return result.select(*_MONTHLY)
 
@@ -120,8 +136,16 @@ over_tables(
     lambda t: customers.single_order_customers_by_addresses(t, 25, "1900-01-01", "1996-01-01"),
 )
 
+# The source takes all orders; in the given tables every such customer has some, so the answers need customers without.
+QUERIES["customers_without_orders_all"] = lambda s, f: customers.customers_without_orders(ask.more_customers(configure(s), f))
+QUERIES["favorites_but_no_order_all"] = lambda s, f: customers.favorites_but_no_order(ask.more_customers(configure(s), f))
+QUERIES["single_order_customers_by_addresses_all"] = lambda s, f: customers.single_order_customers_by_addresses(
+    ask.more_customers(configure(s), f), 25
+)
+
 # ---- functions
 over_tables("total_sales", lambda t: sales.total_sales(t, *YEAR))
+over_tables("total_sales_of_product", lambda t: sales.total_sales(t, *YEAR, product_id=7))
 over_tables("total_sales_by_product", lambda t: sales.total_sales_by_product(t, "1996-01-01", "1996-02-01"))
 over_tables("monthly_sales_category", lambda t: sales.monthly_sales_category(t, 1996, 12))
 over_tables("average_product_rating", reviews.average_product_rating)
@@ -211,6 +235,14 @@ def add_phone_numbers(spark, folder):
     return apply.add_phone_numbers(shop_tables(spark, folder), ask.phone_requests(spark, folder))[0]
 
 
+@registered
+def phone_arrays(spark, folder):
+    """The customer table with the added phones in its arrays."""
+    t = shop_tables(spark, folder)
+    added = apply.add_phone_numbers(t, ask.phone_requests(spark, folder))[0]
+    return apply.phone_arrays(t["customer"], added).select("customer_id", F.array_join("phone_numbers", ",").alias("phone_numbers"))
+
+
 @registered
 def update_customers(spark, folder):
     changed, _ = apply.update_customers(shop_tables(spark, folder), ask.profile_changes(spark, folder))
@@ -246,6 +278,17 @@ def create_orders_stock(spark, folder):
     return _orders(spark, folder)[0]["product"].select("product_id", "stock_count")
 
 
+@registered
+def create_orders_items(spark, folder):
+    return _orders(spark, folder)[0]["order_items"]
+
+
+@registered
+def create_orders_arrays(spark, folder):
+    """Orders given as arrays of products and quantities, some empty, missing or of unequal length."""
+    return apply.create_orders(shop_tables(spark, folder), ask.order_arrays(spark, folder), ask.AS_OF)[1]
+
+
 def _discounts(spark, folder):
     return promos.apply_discounts(
         shop_tables(spark, folder)["order"], ask.more_discounts(spark, folder), ask.code_requests(spark, folder, ("D", "E"))
@@ -283,6 +326,11 @@ def apply_gift_cards_log(spark, folder):
     return _gifts(spark, folder).log
 
 
+@registered
+def apply_gift_cards_codes(spark, folder):
+    return _gifts(spark, folder).codes.select("gift_id", "code", "status", "order_id")
+
+
 @registered
 def delete_customers(spark, folder):
     t = shop_tables(spark, folder)
@@ -306,6 +354,20 @@ over_tables("payment_settlement", derive.payment_settlement)
 over_tables("wallet_ledger", lambda t: wallet.wallet_ledger(t).drop("payment_date"))
 
 
+def _settled(t: Tables) -> dict[str, DataFrame]:
+    return wallet.settle_with_wallet(t, wallet.wallet_ledger(t))
+
+
+over_tables("settled_orders", lambda t: _settled(t)["order"].select("order_id", "status"))
+over_tables(
+    "settled_wallets",
+    lambda t: _settled(t)["customer"].select("customer_id", F.col("wallet_balance").cast(MONEY).alias("wallet_balance")),
+)
+over_tables(
+    "settled_payments", lambda t: _settled(t)["payment"].select("payment_id", F.col("amount").cast(MONEY).alias("amount"))
+)
+
+
 @registered
 def wallet_ledger_shared(spark, folder):
     t = shop_tables(spark, folder)
@@ -320,7 +382,16 @@ def _allocated(t: Tables) -> DataFrame:
     return stock.allocate_stock(wanted, t["product"])
 
 
-over_tables("allocate_stock", lambda t: _allocated(t).drop("seq"))
+over_tables("allocate_stock", lambda t: _allocated(t).drop("seq", "status"))
+
+
+@registered
+def allocate_stock_status(spark, folder):
+    """Requests among which some name no product, an unknown one or no quantity."""
+    t = shop_tables(spark, folder)
+    return stock.allocate_stock(ask.stock_requests(t["order_items"]), t["product"])
+
+
 over_tables(
     "allocate_stock_remaining",
     lambda t: stock.remaining_stock(_allocated(t), t["product"]).select("product_id", "stock_count"),
@@ -328,22 +399,23 @@ over_tables(
 over_tables("review_notifications", lambda t: derive.review_notifications(t["review"]))
 
 
-def _flat_history(log: DataFrame) -> DataFrame:
-    return log.select("order_id", "customer_id", "order_details.*").select(
-        "order_id", "customer_id", "order_date", "total_price", "status", F.inline_outer("items")
-    )
-
-
-over_tables("order_history", lambda t: _flat_history(derive.order_history(t)))
+@registered
+def order_history(spark, folder):
+    return derive.history_json(derive.order_history(shop_tables(spark, folder), as_of=ask.AS_OF))
 
 
 @registered
 def history_sink(spark, folder):
-    """The history written as JSON lines and read back."""
-    path = work_folder(spark, "history")
-    log = derive.order_history(shop_tables(spark, folder))
-    log.write.mode("append").option("ignoreNullFields", "false").json(path)
-    return _flat_history(spark.read.schema(log.schema).json(path))
+    """The history of three stretches of orders appended to one table and read back."""
+    t = shop_tables(spark, folder)
+    sink = jobs.history_log(spark, work_folder(spark, "history"))
+    paid = derive.paid_orders(t["order"])
+    bounds = ask.thirds(spark, folder)
+    for batch, (low, high) in enumerate(bounds):
+        last = sink.rows().agg(F.max("log_id")).first()[0] or 0
+        some = paid.filter((F.col("order_id") >= low) & (F.col("order_id") < high))
+        sink.put(batch, derive.history_json(derive.order_history(t, some, as_of=ask.AS_OF, last_id=last)))
+    return sink.rows().drop("batch")
 
 
 # ---- data quality
@@ -356,3 +428,7 @@ _unchecked("dq_unique", quality.dq_unique)
 _unchecked("dq_foreign_keys", quality.dq_foreign_keys)
 _unchecked("dq_checks", quality.dq_checks)
 _unchecked("dq_domain", quality.dq_domain)
+_unchecked(
+    "violating_keys",
+    lambda t: quality.violating_keys(t).groupBy("table_name", "rule").agg(F.count(F.lit(1)).alias("found"), F.min("row_key").alias("first")),
+)

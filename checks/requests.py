@@ -95,6 +95,84 @@ def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def order_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders again as arrays, without their seventh lines; every eleventh lacks a quantity, every thirteenth has empty
+    arrays, and every seventeenth none."""
+    key = F.col("seq")
+    lines = order_lines(spark, folder).filter("product_id < 1000000000").groupBy("seq").agg(
+        F.array_sort(F.collect_list(F.struct("product_id", "quantity"))).alias("l")
+    )
+    heads = order_heads(spark, folder).drop("refused").join(lines, "seq")
+    products, quantities = (F.transform("l", lambda x, n=n: x[n]) for n in ("product_id", "quantity"))
+    none = F.array().cast("array<bigint>")
+    return heads.select(
+        "seq",
+        "customer_id",
+        "address_id",
+        F.when(key % 17 != 0, F.when(key % 13 == 0, none).otherwise(products)).alias("product_ids"),
+        F.when(key % 13 == 0, none.cast("array<int>"))
+        .when(key % 11 == 0, F.slice(quantities, 1, F.size("l") - 1))
+        .otherwise(quantities)
+        .alias("quantities"),
+    )
+
+
+def stock_requests(items: DataFrame) -> DataFrame:
+    """Order items as requests; some name no product, an unknown one or no quantity."""
+    key = F.col("order_id")
+    return items.select(
+        key.alias("seq"),
+        F.when(key % 9 == 0, None).when(key % 7 == 0, F.col("product_id") + 1_000_000_000).otherwise(F.col("product_id")).alias("product_id"),
+        F.when(key % 5 != 0, F.col("quantity")).alias("quantity"),
+    )
+
+
+def more_customers(spark: SparkSession, folder: str) -> Tables:
+    """The shop with a further customer, without orders, for every signup: some with a favorite list, with one to four
+    addresses, and one order for every third of them."""
+    t = shop_tables(spark, folder)
+    far = 1_000_000_000
+    new = _events(spark, folder, "signup").select(F.col("event_id").alias("e"))
+    key = (F.col("e") + far).alias("customer_id")
+    people = new.select(
+        key,
+        F.concat(F.lit("New"), F.col("e")).alias("first_name"),
+        F.lit("Customer").alias("last_name"),
+        F.concat(F.lit("new"), F.col("e")).alias("username"),
+        F.lit(None).cast("decimal(10,2)").alias("wallet_balance"),
+        F.array().cast("array<string>").alias("phone_numbers"),
+    )
+    lists = new.filter("e % 2 = 0").select(
+        (F.col("e") + far).alias("favorite_id"),
+        F.lit(None).cast("decimal(10,2)").alias("total_price"),
+        F.lit(AS_OF).cast("timestamp_ntz").alias("create_date"),
+        key,
+    )
+    items = new.filter("e % 2 = 0").select((F.col("e") + far).alias("favorite_id"), F.lit(1).cast("bigint").alias("product_id"), F.lit(1).alias("quantity"))
+    single = new.filter("e % 3 = 0").select(
+        (F.col("e") + far).alias("order_id"),
+        F.lit(AS_OF).cast("timestamp_ntz").alias("order_date"),
+        F.lit("1.00").cast("decimal(10,2)").alias("total_price"),
+        F.lit(False).alias("status"),
+        key,
+        (F.col("e") + far).alias("address_id"),
+    )
+    homes = new.select("e", F.explode(F.sequence(F.lit(0), (F.col("e") % 4).cast("int"))).alias("i")).select(
+        (F.col("e") * 4 + F.col("i") + far * 4).alias("address_id"),
+        *(F.lit("x").alias(c) for c in ("street_name", "street_number", "country", "city", "postal_code", "province")),
+        key,
+    )
+    more = {"customer": people, "favorite_list": lists, "favorite_list_items": items, "order": single, "address": homes}
+    return t.replace(**{name: t[name].unionByName(rows.select(*t[name].columns)) for name, rows in more.items()})
+
+
+def thirds(spark: SparkSession, folder: str) -> list[tuple[int, int]]:
+    """Bounds of three stretches of order keys."""
+    low, high = raw_table(spark, folder, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    cuts = [low + (high - low) * i // 3 for i in range(3)] + [high + 1]
+    return list(zip(cuts, cuts[1:]))
+
+
 def _urgent(spark: SparkSession, folder: str) -> DataFrame:
     return raw_table(spark, folder, "orders").filter("o_orderpriority = '1-URGENT'")
 

@@ -107,6 +107,24 @@ DEFINITIONS = {
         union all
         select o_orderkey + 1000000000, cast(1000 * (o_orderkey % 90) as decimal(10,2)), 'H' || o_orderkey, true, o_orderkey
         from orders where o_orderpriority = '1-URGENT'""",
+    "new_people": """
+        select event_id + 1000000000 as customer_id, event_id as e, 'New' || event_id as first_name, 'Customer' as last_name,
+               'new' || event_id as username
+        from events where event_type = 'signup'""",
+    "ask_stock": """
+        select order_id as seq, case when order_id % 9 = 0 then null when order_id % 7 = 0 then product_id + 1000000000
+                    else product_id end as product_id, case when order_id % 5 <> 0 then quantity end as quantity
+        from shop_items""",
+    "array_orders": """
+        select o_orderkey as seq, o_custkey as customer_id, o_custkey * 4 + o_orderkey % 4 as address_id,
+               case when o_orderkey % 17 = 0 or o_orderkey % 13 = 0 or o_orderkey % 11 = 0 then 'INCORRECT_INPUT'
+                    when o_orderkey % 4 > o_custkey % 3 then 'ADDRESS_NOT_OF_CUSTOMER'
+                    when n_products < n_lines then 'PRODUCT_TWICE' end as refused
+        from orders join (select seq, count(*) as n_lines, count(distinct product_id) as n_products
+                          from ask_order_lines where product_id < 1000000000 group by seq) on seq = o_orderkey""",
+    "array_placed": """
+        select *, (select max(o_orderkey) from orders) + row_number() over (order by seq) as order_id
+        from array_orders where refused is null""",
     "leaving": "select c_custkey as customer_id from customer where c_mktsegment = 'BUILDING'",
 }
 
@@ -290,7 +308,38 @@ add(
        group by all order by num_of_addresses desc, a.customer_id limit 25""",
 )
 
+add(
+    "customers_without_orders_all",
+    """select customer_id, first_name, last_name, username, wallet_balance from shop_customer
+       where customer_id not in (select customer_id from shop_order)
+       union all
+       select customer_id, first_name, last_name, username, null from new_people where e % 3 <> 0""",
+)
+add(
+    "favorites_but_no_order_all",
+    f"""select distinct c.customer_id, {NAME} as customer_name from shop_customer c join shop_list f using (customer_id)
+       where c.customer_id not in (select customer_id from shop_order)
+       union all
+       select c.customer_id, {NAME} from new_people c where e % 2 = 0 and e % 3 <> 0""",
+)
+add(
+    "single_order_customers_by_addresses_all",
+    f"""select customer_id, {NAME} as customer_name, num_of_addresses from (
+         select customer_id, first_name, last_name, count(*) as num_of_addresses
+         from shop_customer join shop_address using (customer_id)
+         where customer_id in (select customer_id from shop_order group by customer_id having count(*) = 1) group by all
+         union all
+         select customer_id, first_name, last_name, 1 + e % 4 from new_people where e % 3 = 0) c
+       order by num_of_addresses desc, customer_id limit 25""",
+)
+
 # ---- functions ----------------------------------------------------------------------------------
+add(
+    "total_sales_of_product",
+    f"""select cast(coalesce(sum(i.quantity * p.price), 0) as {MONEY}) as total_sales
+       from shop_items i join shop_order o using (order_id) join shop_product p using (product_id)
+       where o.order_date between timestamp '1996-01-01' and timestamp '1997-01-01' and i.product_id = 7""",
+)
 add(
     "total_sales",
     f"""select cast(coalesce(sum(i.quantity * p.price), 0) as {MONEY}) as total_sales
@@ -384,6 +433,8 @@ add(
        join shop_category c using (category_id) group by all""",
 )
 SQL["mv_snapshot"] = SQL["monthly_report"]
+for _name in ("reviews", "product_summary", "discount_summary", "sales_by_category", "monthly_report"):
+    SQL[f"mv_snapshot_{_name}"] = SQL[_name]
 SQL["mv_refresh"] = SQL["monthly_report"]
 
 # ---- lookups ------------------------------------------------------------------------------------
@@ -502,6 +553,12 @@ add(
        select customer_id, 1 + row_number() over (partition by customer_id order by seq), phone
        from ask_phones where customer_id in (select customer_id from shop_customer)""",
 )
+add(
+    "phone_arrays",
+    """select customer_id, array_to_string(list_concat(phone_numbers, coalesce(l, [])), ',') as phone_numbers
+       from shop_customer left join (select customer_id, list(phone order by seq) as l from ask_phones group by customer_id)
+       using (customer_id)""",
+)
 _changes = """
     patch as (
         select username, arg_max(first_name, seq) filter (where first_name is not null) as f,
@@ -550,6 +607,23 @@ add(
        from shop_product p left join wanted_walk w on w.product_id = p.product_id group by p.product_id, p.stock_count""",
     _orders,
 )
+add(
+    "create_orders_items",
+    """select quantity, order_id, product_id from shop_items
+       union all
+       select w.quantity, o.order_id, w.product_id from wanted_walk w join ask_placed o using (seq) where w.accepted""",
+    _orders,
+)
+add(
+    "create_orders_arrays",
+    """select w.seq, o.order_id, w.product_id, case when w.accepted then 'DONE' else 'EXCEEDS_STOCK' end as status
+       from wanted_walk w join array_placed o using (seq)
+       union all select seq, null, null, refused from array_orders where refused is not null""",
+    """
+    wanted as (
+        select seq, order_id, product_id, l.quantity, p.stock_count as stock
+        from array_placed join ask_order_lines l using (seq) join shop_product p using (product_id)),""" + GREEDY.format(source="wanted"),
+)
 _tries = """
     tries as (
         select o_orderkey * 4 + i as seq, o_orderkey as order_id, i, (case i % 2 when 0 then '{first}' else '{second}' end) || o_orderkey as code
@@ -580,6 +654,7 @@ add(
        from shop_order o left join all_gifts g on g.order_id = o.order_id and g.status group by o.order_id, o.total_price""",
 )
 add("apply_gift_cards_log", "select seq, order_id, code, status from judged", _gift_tries)
+add("apply_gift_cards_codes", "select gift_id, code, false as status, order_id from all_gifts")
 _left = {
     "customer": ("shop_customer", "customer_id", "customer_id not in (from leaving)"),
     "address": ("shop_address", "address_id", "customer_id not in (from leaving)"),
@@ -667,6 +742,18 @@ add(
        from walk""",
     _wallet,
 )
+add("settled_orders", "select order_id, status or order_id in (select order_id from walk where order_paid) as status from shop_order", _wallet)
+add(
+    "settled_wallets",
+    f"""select customer_id, cast(coalesce(w / 100.0, wallet_balance) as {MONEY}) as wallet_balance
+       from shop_customer left join (select customer_id, arg_max(wallet_after, n) as w from walk group by customer_id) using (customer_id)""",
+    _wallet,
+)
+add(
+    "settled_payments",
+    f"select payment_id, cast(coalesce(stored / 100.0, amount) as {MONEY}) as amount from shop_payment left join walk using (payment_id)",
+    _wallet,
+)
 _shared = """
     numbered as (
         select p.payment_id, p.payer as customer_id, p.order_id, cast(p.amount * 100 as bigint) as amount,
@@ -716,6 +803,17 @@ _stock = """
     source="wanted"
 )
 add("allocate_stock", "select product_id, seq as order_id, quantity, accepted from wanted_walk", _stock)
+add(
+    "allocate_stock_status",
+    """select a.seq, a.product_id, a.quantity, coalesce(w.accepted, false) as accepted,
+              case when a.product_id is null then 'NO_PRODUCT' when a.product_id > 1000000000 then 'UNKNOWN_PRODUCT'
+                   when a.quantity is null then 'NO_QUANTITY' when w.accepted then 'DONE' else 'EXCEEDS_STOCK' end as status
+       from ask_stock a left join wanted_walk w on w.seq = a.seq and w.product_id = a.product_id""",
+    """
+    wanted as (
+        select seq, product_id, quantity, stock_count as stock from ask_stock join shop_product using (product_id)
+        where quantity is not null),""" + GREEDY.format(source="wanted"),
+)
 add(
     "allocate_stock_remaining",
     """select product_id, list_reduce(list_prepend(stock, list(quantity order by seq)),
@@ -734,8 +832,14 @@ add(
 )
 add(
     "order_history",
-    """select o.order_id, o.customer_id, o.order_date, o.total_price, o.status, i.product_id, i.quantity, p.price
-       from shop_order o left join (shop_items i join shop_product p using (product_id)) on i.order_id = o.order_id
+    """select row_number() over (order by o.order_id) as log_id, o.customer_id, o.order_id,
+              '{"order_date":"' || strftime(o.order_date, '%Y-%m-%dT%H:%M:%S.000') || '","total_price":' || o.total_price
+              || ',"status":true,"items":' || coalesce(items, 'null') || '}' as order_details,
+              timestamp '2002-01-01' as logged_at
+       from shop_order o left join (
+         select order_id, '[' || string_agg('{"product_id":' || product_id || ',"quantity":' || quantity || ',"price":' || price || '}',
+                ',' order by product_id) || ']' as items
+         from shop_items join shop_product using (product_id) group by order_id) i on i.order_id = o.order_id
        where o.status""",
 )
 SQL["history_sink"] = SQL["order_history"]
@@ -860,11 +964,36 @@ add(
     ),
 )
 
+add(
+    "violating_keys",
+    """select table_name, rule, found, first from (
+         select 'order' as table_name, 'foreign_key:address_id->address' as rule, count(distinct address_id) as found,
+                min(cast(address_id as varchar)) as first
+         from un_order o where address_id is not null and address_id not in (select address_id from shop_address)
+         union all
+         select 'review', 'check:rating_1_to_5', count(*), min(cast(review_id as varchar)) from un_review where rating < 1 or rating > 5
+       ) where found > 0""",
+)
+
 # ---- streams ------------------------------------------------------------------------------------
 SQL["stream_order_totals"] = SQL["order_totals"]
 SQL["stream_favorite_totals"] = SQL["favorite_totals"]
 add("stream_product_ratings", "select product_id, mean as rating from rated", _ratings)
 SQL["stream_stock_gate"] = SQL["allocate_stock"]
+SQL["stream_stock_gate_status"] = SQL["allocate_stock_status"]
+add(
+    "stream_daily_sales_late",
+    """select product_id, order_date as day, cast(sum(quantity) as bigint) as units
+       from sold join (select batch, lag(upto) over (order by batch) as seen from (
+           select distinct batch, max(order_date) over (order by batch) as upto from sold)) using (batch)
+       where order_date < seen - interval 30 days group by product_id, order_date""",
+    """
+    ends as (select min(l_orderkey) as low, max(l_orderkey) as high from lineitem),
+    sold as (
+        select o_orderdate as order_date, l_partkey as product_id, cast(l_quantity as int) as quantity,
+               case when l_orderkey < low + (high - low) // 3 then 0 when l_orderkey < low + (high - low) * 2 // 3 then 1 else 2 end as batch
+        from lineitem join orders on o_orderkey = l_orderkey cross join ends)""",
+)
 SQL["stream_wallet_ledger"] = SQL["wallet_ledger"]
 add(
     "stream_order_address_check",

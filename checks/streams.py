@@ -1,20 +1,17 @@
-"""Registered streaming jobs, each run over a whole given table until its input ends."""
+"""Registered streaming jobs, each run over a whole given table that arrives in three batches; between batches the stream ends and
+is started again from its checkpoint."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tradepost.functions.durable import work_folder
-from tradepost.sources.adapter import RAW_SCHEMAS, orders, payments, reviews, shop_tables
+from tradepost.sources.adapter import orders, payments, raw_table, reviews, shop_tables
 from tradepost.streaming import jobs
 from tradepost.streaming.runner import file_stream, finish
 
 from . import requests as ask
-from .registry import _flat_history, registered
-
-
-def _stream(spark, folder, name):
-    return file_stream(spark, folder, RAW_SCHEMAS[name], f"{name}.parquet")
+from .registry import registered
 
 
 def _place(spark, name):
@@ -22,8 +19,18 @@ def _place(spark, name):
     return f"{path}/out", f"{path}/checkpoint"
 
 
-def _item_stream(spark, folder):
-    return _stream(spark, folder, "lineitem").select(
+def _arriving(spark, rows, key, start):
+    """Run the stream that ``start`` makes from a stream of ``rows`` once for each third of the range of ``key``, in turn."""
+    path = work_folder(spark, "arriving")
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    bounds = [low, low + (high - low) // 3, low + (high - low) * 2 // 3, high + 1]
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        rows.filter((key >= a) & (key < b)).write.parquet(f"{path}/{i}")
+        finish(start(file_stream(spark, f"{path}/*", rows.schema)))
+
+
+def _items(spark, folder):
+    return raw_table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_quantity").cast("int").alias("quantity"),
@@ -34,7 +41,7 @@ def _item_stream(spark, folder):
 def stream_order_totals(spark, folder):
     path, checkpoint = _place(spark, "totals")
     t = shop_tables(spark, folder)
-    finish(jobs.stream_totals(_item_stream(spark, folder), lambda: t, "order_id", path, checkpoint))
+    _arriving(spark, _items(spark, folder), F.col("order_id"), lambda rows: jobs.stream_totals(rows, lambda: t, "order_id", path, checkpoint))
     log = jobs.totals_log(spark, path, "order_id")
     return jobs.with_totals(t["order"], log, "order_id").select("order_id", "total_price")
 
@@ -44,15 +51,16 @@ def stream_favorite_totals(spark, folder):
     path, checkpoint = _place(spark, "lists")
     t = shop_tables(spark, folder)
     clicks = (
-        _stream(spark, folder, "events")
+        raw_table(spark, folder, "events")
         .filter("event_type = 'click'")
         .select(
+            "event_id",
             F.col("user_id").alias("favorite_id"),
             ask.event_product().alias("product_id"),
             F.lit(1).alias("quantity"),
         )
     )
-    finish(jobs.stream_totals(clicks, lambda: t, "favorite_id", path, checkpoint))
+    _arriving(spark, clicks, F.col("event_id"), lambda rows: jobs.stream_totals(rows, lambda: t, "favorite_id", path, checkpoint))
     log = jobs.totals_log(spark, path, "favorite_id")
     return jobs.with_totals(t["favorite_list"], log, "favorite_id").drop("create_date")
 
@@ -60,7 +68,8 @@ def stream_favorite_totals(spark, folder):
 @registered
 def stream_product_ratings(spark, folder):
     path, checkpoint = _place(spark, "ratings")
-    finish(jobs.stream_product_ratings(reviews(_stream(spark, folder, "events")), path, checkpoint))
+    written = reviews(raw_table(spark, folder, "events"))
+    _arriving(spark, written, F.col("review_id"), lambda rows: jobs.stream_product_ratings(rows, path, checkpoint))
     return jobs.ratings_log(spark, path).latest("product_id")
 
 
@@ -75,16 +84,29 @@ def stream_stock_gate(spark, folder):
             .agg(F.sum("quantity").cast("int").alias("quantity"))
         )
 
-    finish(jobs.stream_stock_gate(_item_stream(spark, folder), lambda: t, path, checkpoint, one_request_per_product))
-    return jobs.gate_log(spark, path).rows().drop("batch").withColumnRenamed("seq", "order_id")
+    def gate(rows):
+        return jobs.stream_stock_gate(rows, lambda: t, path, checkpoint, one_request_per_product)
+
+    _arriving(spark, _items(spark, folder), F.col("order_id"), gate)
+    return jobs.gate_log(spark, path).rows().drop("batch", "status").withColumnRenamed("seq", "order_id")
+
+
+@registered
+def stream_stock_gate_status(spark, folder):
+    path, checkpoint = _place(spark, "gate")
+    t = shop_tables(spark, folder)
+    asked = ask.stock_requests(t["order_items"])
+    _arriving(spark, asked, F.col("seq"), lambda rows: jobs.stream_stock_gate(rows, lambda: t, path, checkpoint))
+    return jobs.gate_log(spark, path).rows().drop("batch")
 
 
 @registered
 def stream_wallet_ledger(spark, folder):
     path, checkpoint = _place(spark, "wallets")
     t = shop_tables(spark, folder)
-    arriving = payments(orders(_stream(spark, folder, "orders")))
-    finish(jobs.stream_wallet_ledger(arriving, lambda: t, path, checkpoint))
+    made = payments(orders(raw_table(spark, folder, "orders")))
+    day = F.unix_date(F.col("payment_date").cast("date"))
+    _arriving(spark, made, day, lambda rows: jobs.stream_wallet_ledger(rows, lambda: t, path, checkpoint))
     return jobs.ledger_log(spark, path).rows().drop("batch", "payment_date")
 
 
@@ -92,19 +114,20 @@ def stream_wallet_ledger(spark, folder):
 def stream_order_address_check(spark, folder):
     path, checkpoint = _place(spark, "addresses")
     t = shop_tables(spark, folder)
-    asked = _stream(spark, folder, "orders").select(
+    asked = raw_table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         (F.col("o_custkey") * 4 + F.col("o_orderkey") % 4).alias("address_id"),
     )
-    finish(jobs.stream_order_address_check(asked, lambda: t, path, checkpoint))
+    _arriving(spark, asked, F.col("order_id"), lambda rows: jobs.stream_order_address_check(rows, lambda: t, path, checkpoint))
     return spark.read.parquet(path).drop("batch")
 
 
 @registered
 def stream_review_notifications(spark, folder):
     path, checkpoint = _place(spark, "notices")
-    finish(jobs.stream_review_notifications(reviews(_stream(spark, folder, "events")), path, checkpoint))
+    written = reviews(raw_table(spark, folder, "events"))
+    _arriving(spark, written, F.col("review_id"), lambda rows: jobs.stream_review_notifications(rows, path, checkpoint))
     return spark.read.parquet(path)
 
 
@@ -112,16 +135,34 @@ def stream_review_notifications(spark, folder):
 def stream_order_history(spark, folder):
     path, checkpoint = _place(spark, "history")
     t = shop_tables(spark, folder)
-    paid = orders(_stream(spark, folder, "orders")).filter("status").select("order_id")
-    finish(jobs.stream_order_history(paid, lambda: t, path, checkpoint))
-    log = spark.read.parquet(f"{path}/log").drop("batch")
-    kind = jobs.order_history(t).schema["order_details"].dataType
-    return _flat_history(log.withColumn("order_details", F.from_json("order_details", kind)))
+    paid = t["order"].filter("status").select("order_id")
 
+    def history(rows):
+        return jobs.stream_order_history(rows, lambda: t, path, checkpoint, as_of=ask.AS_OF)
 
-@registered
-def stream_daily_sales(spark, folder):
+    _arriving(spark, paid, F.col("order_id"), history)
+    return jobs.history_log(spark, path).rows().drop("batch")
+
+
+def _daily(spark, folder, late_after=None):
     path, checkpoint = _place(spark, "days")
     t = shop_tables(spark, folder)
-    finish(jobs.stream_daily_sales(_item_stream(spark, folder), lambda: t, path, checkpoint))
+
+    def daily(rows):
+        return jobs.stream_daily_sales(rows, lambda: t, path, checkpoint, late_after)
+
+    _arriving(spark, _items(spark, folder), F.col("order_id"), daily)
+    return path, t
+
+
+@registered
+def stream_daily_sales(spark, folder):
+    path, t = _daily(spark, folder)
     return jobs.monthly_report_from_days(jobs.daily_log(spark, path), t)
+
+
+@registered
+def stream_daily_sales_late(spark, folder):
+    """Units that came too late, of items whose batches follow the order keys and not the dates."""
+    path, _ = _daily(spark, folder, "30 days")
+    return jobs.late_log(spark, path).summed("product_id", "day")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from seed import frame
 from tradepost.functions import columns
-from tradepost.functions.joins import first_per_key, fits, heavy_keys, keyed_join
-from tradepost.functions.scan import new_ids, position, running_total
+from tradepost.functions.joins import first_per_key, reduced
+from tradepost.functions.scan import new_ids, numbered, position, running_total
 
 
 def hot_rows(n=500):
@@ -16,9 +16,9 @@ def hot_rows(n=500):
     return [(i, None if i % 50 == 0 else 1 if rng.random() < 0.34 else rng.randint(2, 40), rng.randint(1, 9)) for i in range(n)]
 
 
-@pytest.mark.parametrize("stretch", [4, 1 << 18])
-def test_running_total(spark, limits, stretch):
-    limits.stretch = stretch
+@pytest.mark.parametrize("most", [4, 1000])
+def test_running_total(spark, limits, most):
+    limits.window_rows = most
     rows = [r for r in hot_rows() if r[1] is not None]
     df = frame(spark, rows, "seq bigint, k bigint, v int")
     got = {r.seq: r.total for r in running_total(df, ["k"], "seq", F.col("v"), "total").collect()}
@@ -29,29 +29,20 @@ def test_running_total(spark, limits, stretch):
 
 
 def test_positions_and_ids_over_the_whole_table(spark, limits):
-    limits.stretch = 8
+    limits.window_rows = 8
     df = frame(spark, [(i * 3,) for i in range(100)], "seq bigint")
-    assert {r.seq: r.position for r in position(df, [], "seq").collect()} == {i * 3: i + 1 for i in range(100)}
+    assert {r.seq: r.position for r in numbered(df, "seq").collect()} == {i * 3: i + 1 for i in range(100)}
     old = frame(spark, [(41,), (7,)], "id bigint")
     assert sorted(r.id for r in new_ids(df, old, "id", "seq").collect()) == list(range(42, 142))
     assert sorted(r.id for r in new_ids(df, old.limit(0), "id", "seq").collect()) == list(range(1, 101))
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_join_with_heavy_keys_split(spark, limits, how):
-    fact = frame(spark, hot_rows(), "seq bigint, k bigint, v int")
-    side = frame(spark, [(k, f"n{k}") for k in range(0, 30)], "k bigint, name string")
-    plain = fact.join(side, "k", how)
-    limits.broadcast_bytes, limits.heavy_rows, limits.heavy_share = 0, 10, 0.02
-    assert heavy_keys(fact, "k")[0] == 1
-    split = keyed_join(fact, side, "k", how)
-    assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
-
-
-def test_broadcast_only_of_known_size(spark, limits):
-    small = frame(spark, [(1,)], "k bigint")
-    unknown = spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "k bigint")
-    assert fits(small) and not fits(unknown)
+@pytest.mark.parametrize("most", [0, 1000])
+def test_a_side_reduced_to_the_keys_of_a_batch(spark, limits, most):
+    limits.broadcast_keys = most
+    side = frame(spark, [(k, k * 2) for k in range(30)], "k bigint, v bigint")
+    batch = frame(spark, [(3,), (3,), (7,), (99,), (None,)], "k bigint")
+    assert sorted(r.k for r in reduced(side, batch, "k").collect()) == [3, 7]
 
 
 def test_first_per_key(spark):

@@ -1,10 +1,13 @@
 """What the physical plans must and must not contain."""
 
+import re
+
 import pytest
 
 from checks.registry import QUERIES
 from seed import frame, seed_tables
-from tradepost.operators import customers, reviews, sales
+from tradepost.functions.scan import numbered
+from tradepost.operators import cascade, customers, derive, lookups, reviews, sales
 from tradepost.sources import shop_tables
 
 SF = "/root/testdata/sf0.001"
@@ -48,22 +51,49 @@ def test_top_n_is_not_a_full_sort(spark):
     assert "TakeOrderedAndProject" in text
 
 
-def test_large_side_is_not_broadcast(spark, limits):
-    limits.broadcast_bytes = 0
+@pytest.fixture
+def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        t = seed_tables(spark)
-        text = plan(sales.sales_by_category(t)) + plan(reviews.users_favorites(t)) + plan(customers.payment_details(t))
-        assert "BroadcastExchange" not in text and "SortMergeJoin" in text
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
-def test_heavy_rows_join_a_broadcast_of_their_own_keys(spark, limits):
-    limits.broadcast_bytes, limits.heavy_rows, limits.heavy_share = 0, 50, 0.01
-    fact = frame(spark, [(i, 1 if i % 3 else i) for i in range(300)], "seq bigint, k bigint")
-    side = frame(spark, [(i, i) for i in range(300)], "k bigint, v bigint")
-    from tradepost.functions.joins import keyed_join
-
-    text = plan(keyed_join(fact, side, "k"))
-    assert "Union" in text and "BroadcastHashJoin" in text
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_large_sides_are_not_broadcast(spark, no_broadcast):
+    t = seed_tables(spark)
+    text = plan(sales.sales_by_category(t)) + plan(reviews.users_favorites(t)) + plan(customers.payment_details(t))
+    assert "BroadcastExchange" not in text and "SortMergeJoin" in text
+
+
+@pytest.mark.parametrize(
+    "build, scans", [(lambda t: sales.order_item_history(t, "1998-01-01"), 6), (customers.payment_details, 5), (reviews.users_favorites, 5)]
+)
+def test_reports_read_each_table_once_and_start_no_job(spark, no_broadcast, build, scans):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans", "plans")
+    before = len(tracker.getJobIdsForGroup("plans"))
+    text = plan(build(seed_tables(spark)))
+    assert len(re.findall(r"(?m)^\W*(?:\* ?\(?\d*\)? ?)?(?:Scan|FileScan|LocalTableScan|BatchScan)", text)) <= scans
+    assert len(tracker.getJobIdsForGroup("plans")) == before
+
+
+def test_history_and_details_shuffle_little(spark, no_broadcast):
+    t = seed_tables(spark)
+    assert plan(lookups.order_details(t)).count("Exchange hashpartitioning") <= 6
+    assert plan(derive.order_history(t, as_of="2002-01-01")).count("Exchange hashpartitioning") <= 6
+
+
+def test_sparse_numbers_are_not_numbered_in_one_task(spark, limits):
+    limits.window_rows = 10
+    df = frame(spark, [(i * 300_000,) for i in range(1000)], "seq bigint").repartition(4)
+    numbers = numbered(df, "seq")
+    assert [r.position for r in numbers.orderBy("seq").collect()] == list(range(1, 1001))
+    text = plan(numbers)
+    single = text[text.index("SinglePartition") :]
+    assert "HashAggregate" in single.splitlines()[1]  # what is brought together are sums per partition
+
+
+def test_cascade_reads_little(spark, no_broadcast):
+    t = shop_tables(spark, SF)
+    names = frame(spark, [("Customer#000000001",)], "username string")
+    left = cascade.delete_customers(t, names)
+    assert sum(plan(df).count("FileScan parquet") for df in left.values()) < 60

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
+from checks.registry import QUERIES
+from checks.sql import SQL
 from compare import TABLES, compare
 from seed import seed_tables
 from tradepost.operators import derive
@@ -22,7 +24,23 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql())
+
+
+BATCHES = [
+    "add_to_favorites", "add_to_favorites_log", "create_orders", "create_orders_log", "apply_discounts", "payment_progress", "wallet_ledger",
+    "allocate_stock_status", "register_customers", "order_history", "add_phone_numbers",
+]
+
+
+@pytest.mark.parametrize("name", BATCHES)
+def test_no_limit_changes_an_answer(spark, con, limits, name):
+    for field in vars(limits):
+        setattr(limits, field, 5)
+    limits.broadcast_keys = 0
+    ok, text = compare(spark, con, SF, name)
+    assert ok, text
 
 
 def test_entry(spark):
@@ -34,7 +52,7 @@ def test_entry(spark):
     [
         "load_tables", "ingest_rejects", "monthly_report", "top_payers_by_city", "product_reviews_with_favorites", "order_details",
         "add_phone_numbers", "update_customers", "apply_discounts", "payment_settlement", "wallet_ledger_shared", "allocate_stock",
-        "order_history", "dq_checks", "stream_daily_sales",
+        "order_history", "dq_checks", "dq_foreign_keys", "stream_daily_sales", "stream_daily_sales_late", "stream_stock_gate_status",
     ],
 )
 def test_against_sql(spark, con, name):
@@ -42,8 +60,7 @@ def test_against_sql(spark, con, name):
     assert ok, text
 
 
-def test_bucketed_tables_join_without_a_shuffle(spark, limits, folder):
-    limits.broadcast_bytes = 0
+def test_bucketed_tables_join_without_a_shuffle(spark, folder):
     shop = seed_tables(spark)
     save_bucketed(shop, folder, "bucket_test_", 4)
     stored = load_bucketed(spark, "bucket_test_")

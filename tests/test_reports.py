@@ -1,3 +1,4 @@
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from seed import frame, seed_tables
 from tradepost.operators import derive, lookups, reviews, sales
 from tradepost.plans import catalog
-from tradepost.plans.store import BatchLog, SnapshotStore
+from tradepost.plans.store import BatchLog, Folder, SnapshotStore
 from tradepost.sources import TABLES, load
 
 D = Decimal
@@ -25,11 +26,10 @@ def test_lookups(spark, shop):
     assert {r.order_id: r.status for r in lookups.order_status(shop, keys).collect()} == {2: False, 8: False}
 
 
-def test_order_details_in_pages(spark, shop, limits):
+def test_order_details_in_pages(spark, shop):
     whole = {r.order_id: [p.product_id for p in r.products] for r in lookups.order_details(shop).collect()}
     assert whole[7] == [2, 3, 11, 13]
-    limits.page_rows = 3
-    pages = lookups.order_details(shop, [7]).orderBy("page").collect()
+    pages = lookups.order_details(shop, [7], page_rows=3).orderBy("page").collect()
     assert [[p.product_id for p in r.products] for r in pages] == [[2, 3, 11], [13]]
 
 
@@ -77,12 +77,15 @@ def test_history_documents(spark, shop):
     assert text[6].endswith('"items":null}')
 
 
-def test_history_of_repeated_transitions(spark, shop, limits):
-    limits.page_rows = 2
+def test_history_of_repeated_transitions(spark, shop):
     twice = frame(spark, [(7,), (7,), (8,)], "order_id bigint")
-    pages = derive.order_history(shop, twice).groupBy("order_id", "page").count().collect()
+    rows = derive.order_history(shop, twice, last_id=5, as_of="2024-12-01").orderBy("log_id").collect()
+    assert [(r.log_id, r.order_id) for r in rows] == [(6, 7), (7, 7), (8, 8)]
+    assert {str(r.logged_at) for r in rows} == {"2024-12-01 00:00:00"}
+    assert derive.order_history(shop, twice).columns == TABLES["order_history_log"].schema.fieldNames()
+    assert derive.order_history(shop, twice, dedupe=True).count() == 2
+    pages = derive.order_history(shop, twice, page_rows=2).groupBy("order_id", "page").count().collect()
     assert {(r.order_id, r.page): r["count"] for r in pages} == {(7, 0): 2, (7, 1): 2, (8, 0): 1}
-    assert derive.order_history(shop, twice, dedupe=True).count() == 3
 
 
 def test_wrong_address_is_refused(spark, shop):
@@ -119,16 +122,47 @@ def test_products_read_in_both_ways_agree(shop, limits):
 
 def test_snapshot_versions(spark, shop, folder):
     store = catalog.write_summaries(spark, shop, folder)
-    assert store.versions() == [1]
+    assert list(store.versions()) == [1]
     assert store.read("monthly_report").count() == 6
     store.write({"reviews": reviews.customer_reviews(shop)})
-    assert store.versions() == [1, 2]
+    assert list(store.versions()) == [1, 2]
     assert store.read("monthly_report").count() == 6
     # A version that was not finished has no marker and is not seen.
-    reviews.customer_reviews(shop).limit(1).write.parquet(f"{folder}/v0000000003/reviews")
+    reviews.customer_reviews(shop).limit(1).write.parquet(f"{folder}/unfinished/reviews")
     assert SnapshotStore(spark, folder).read("reviews").count() == 25
 
 
+def test_two_writers_of_one_store(spark, folder):
+    one, two = SnapshotStore(spark, folder), SnapshotStore(spark, folder)
+    few, many = (spark.range(n).withColumn("p", F.col("id") % 2) for n in (10, 99))
+    with ThreadPoolExecutor(2) as pool:
+        numbers = list(pool.map(lambda x: x[0].write({"t": x[1]}, {"t": ["p"]}), [(one, few), (two, many)]))
+    assert sorted(numbers) == [1, 2]
+    assert sorted(one.read("t", v).count() for v in numbers) == [10, 99]
+
+
+def test_empty_partitioned_version(spark, folder):
+    store = SnapshotStore(spark, folder)
+    store.write({"t": spark.range(0).withColumn("p", F.lit(1))}, {"t": ["p"]})
+    assert store.read("t").columns == ["id", "p"] and store.read("t").count() == 0
+
+
+def test_interrupted_merge_loses_nothing(spark, folder, monkeypatch):
+    log = BatchLog(spark, folder, frame(spark, [], "k bigint, v bigint").schema)
+    for batch in range(4):
+        log.put(batch, frame(spark, [(batch, batch), (9, 1)], "k bigint, v bigint"))
+    whole = {r.k: r.v for r in log.summed("k").collect()}
+    for step in ("claim", "remove"):
+        with monkeypatch.context() as m:
+            m.setattr(Folder, step, lambda self, name: (_ for _ in ()).throw(RuntimeError("lost")))
+            with pytest.raises(RuntimeError):
+                log.compact("k", before=3, added=True)
+        assert {r.k: r.v for r in log.summed("k").collect()} == whole
+    log.compact("k", before=4, added=True)
+    assert {r.k: r.v for r in log.summed("k").collect()} == whole
+    assert Folder(spark, folder).names("_merges") and not [n for n in Folder(spark, folder).names() if n.startswith("batch=")]
+
+
 @pytest.mark.parametrize("name", list(catalog.SUMMARIES))
 def test_refresh_in_batches_equals_one_build(spark, shop, folder, name):
     odd = F.col("order_id") % 2 == 1

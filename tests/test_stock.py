@@ -44,7 +44,7 @@ def test_walk(spark, negative):
 
 @pytest.mark.parametrize("negative, seed", [(False, 2), (True, 3)])
 def test_long_queues_are_shortened_in_bulk(spark, limits, negative, seed):
-    limits.fold_rows, limits.stretch = 20, 16
+    limits.fold_rows, limits.window_rows = 20, 16
     requests = some_requests(seed, n=250, negative=negative)
     assert run(spark, requests, STOCK) == greedy(requests, STOCK)
 
@@ -71,3 +71,11 @@ def test_accepted_never_exceeds_stock(spark, limits):
     assert judged.count() == len(requests)
     used = judged.filter("accepted").groupBy("product_id").agg(F.sum("quantity").alias("q"))
     assert used.filter("q > 100").count() == 0
+
+
+def test_every_request_keeps_a_status(spark):
+    wanted = frame(spark, [(1, 1, 3), (2, 99, 1), (3, None, 1), (4, 1, None), (5, 1, 9)], "seq bigint, product_id bigint, quantity int")
+    goods = frame(spark, [(1, 5)], "product_id bigint, stock_count int")
+    got = {r.seq: (r.accepted, r.status) for r in allocate_stock(wanted, goods).collect()}
+    refused = {2: (False, "UNKNOWN_PRODUCT"), 3: (False, "NO_PRODUCT"), 4: (False, "NO_QUANTITY"), 5: (False, "EXCEEDS_STOCK")}
+    assert got == {1: (True, "DONE"), **refused}

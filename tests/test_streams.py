@@ -13,6 +13,7 @@ from test_wallet import example, ledger
 from test_wallet import tables as wallet_tables
 from tradepost.operators import derive, sales
 from tradepost.plans.store import Folder
+from tradepost.plans.store import BatchLog
 from tradepost.streaming import jobs
 from tradepost.streaming.runner import file_stream, finish
 
@@ -39,6 +40,9 @@ def arrive(spark, folder, *batches):
     return file_stream(spark, source, batches[0].schema, files_per_batch=1)
 
 
+STOCK_SCHEMA = jobs._schema(product_id=jobs.ID, stock_count=jobs.ID)
+
+
 def rows(df):
     return sorted(map(str, df.collect()))
 
@@ -75,7 +79,7 @@ def test_product_ratings(spark, shop, folder):
 
 
 def test_stock_gate(spark, folder, monkeypatch):
-    monkeypatch.setattr(jobs, "TIDY_EVERY", 2)
+    monkeypatch.setattr(jobs, "stock_log", lambda spark, path: BatchLog(spark, f"{path}/stock", STOCK_SCHEMA, tidy_every=2))
     rng = random.Random(11)
     requests = [(i, 1 if i % 3 == 0 else rng.randint(2, 5), rng.randint(1, 20)) for i in range(150)]
     stock = {1: 200, 2: 90, 3: 10**6, 4: 0, 5: 55}
@@ -123,13 +127,13 @@ def test_history(spark, shop, folder, dedupe, logged):
     paid = [frame(spark, x, "order_id bigint") for x in ([(1,), (7,)], [(7,), (8,)])]
     stream = arrive(spark, folder, *paid)
     finish(jobs.stream_order_history(stream, lambda: shop, f"{folder}/out", f"{folder}/cp", dedupe))
-    assert spark.read.parquet(f"{folder}/out/log").count() == logged
+    log = jobs.history_log(spark, f"{folder}/out").rows()
+    assert sorted(r.log_id for r in log.collect()) == list(range(1, logged + 1))
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_daily_sales(spark, shop, folder, limits, broadcast):
-    if not broadcast:
-        limits.broadcast_bytes = 0
+@pytest.mark.parametrize("few", [1000, 0])
+def test_daily_sales(spark, shop, folder, limits, few):
+    limits.broadcast_keys = few
     moved = shop.replace(order=shop["order"].withColumn("order_date", F.expr("order_date + make_dt_interval(order_id * 9)")))
     items = shop["order_items"]
     stream = arrive(spark, folder, items.filter("order_id > 5"), items.filter("order_id <= 5"))
@@ -138,6 +142,27 @@ def test_daily_sales(spark, shop, folder, limits, broadcast):
     assert rows(jobs.monthly_report_from_days(log, moved)) == rows(sales.monthly_report(moved))
 
 
+def test_late_items_go_to_their_own_log(spark, shop, folder):
+    moved = shop.replace(order=shop["order"].withColumn("order_date", F.expr("order_date + make_dt_interval(order_id * 9)")))
+    items = shop["order_items"]
+    stream = arrive(spark, folder, items.filter("order_id > 5"), items.filter("order_id <= 5"))
+    finish(jobs.stream_daily_sales(stream, lambda: moved, f"{folder}/out", f"{folder}/cp", "20 days"))
+    days, late = (log(spark, f"{folder}/out").summed("product_id", "day") for log in (jobs.daily_log, jobs.late_log))
+    assert late.count() > 0
+    both = days.unionByName(late).agg(F.sum("units")).first()[0]
+    assert both == items.agg(F.sum("quantity")).first()[0]
+
+
+def test_requests_that_name_nothing_do_not_stop_the_stream(spark, folder):
+    goods = {"product": frame(spark, [(1, 5)], "product_id bigint, stock_count int")}
+    asked = frame(spark, [(1, 1, 3), (2, 99, 1), (3, None, 1), (4, 1, None), (5, 1, 3), (6, 1, 2)], "seq bigint, product_id bigint, quantity int")
+    finish(jobs.stream_stock_gate(arrive(spark, folder, asked), lambda: goods, f"{folder}/out", f"{folder}/cp"))
+    got = {r.seq: (r.accepted, r.status) for r in jobs.gate_log(spark, f"{folder}/out").rows().collect()}
+    assert got == {
+        1: (True, "DONE"), 2: (False, "UNKNOWN_PRODUCT"), 3: (False, "NO_PRODUCT"), 4: (False, "NO_QUANTITY"), 5: (False, "EXCEEDS_STOCK"), 6: (True, "DONE"),
+    }
+
+
 def test_repeated_batch_changes_nothing(spark, shop, folder):
     stream = arrive(spark, folder, shop["order_items"])
     for run in range(2):

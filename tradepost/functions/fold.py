@@ -3,8 +3,8 @@
 Rows are shuffled by key, sorted inside partitions and streamed through a small Python step, so a
 task keeps the state of one key, not its rows. A key with more rows than one task should take
 is cut into consecutive chunks that are folded side by side: each chunk starts from a guessed state,
-and chunks whose true start turns out to differ are folded again until every chunk started from
-what the one before it ended with. That is the same answer as one long pass.
+and chunks whose true start turns out to differ are folded again. Keys that have not settled after a few
+rounds are streamed through one task each. Either way the answer is that of one long pass.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .durable import cut
 from .limits import LIMITS
 
 CHUNK = "_chunk"
+#: Rounds in which chunks may settle before their key is streamed in one pass.
+ROUNDS = 3
 
 
 @dataclass(frozen=True)
@@ -41,12 +43,14 @@ def fold(
     reads: tuple[str, ...],
     writes: T.StructType,
     make_step: Callable[[], Callable[[dict[str, list]], dict[str, list]]],
+    n: int = 0,
 ) -> DataFrame:
     """``rows`` plus the columns ``writes``. A step gets the columns ``reads`` of a run of rows, sorted by
-    key, chunk and order, and returns the new columns; one step object serves a whole partition."""
+    key, chunk and order, and returns the new columns; one step object serves a whole partition. ``n`` is the
+    number of rows, if known, for which there should be tasks enough."""
     if CHUNK not in rows.columns:
         rows = rows.withColumn(CHUNK, F.lit(0))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // LIMITS.fold_rows))
     schema = T.StructType(rows.schema.fields + writes.fields)
     arrow_kinds = {"bigint": pa.int64(), "boolean": pa.bool_()}
     new_columns = [(f.name, arrow_kinds[f.dataType.simpleString()]) for f in writes.fields]
@@ -75,19 +79,19 @@ def fold_in_order(
     """Fold of any key size; see the module text. ``rows`` has every state's ``start`` column.
     ``sizes`` may give the rows per key (key, count), or an upper bound, where that is cheaper to get."""
 
+    sizes = rows.groupBy(key).count() if sizes is None else sizes
+    long = F.when(F.col("count") > LIMITS.fold_rows, F.col("count"))
+    seen = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("all"), F.count(long).alias("keys"), F.sum(long).alias("n")).first()
+
     def one_pass(some: DataFrame) -> DataFrame:
-        return fold(some, key, order, reads, writes, make_step)
+        return fold(some, key, order, reads, writes, make_step, seen["all"])
 
-    sizes = rows.groupBy(key).count() if sizes is None else sizes
-    sizes = sizes.filter(F.col("count") > LIMITS.fold_rows)
-    large = sizes.agg(F.count(F.lit(1)).alias("keys"), F.sum("count").alias("n")).first()
-    if not large["keys"]:
+    if not seen["keys"]:
         return one_pass(rows).drop(CHUNK)
-    # Every large key has over fold_rows rows, so there are at most (rows / fold_rows) of them.
-    large_keys = cut(sizes.select(key))
+    large_keys = cut(sizes.filter(F.col("count") > LIMITS.fold_rows).select(key))
     light = rows.join(large_keys, key, "left_anti")
-    heavy = rows.join(F.broadcast(large_keys), key, "left_semi")
-    return one_pass(light).unionByName(_by_chunks(heavy, large["n"], key, order, states, one_pass)).drop(CHUNK)
+    heavy = rows.join(large_keys, key, "left_semi")
+    return one_pass(light).unionByName(_by_chunks(heavy, seen["n"], key, order, states, one_pass)).drop(CHUNK)
 
 
 def _by_chunks(heavy, n, key, order, states, one_pass) -> DataFrame:
@@ -95,37 +99,44 @@ def _by_chunks(heavy, n, key, order, states, one_pass) -> DataFrame:
     # Range partitions follow (key, order), so their numbers are consecutive stretches of each key.
     # The bounds come from a sample: write the split out so that every later use sees the same one.
     rows = cut(heavy.repartitionByRange(chunks, key, *order).withColumn(CHUNK, F.spark_partition_id()))
-    later_start = {s.start: F.lit(0).cast("bigint") for s in states}
     opening = rows
     for s in states:
         first = rows.groupBy(*s.keys).agg(F.min(CHUNK).alias("_first"))
+        guess = F.lit(0).cast(rows.schema[s.start].dataType)
         opening = (
             _on(opening, first, list(s.keys))
-            .withColumn(s.start, F.when(F.col(CHUNK) == F.col("_first"), F.col(s.start)).otherwise(later_start[s.start]))
+            .withColumn(s.start, F.when(F.col(CHUNK) == F.col("_first"), F.col(s.start)).otherwise(guess))
             .drop("_first")
         )
     folded = cut(one_pass(opening))
-    while True:
-        target = folded
-        differs = F.lit(False)
+    for _ in range(ROUNDS):
+        target, differs = folded, F.lit(False)
         for s in states:
-            ends = folded.groupBy(*s.keys, CHUNK).agg(
-                F.max_by(s.end, F.struct(*order)).alias("_end")
-            )
+            ends = folded.groupBy(*s.keys, CHUNK).agg(F.max_by(s.end, F.struct(*order)).alias("_end"))
             previous = Window.partitionBy(*s.keys).orderBy(CHUNK)
-            starts = ends.withColumn(f"_true_{s.start}", F.lag("_end").over(previous)).drop("_end")
+            # A state may be NULL, so a row says by itself whether another chunk comes before it.
+            starts = ends.select(
+                *s.keys,
+                CHUNK,
+                F.lag("_end").over(previous).alias(f"_true_{s.start}"),
+                F.lag(F.lit(True), 1, False).over(previous).alias(f"_follows_{s.start}"),
+            )
             target = target.join(starts, [*s.keys, CHUNK])
-            true = F.col(f"_true_{s.start}")
-            differs = differs | (true.isNotNull() & ~true.eqNullSafe(F.col(s.start)))
-        target = cut(target.withColumn("_differs", differs))
+            differs = differs | (F.col(f"_follows_{s.start}") & ~F.col(f"_true_{s.start}").eqNullSafe(F.col(s.start)))
+        target = target.withColumn("_differs", differs)
         stale = cut(target.filter("_differs").select(key, CHUNK).distinct())
         if stale.isEmpty():
             return folded
+        again = target.join(stale, [key, CHUNK], "left_semi")
         for s in states:
-            target = target.withColumn(s.start, F.coalesce(f"_true_{s.start}", s.start))
-        again = target.select(*rows.columns).join(stale, [key, CHUNK], "left_semi")
-        keep = folded.join(stale, [key, CHUNK], "left_anti")
-        folded = cut(keep.unionByName(one_pass(again)))
+            start = F.when(F.col(f"_follows_{s.start}"), F.col(f"_true_{s.start}")).otherwise(F.col(s.start))
+            again = again.withColumn(s.start, start)
+        # Only stale chunks are folded and written again.
+        redone = cut(one_pass(again.select(*rows.columns)))
+        folded = folded.join(stale, [key, CHUNK], "left_anti").unionByName(redone)
+    slow = cut(stale.select(key).distinct())
+    whole = one_pass(rows.join(slow, key, "left_semi").withColumn(CHUNK, F.lit(0)))
+    return folded.join(slow, key, "left_anti").unionByName(whole)
 
 
 def _on(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,72 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .durable import cut
 from .limits import LIMITS
 
 
-def source_bytes(df: DataFrame) -> int:
-    """Bytes of the tables ``df`` is read from. A side with one row per key has at most as many rows
-    as the table its key comes from, so this bounds it, where Spark's own estimate of a joined side
-    multiplies sizes. Sides that are not read from files count as unbounded."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+def keyed_join(fact: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join ``fact`` to ``side``, which has one row per value of ``on``; ``how`` is inner, left, left_semi or left_anti.
 
-
-def fits(side: DataFrame) -> bool:
-    return source_bytes(side) <= LIMITS.broadcast_bytes
-
-
-def heavy_keys(df: DataFrame, key: str) -> list:
-    """Keys holding so many rows that their join needs a split. Found with one scan of the key column
-    and a frequent-items sketch of fixed size; at most 1 / heavy_share of them can exist."""
-    most = int(1 / LIMITS.heavy_share)
-    seen = df.select(F.col(key).alias("k")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.expr(f"approx_top_k(k, {most}, {most * 100})").alias("top"),
-    )
-    floor = F.greatest(F.lit(LIMITS.heavy_rows), F.col("n") * LIMITS.heavy_share)
-    found = seen.select(F.filter("top", lambda t: t["count"] >= floor).getField("item").alias("keys"))
-    return [k for k in found.first()["keys"] if k is not None]
-
-
-def keyed_join(
-    fact: DataFrame,
-    side: DataFrame,
-    on: str,
-    how: str = "inner",
-    unique: bool = False,
-    counted: DataFrame | None = None,
-) -> DataFrame:
-    """Join ``fact`` to ``side``, which has one row per value of ``on``.
-
-    ``how`` is inner, left, left_semi or left_anti. A side of bounded size is broadcast. Otherwise the
-    rows of heavy keys join a broadcast of just those keys' side rows (at most 1,000) and the rest
-    is shuffled. ``unique`` says that ``fact`` has few rows per key, so that no key is heavy.
-    ``counted`` names the table to look for heavy keys in, when ``fact`` itself takes work to compute.
+    One join, whatever the data: Spark broadcasts a side whose size it knows to be small, and the adaptive skew join, which
+    ``session.configure`` switches on, splits the rows of ``fact`` that share a heavy key.
     """
-    if fits(side):
-        return fact.join(F.broadcast(side), on, how)
-    heavy = [] if unique else heavy_keys(fact if counted is None else counted, on)
-    if not heavy:
-        return fact.join(side, on, how)
-    is_heavy = F.coalesce(F.col(on).isin(heavy), F.lit(False))
-    return (
-        fact.filter(~is_heavy)
-        .join(side.filter(~is_heavy), on, how)
-        .unionByName(fact.filter(is_heavy).join(F.broadcast(side.filter(is_heavy)), on, how))
-    )
+    return fact.join(side, on, how)
 
 
-def streamed_join(changes: DataFrame, side: DataFrame, on: str, spread_by: str) -> DataFrame:
-    """Inner join of a stream to a static side with one row per key. A stream cannot be searched for heavy
-    keys beforehand, so when the side is not small each of its rows is copied to ``LIMITS.stream_spread``
-    tasks and the rows of a key are dealt out to them by ``spread_by``."""
-    if fits(side):
-        return changes.join(F.broadcast(side), on)
-    n = LIMITS.stream_spread
-    copies = side.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = changes.withColumn("_deal", F.pmod(F.xxhash64(spread_by), F.lit(n)).cast("int"))
-    return dealt.join(copies, [on, "_deal"]).drop("_deal")
+def reduced(side: DataFrame, rows: DataFrame, on: str) -> DataFrame:
+    """The rows of a large ``side`` whose key occurs in a small batch ``rows``. The keys are sent everywhere if a count finds few
+    of them, so that the side is filtered where it is read and not shuffled."""
+    keys = cut(rows.select(on).distinct())
+    few = keys.count() <= LIMITS.broadcast_keys
+    return side.join(F.broadcast(keys) if few else keys, on, "left_semi")
 
 
 def first_per_key(requests: DataFrame, *keys: str, seq: str = "seq") -> DataFrame:

@@ -7,23 +7,12 @@ from dataclasses import dataclass
 
 @dataclass
 class Limits:
-    # A lookup side is broadcast only when the files behind it are no larger than this. Its keys are
-    # unique and so do not compress far below two bytes: that is at most some eight million rows.
-    broadcast_bytes: int = 16 * 1024 * 1024
-    # A key is treated as heavy when it holds at least this many rows ...
-    heavy_rows: int = 1_000_000
-    # ... and at least this share of all rows, so there are never more than 1,000 heavy keys.
-    heavy_share: float = 0.001
-    # Tasks that share the rows of one key when a stream meets a large static table.
-    stream_spread: int = 8
-    # Width of a stretch of arrival numbers handled by one window group.
-    stretch: int = 1 << 18
-    # Rows of one key that one task may fold in order.
+    # Keys of a batch that may be sent to every task: some 16 MB.
+    broadcast_keys: int = 1_000_000
+    # Rows of one key that one window may number or add up.
+    window_rows: int = 1_000_000
+    # Rows of one key that one task may fold in order, and rows of one fold task.
     fold_rows: int = 1_000_000
-    # When rows that need no walk are fewer than this share of those that do, all are walked together.
-    walk_share: float = 0.25
-    # Entries in one nested array of a document.
-    page_rows: int = 10_000
 
 
 LIMITS = Limits()

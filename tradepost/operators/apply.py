@@ -153,7 +153,7 @@ def add_to_favorites(tables: Frames, requests: DataFrame, as_of: str) -> Result:
         "favorite_list_items": items,
         "product": remaining_stock(allocated, tables["product"]),
     }
-    touched = keyed_join(all_lists, owners.select("customer_id"), "customer_id", "left_semi", unique=True).select("favorite_id")
+    touched = keyed_join(all_lists, owners.select("customer_id"), "customer_id", "left_semi").select("favorite_id")
     totals = favorite_totals(
         {
             "favorite_list": all_lists.join(touched, "favorite_id", "left_semi"),

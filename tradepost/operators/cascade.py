@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import cut
 from ..functions.joins import keyed_join
 from ..sources.schema import TABLES, ForeignKey
 
@@ -33,7 +34,8 @@ def _parents_first(tables: Frames) -> list[str]:
 def cascade_delete(tables: Frames, root: str, keys: DataFrame) -> dict[str, DataFrame]:
     """The tables without the ``root`` rows whose key is in ``keys`` and without every row that refers,
     over any number of references, to a deleted one. Untouched tables are not in the result."""
-    doomed: dict[str, DataFrame] = {root: keys.select(*TABLES[root].key).distinct()}
+    # Victims are written once; the tables that refer to them read them from there.
+    doomed: dict[str, DataFrame] = {root: cut(keys.select(*TABLES[root].key).distinct())}
     survivors = {root: _without(tables[root], doomed[root], TABLES[root].key[0])}
     for name in _parents_first(tables):
         fks = [fk for fk in TABLES[name].foreign_keys if fk.parent in doomed]
@@ -44,7 +46,7 @@ def cascade_delete(tables: Frames, root: str, keys: DataFrame) -> dict[str, Data
             rows = _without(rows, _renamed(doomed[fk.parent], fk), fk.column)
         survivors[name] = rows
         if any(fk.parent == name for spec in TABLES.values() for fk in spec.foreign_keys):
-            doomed[name] = _victims(tables[name], fks, doomed, TABLES[name].key)
+            doomed[name] = cut(_victims(tables[name], fks, doomed, TABLES[name].key))
     return survivors
 
 
@@ -66,5 +68,5 @@ def _victims(rows: DataFrame, fks: list[ForeignKey], doomed: dict[str, DataFrame
 
 def delete_customers(tables: Frames, usernames: DataFrame) -> dict[str, DataFrame]:
     """Delete customers by username with their addresses, lists, orders and all that hangs on those."""
-    keys = keyed_join(tables["customer"], usernames.select("username").distinct(), "username", "left_semi", unique=True)
+    keys = keyed_join(tables["customer"], usernames.select("username").distinct(), "username", "left_semi")
     return cascade_delete(tables, "customer", keys.select("customer_id"))

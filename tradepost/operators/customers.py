@@ -58,7 +58,7 @@ def top_payers_by_city(tables: Frames, city: str | None = None, dedupe: bool = F
     if city is not None:
         orders = keyed_join(orders, homes.select("customer_id"), "customer_id", "left_semi")
     paid = tables["payment"].groupBy("order_id").agg(F.sum("amount").alias("paid"))
-    paid_orders = keyed_join(orders, paid, "order_id", unique=True)
+    paid_orders = keyed_join(orders, paid, "order_id")
     items = tables["order_items"].select("order_id", "product_id")
     if city is not None:
         items = keyed_join(items, orders.select("order_id"), "order_id", "left_semi")
@@ -115,7 +115,7 @@ def top_customers_by_order_value(tables: Frames, n: int = 1) -> DataFrame:
     )
     # The reference from order to customer is required, so the top can be taken before the join.
     top = spent.orderBy(F.col("total_amount_of_orders").desc_nulls_first(), "customer_id").limit(n)
-    return keyed_join(top, _names(tables), "customer_id", unique=True).select(
+    return keyed_join(top, _names(tables), "customer_id").select(
         "customer_id", "customer_name", "total_amount_of_orders"
     )
 
@@ -162,6 +162,6 @@ def total_spending_per_user(tables: Frames) -> DataFrame:
     """Sum of payments by the customer who paid; customers without a payment are left out."""
     spent = tables["payment"].groupBy("customer_id").agg(money_sum(F.col("amount")).alias("total_spent"))
     people = tables["customer"].select("customer_id", "first_name", "last_name")
-    return keyed_join(spent, people, "customer_id", unique=True).select(
+    return keyed_join(spent, people, "customer_id").select(
         "customer_id", "first_name", "last_name", "total_spent"
     )

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import mean, money_sum
 from ..functions.joins import keyed_join
-from ..functions.limits import LIMITS
-from ..functions.scan import position, running_total
+from ..functions.scan import numbered, position, running_total
 from ..sources.schema import MONEY, MONEY_SUM, RATE
 
 Frames = Mapping[str, DataFrame]
@@ -154,41 +153,60 @@ def paid_orders(orders: DataFrame) -> DataFrame:
     return orders.filter("status").select("order_id")
 
 
-def order_history(tables: Frames, paid: DataFrame | None = None, dedupe: bool = False) -> DataFrame:
-    """One document per paid transition: the order's date, total, status and items at current prices.
+def order_history(
+    tables: Frames,
+    paid: DataFrame | None = None,
+    dedupe: bool = False,
+    as_of: str | None = None,
+    last_id: int = 0,
+    page_rows: int | None = None,
+) -> DataFrame:
+    """Rows for the order history table (log_id, customer_id, order_id, order_details, logged_at), one per paid transition. The
+    document holds the order's date, total, status and items at current prices; an order without items has NULL items.
 
     ``paid`` (order_id) lists the transitions, by default one for each paid order; an order that is set
-    to paid again is logged again unless ``dedupe``. Items are nested in pages of at most
-    ``LIMITS.page_rows``; all but giant orders have page 0 only. An order without items has NULL items.
+    to paid again is logged again unless ``dedupe``. ``log_id`` goes on after ``last_id`` in the order of order ids,
+    ``logged_at`` is ``as_of`` or now. Only with ``page_rows`` is the document of a transition split: there is then one row for
+    each ``page`` of so many items, all with the same ``log_id``.
     """
     events = paid_orders(tables["order"]) if paid is None else paid.select("order_id")
     if dedupe:
         events = events.distinct()
     orders = tables["order"].select("order_id", "customer_id", "order_date", "total_price", "status")
     once = events if paid is None or dedupe else events.distinct()
-    logged = keyed_join(orders, once, "order_id", "left_semi", unique=True)
+    logged = keyed_join(orders, once, "order_id", "left_semi")
     items = keyed_join(
         tables["order_items"].select("order_id", "product_id", "quantity"),
         logged.select("order_id"),
         "order_id",
         "left_semi",
     )
-    prices = tables["product"].select("product_id", "price")
-    priced = keyed_join(items, prices, "product_id", counted=tables["order_items"])
+    priced = keyed_join(items, tables["product"].select("product_id", "price"), "product_id")
     entry = F.struct("product_id", F.col("quantity").cast("int").alias("quantity"), F.col("price").cast(MONEY).alias("price"))
-    pages = (
-        position(priced, ["order_id"], "product_id")
-        .withColumn("page", F.floor((F.col("position") - 1) / LIMITS.page_rows).cast("int"))
-        .groupBy("order_id", "page")
-        .agg(F.array_sort(F.collect_list(entry)).alias("items"))
-    )
-    documents = logged.join(pages, "order_id", "left").select(
-        "order_id",
-        "customer_id",
-        F.coalesce("page", F.lit(0)).alias("page"),
-        F.struct("order_date", "total_price", F.lit(True).alias("status"), "items").alias("order_details"),
+    keys = ["order_id"]
+    if page_rows:
+        priced, keys = paged(priced, page_rows), ["order_id", "page"]
+    lists = priced.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("items"))
+    moment = F.localtimestamp() if as_of is None else F.lit(as_of).cast("timestamp_ntz")
+    transitions = numbered(events, "order_id", "_nth")
+    return (
+        keyed_join(transitions, logged, "order_id")
+        .join(lists, "order_id", "left")
+        .select(
+            (F.col("_nth") + last_id).alias("log_id"),
+            "customer_id",
+            "order_id",
+            *([F.coalesce("page", F.lit(0)).alias("page")] if page_rows else []),
+            F.struct("order_date", "total_price", F.lit(True).alias("status"), "items").alias("order_details"),
+            moment.alias("logged_at"),
+        )
     )
-    return documents if once is events else events.join(documents, "order_id")
+
+
+def paged(items: DataFrame, page_rows: int) -> DataFrame:
+    """``items`` of orders with the ``page`` each falls on, by product id."""
+    page = F.floor((F.col("position") - 1) / page_rows).cast("int")
+    return position(items, ["order_id"], "product_id").withColumn("page", page)
 
 
 def history_json(log: DataFrame) -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import keyed_join
-from ..functions.limits import LIMITS
-from ..functions.scan import position
+from .derive import paged
 
 Frames = Mapping[str, DataFrame]
 
@@ -46,26 +45,21 @@ def order_products(tables: Frames, order_ids=None) -> DataFrame:
     return keyed_join(items, products, "product_id")
 
 
-def order_details(tables: Frames, order_ids=None) -> DataFrame:
-    """Orders with their products nested, sorted by product id.
-
-    An order's products are nested in pages of at most ``LIMITS.page_rows``, so an order of any
-    size is whole and no array grows without bound; all but giant orders have page 0 only.
-    """
-    numbered = position(order_products(tables, order_ids), ["order_id"], "product_id")
+def order_details(tables: Frames, order_ids=None, page_rows: int | None = None) -> DataFrame:
+    """Orders with their products nested, sorted by product id: one row per order. Only with ``page_rows`` are the products of an
+    order split into rows of at most so many, numbered by ``page``."""
+    products, keys = order_products(tables, order_ids), ["order_id"]
+    if page_rows:
+        products, keys = paged(products, page_rows), ["order_id", "page"]
     entry = F.struct("product_id", "name", "price", "stock_count", "rating")
-    pages = (
-        numbered.withColumn("page", F.floor((F.col("position") - 1) / LIMITS.page_rows).cast("int"))
-        .groupBy("order_id", "page")
-        .agg(F.array_sort(F.collect_list(entry)).alias("products"))
-    )
+    nested = products.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("products"))
     orders = matching(tables["order"].select("order_id", "total_price", "status"), "order_id", order_ids)
-    nothing = F.array().cast(pages.schema["products"].dataType)
-    return orders.join(pages, "order_id", "left").select(
+    nothing = F.array().cast(nested.schema["products"].dataType)
+    return orders.join(nested, "order_id", "left").select(
         "order_id",
         F.col("total_price").cast("double").alias("total_price"),
         "status",
-        F.coalesce("page", F.lit(0)).alias("page"),
+        *([F.coalesce("page", F.lit(0)).alias("page")] if page_rows else []),
         F.coalesce("products", nothing).alias("products"),
     )
 

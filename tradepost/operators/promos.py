@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.durable import cut
 from ..functions.fold import CHUNK, State, fold_in_order
 from ..functions.joins import first_per_key, keyed_join
+from ..functions.limits import LIMITS
 from ..sources.schema import MONEY
 
 
@@ -78,13 +79,38 @@ def apply_discounts(order: DataFrame, discount_code: DataFrame, requests: DataFr
     compound in arrival order, rounded to cents after each."""
     judged = _judge(requests, discount_code, "discount_id", "percentage")
     applied = judged.filter("status = 'APPLIED'").select("seq", "order_id", "code", "percentage")
-    per_order = cut(
-        applied.groupBy("order_id").agg(F.count(F.lit(1)).alias("_codes"), F.first("percentage").alias("_only"))
+    # Several codes: the order matters because of the rounding. The codes of an order go into one array, unless they are too
+    # many for that.
+    sizes = cut(applied.groupBy("order_id").agg(F.count(F.lit(1)).alias("_codes")))
+    few = F.col("_codes") <= LIMITS.fold_rows
+    totals = order.select("order_id", "total_price")
+    listed = (
+        keyed_join(applied, sizes.filter(few), "order_id", "left_semi")
+        .groupBy("order_id")
+        .agg(F.array_sort(F.collect_list(F.struct("seq", "percentage"))).alias("_steps"))
     )
-    # One code: plain arithmetic. More than one: the order matters because of the rounding.
-    single = per_order.filter("_codes = 1").select("order_id", "_only")
-    many = keyed_join(applied, per_order.filter("_codes > 1").select("order_id"), "order_id", "left_semi")
-    steps = keyed_join(many, order.select("order_id", "total_price"), "order_id", counted=requests).select(
+    after = _reduced(keyed_join(listed, totals, "order_id"))
+    long = sizes.filter(~few)
+    if not long.isEmpty():
+        after = after.unionByName(_folded(keyed_join(applied, long, "order_id", "left_semi"), totals, long))
+    orders = (
+        order.join(after.withColumn("_hit", F.lit(True)), "order_id", "left")
+        .withColumn("total_price", F.when(F.col("_hit"), F.col("_after")).otherwise(F.col("total_price")))
+        .select(*order.columns)
+    )
+    return PromoResult(orders, _used(discount_code, applied), judged.select("seq", "order_id", "code", "status"))
+
+
+def _reduced(rows: DataFrame) -> DataFrame:
+    """(order_id, _after): total_price after each percentage in turn, halves rounded away from zero each time."""
+    start = F.col("total_price").cast(MONEY)
+    step = lambda total, x: (total * (1 - x["percentage"] / 100)).cast(MONEY)
+    return rows.select("order_id", F.aggregate("_steps", start, step).alias("_after"))
+
+
+def _folded(applied: DataFrame, totals: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The same for orders with very many codes."""
+    steps = keyed_join(applied, totals, "order_id").select(
         "seq",
         "order_id",
         (F.col("percentage") * 100).cast("bigint").alias("_percent"),
@@ -98,24 +124,10 @@ def apply_discounts(order: DataFrame, discount_code: DataFrame, requests: DataFr
         _READS,
         _WRITES,
         _Compound,
-        sizes=per_order.select("order_id", F.col("_codes").alias("count")),
+        sizes=sizes.select("order_id", F.col("_codes").alias("count")),
     )
-    compounded = folded.groupBy("order_id").agg(F.max_by("_after", "seq").alias("_after")).select(
-        "order_id", (F.col("_after").cast("decimal(20,0)") / 100).cast(MONEY).alias("_compounded"), F.lit(True).alias("_many")
-    )
-    reduced = (F.col("total_price") * (1 - F.col("_only") / 100)).cast(MONEY)
-    orders = (
-        order.join(single, "order_id", "left")
-        .join(compounded, "order_id", "left")
-        .withColumn(
-            "total_price",
-            F.when(F.col("_many"), F.col("_compounded"))
-            .when(F.col("_only").isNotNull(), reduced)
-            .otherwise(F.col("total_price")),
-        )
-        .select(*order.columns)
-    )
-    return PromoResult(orders, _used(discount_code, applied), judged.select("seq", "order_id", "code", "status"))
+    last = folded.groupBy("order_id").agg(F.max_by("_after", "seq").alias("_cents"))
+    return last.select("order_id", (F.col("_cents").cast("decimal(20,0)") / 100).cast(MONEY).alias("_after"))
 
 
 def apply_gift_cards(order: DataFrame, gift_card: DataFrame, requests: DataFrame) -> PromoResult:

@@ -44,13 +44,13 @@ def product_reviews_with_favorites(
     products, reviews = _reviewed(tables, product_ids)
     lists = tables["favorite_list"].select("favorite_id", "customer_id")
     per_list = tables["favorite_list_items"].groupBy("favorite_id").agg(F.count(F.lit(1)).alias("favorites"))
-    favorites = keyed_join(per_list, lists, "favorite_id", unique=True).select("customer_id", "favorites")
+    favorites = keyed_join(per_list, lists, "favorite_id").select("customer_id", "favorites")
     people = tables["customer"].select("customer_id", full_name().alias("customer_name"))
     known = keyed_join(reviews, products, "product_id")
-    written = keyed_join(known, people, "customer_id", "left", counted=reviews)
+    written = keyed_join(known, people, "customer_id", "left")
     silent = products.join(reviews.select("product_id").distinct(), "product_id", "left_anti")
     rows = (
-        keyed_join(written, favorites, "customer_id", "left", counted=reviews)
+        keyed_join(written, favorites, "customer_id", "left")
         .unionByName(silent, allowMissingColumns=True)
         .select(
             "product_id",
@@ -82,12 +82,12 @@ def reviewers_who_favorited(tables: Frames, product_ids: list[int] | None = None
     )
     people = tables["customer"].select("customer_id", full_name().alias("customer_name"))
     known = keyed_join(reviews, products, "product_id")
-    rows = keyed_join(known, people, "customer_id", counted=reviews)
+    rows = keyed_join(known, people, "customer_id")
     # The pair as one text key, so that a pair with very many reviews is split like any heavy key.
     pair = F.concat_ws("/", "customer_id", "product_id")
     pairs = listed.select(pair.alias("pair"), "listed")
     return keyed_join(
-        rows.withColumn("pair", pair), pairs, "pair", "left", counted=reviews.select(pair.alias("pair"))
+        rows.withColumn("pair", pair), pairs, "pair", "left"
     ).select(
         "review_id",
         "product_id",
@@ -164,11 +164,11 @@ def users_favorites(tables: Frames) -> DataFrame:
     """Favorite products of each customer with their price."""
     people = tables["customer"].select("customer_id", full_name().alias("full_name"))
     owners = keyed_join(
-        tables["favorite_list"].select("favorite_id", "customer_id"), people, "customer_id", unique=True
+        tables["favorite_list"].select("favorite_id", "customer_id"), people, "customer_id"
     )
     products = tables["product"].select("product_id", F.col("name").alias("product_name"), "price")
     items = tables["favorite_list_items"].select("favorite_id", "product_id")
     owned = keyed_join(items, owners, "favorite_id")
-    return keyed_join(owned, products, "product_id", counted=items).select(
+    return keyed_join(owned, products, "product_id").select(
         "customer_id", "full_name", "product_id", "product_name", "price"
     )

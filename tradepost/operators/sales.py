@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import full_name, money_sum, month_of, month_range, whole_sum, within
-from ..functions.joins import fits, keyed_join
+from ..functions.joins import keyed_join
 from ..sources.schema import MONEY_SUM
 
 Frames = Mapping[str, DataFrame]
@@ -30,7 +30,7 @@ def units_by_product(items: DataFrame) -> DataFrame:
 def best_selling_products(tables: Frames, n: int = 1) -> DataFrame:
     """The ``n`` products of which most units were ordered."""
     products = tables["product"].select("product_id", F.col("name").alias("product_name"), "price", "category_id")
-    sold = keyed_join(units_by_product(tables["order_items"]), products, "product_id", unique=True)
+    sold = keyed_join(units_by_product(tables["order_items"]), products, "product_id")
     return (
         keyed_join(sold, _category_names(tables), "category_id")
         .orderBy(F.col("units").desc_nulls_first(), "product_id")
@@ -47,10 +47,10 @@ def order_item_history(tables: Frames, as_of: str) -> DataFrame:
     buyers = tables["customer"].select("customer_id", full_name().alias("customer_name"))
     products = tables["product"].select("product_id", F.col("name").alias("product_name"), "price", "category_id")
     named = keyed_join(products, _category_names(tables), "category_id").drop("category_id")
-    orders = keyed_join(past, buyers, "customer_id", counted=tables["order"])
+    orders = keyed_join(past, buyers, "customer_id")
     items = tables["order_items"].select("order_id", "product_id")
     sold = keyed_join(items, named, "product_id")
-    return keyed_join(sold, orders, "order_id", counted=items).select(
+    return keyed_join(sold, orders, "order_id").select(
         "customer_id", "customer_name", "order_id", "product_id", "product_name", "price", "category_name"
     )
 
@@ -74,7 +74,7 @@ def total_sales(tables: Frames, start: str, end: str, product_id: int | None = N
     chosen = tables["order"].filter(within("order_date", start, end)).select("order_id")
     items = items.select("order_id", "product_id", "quantity")
     sold = units_by_product(keyed_join(items, chosen, "order_id", "left_semi"))
-    return keyed_join(sold, products, "product_id", unique=True).agg(
+    return keyed_join(sold, products, "product_id").agg(
         F.coalesce(F.sum(F.col("units") * F.col("price")), F.lit(0)).cast(MONEY_SUM).alias("total_sales")
     )
 
@@ -82,17 +82,12 @@ def total_sales(tables: Frames, start: str, end: str, product_id: int | None = N
 def category_sales(items: DataFrame, product: DataFrame, *keys: str) -> DataFrame:
     """Units and revenue per category id and ``keys`` of items (product_id, quantity, keys).
 
-    Prices are looked up row by row when the price list is small enough to send everywhere; the only
-    shuffle is then by category. Otherwise items are first added up by product, so that the join with
-    the price list moves one row per product.
+    Items are first added up by product, so that the join with the price list moves one row per product and key, and no
+    product is heavy any more.
     """
     prices = product.filter("category_id is not null").select("product_id", "price", "category_id")
-    if fits(prices):
-        sold = items.select("product_id", *keys, F.col("quantity").alias("units")).join(F.broadcast(prices), "product_id")
-    else:
-        by_product = items.groupBy("product_id", *keys).agg(whole_sum("quantity").alias("units"))
-        # At most one row per product and month is left, so no product is heavy any more.
-        sold = keyed_join(by_product, prices, "product_id", unique=True)
+    by_product = items.groupBy("product_id", *keys).agg(whole_sum("quantity").alias("units"))
+    sold = keyed_join(by_product, prices, "product_id")
     return sold.groupBy("category_id", *keys).agg(
         whole_sum("units").alias("units"), money_sum(F.col("units") * F.col("price")).alias("revenue")
     )
@@ -103,7 +98,7 @@ def monthly_sales_category(tables: Frames, year: int, month: int) -> DataFrame:
     chosen = tables["order"].filter(month_range("order_date", year, month)).select("order_id")
     items = tables["order_items"].select("order_id", "product_id", "quantity")
     by_category = category_sales(keyed_join(items, chosen, "order_id", "left_semi"), tables["product"])
-    return keyed_join(by_category, _category_names(tables), "category_id", unique=True).select(
+    return keyed_join(by_category, _category_names(tables), "category_id").select(
         "category_id", "category_name", F.col("revenue").alias("total_sales"), F.col("units").alias("products_sold")
     )
 
@@ -111,7 +106,7 @@ def monthly_sales_category(tables: Frames, year: int, month: int) -> DataFrame:
 def popular_products(tables: Frames) -> DataFrame:
     """Units sold per product. Unsorted."""
     names = tables["product"].select("product_id", F.col("name").alias("product_name"))
-    return keyed_join(units_by_product(tables["order_items"]), names, "product_id", unique=True).select(
+    return keyed_join(units_by_product(tables["order_items"]), names, "product_id").select(
         "product_id", "product_name", F.col("units").alias("total_quantity_sold")
     )
 
@@ -132,7 +127,7 @@ def product_summary(tables: Frames) -> DataFrame:
 
 
 def _named_category_sales(by_category: DataFrame, category: DataFrame) -> DataFrame:
-    return keyed_join(by_category, category, "category_id", unique=True).select(
+    return keyed_join(by_category, category, "category_id").select(
         "category_id", "name", F.col("units").alias("total_quantity_sold"), F.col("revenue").alias("total_sales")
     )
 
@@ -165,7 +160,7 @@ def monthly_units(tables: Frames) -> DataFrame:
 def _by_category_name(by_category: DataFrame, category: DataFrame) -> DataFrame:
     names = category.select("category_id", F.col("name").alias("category_name"))
     return (
-        keyed_join(by_category, names, "category_id", unique=True)
+        keyed_join(by_category, names, "category_id")
         .groupBy("category_name", "sales_month")
         .agg(
             whole_sum("units").alias("total_products_sold"),

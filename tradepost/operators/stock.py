@@ -45,53 +45,65 @@ def _positive(quantity: str = "quantity"):
 
 
 def allocate_stock(requests: DataFrame, stock: DataFrame) -> DataFrame:
-    """``requests`` (with product_id, seq, quantity) plus ``accepted``. ``stock`` has product_id and
+    """``requests`` (with product_id, seq, quantity) plus ``accepted`` and ``status``. ``stock`` has product_id and
     stock_count; a product without a stock count accepts everything. ``seq`` is a whole arrival number,
     unique within a product.
 
-    Products whose stock covers all requests need only a sum. Of the others, very long queues are first
+    Every request is kept: one for no product, an unknown product or no quantity is not accepted, takes no stock and says so
+    in its status. Products whose stock covers all requests need only a sum. Of the others, very long queues are first
     decided in bulk as far as that goes, and what is left is walked through in order.
     """
-    wanted = requests.groupBy("product_id").agg(
+    on_hand = stock.select("product_id", F.col("stock_count").cast("bigint").alias("_stock"), F.lit(True).alias("_product"))
+    judged = keyed_join(requests, on_hand, "product_id", "left").withColumn(
+        "status",
+        F.when(F.col("product_id").isNull(), "NO_PRODUCT")
+        .when(F.col("_product").isNull(), "UNKNOWN_PRODUCT")
+        .when(F.col("quantity").isNull(), "NO_QUANTITY"),
+    )
+    judged = cut(judged.select(*requests.columns, "_stock", "status"))
+    refused = judged.filter("status is not null").withColumn("accepted", F.lit(False))
+    decided = _decide(judged.filter("status is null").drop("status")).withColumn(
+        "status", F.when(F.col("accepted"), "DONE").otherwise("EXCEEDS_STOCK")
+    )
+    columns = [*requests.columns, "accepted", "status"]
+    return decided.select(*columns).unionByName(refused.select(*columns))
+
+
+def _decide(rows: DataFrame) -> DataFrame:
+    """``rows`` with a quantity and the stock of their product plus ``accepted``."""
+    sums = rows.groupBy("product_id").agg(
+        F.max("_stock").alias("_on_hand"),
         F.sum(_positive()).alias("_wanted"),
         F.count(F.lit(1)).alias("_n"),
         F.count_if(F.col("quantity") < 0).alias("_returns"),
     )
-    on_hand = stock.select("product_id", F.col("stock_count").cast("bigint").alias("_stock"))
-    asked = cut(wanted.join(on_hand, "product_id", "left"))
-    covered = F.col("_stock").isNull() | (F.col("_wanted") <= F.col("_stock"))
-    long = F.col("_n") > LIMITS.fold_rows
-    size = asked.agg(
-        F.coalesce(F.sum(F.when(covered, F.col("_n"))), F.lit(0)).alias("easy"),
-        F.coalesce(F.sum(F.when(~covered, F.col("_n"))), F.lit(0)).alias("scarce"),
-        F.count_if(~covered & long).alias("long"),
-        F.coalesce(F.max("_n"), F.lit(0)).alias("most"),
+    scarce_sum = F.coalesce(F.col("_wanted") > F.col("_on_hand"), F.lit(False))
+    size = sums.agg(
+        F.coalesce(F.sum(F.when(~scarce_sum, F.col("_n"))), F.lit(0)).alias("easy"),
+        F.coalesce(F.sum(F.when(scarce_sum, F.col("_n"))), F.lit(0)).alias("scarce"),
+        F.coalesce(F.max(F.when(scarce_sum, F.col("_n"))), F.lit(0)).alias("most"),
     ).first()
-    rows = keyed_join(requests, asked, "product_id")
-    extra = ["_wanted", "_n", "_returns", "_stock"]
     if not size["scarce"]:
-        return rows.withColumn("accepted", F.lit(True)).drop(*extra)
-    if size["most"] <= LIMITS.fold_rows and size["easy"] < LIMITS.walk_share * size["scarce"]:
-        # Nearly all rows must be walked: take the few others along instead of reading all twice.
-        enough = F.when(covered, F.greatest("_wanted", "_stock")).otherwise(F.col("_stock"))
-        return _walk(rows.withColumn("_stock", enough).drop("_wanted", "_n", "_returns"))
-    easy = rows.filter(covered).withColumn("accepted", F.lit(True)).drop(*extra)
-    scarce = rows.filter(~covered).drop("_wanted")
-    if not size["long"]:
-        return easy.unionByName(_walk(scarce.drop("_n", "_returns")))
+        return rows.withColumn("accepted", F.lit(True))
+    # Only products that run short go on; products without a stock count never do.
+    short = cut(sums.filter(scarce_sum).select("product_id", "_n", "_returns"))
+    scarce = keyed_join(rows, short, "product_id")
+    easy = rows.join(short.select("product_id"), "product_id", "left_anti").withColumn("accepted", F.lit(True))
+    if size["most"] <= LIMITS.fold_rows:
+        return easy.unionByName(_walk(scarce.drop("_n", "_returns"), size["scarce"]))
     # A return can make room again, so only queues without one can be decided in bulk.
-    bulk = long & (F.col("_returns") == 0)
+    bulk = (F.col("_n") > LIMITS.fold_rows) & (F.col("_returns") == 0)
     decided, rest = _shorten(cut(scarce.filter(bulk).drop("_n", "_returns")))
     undecided = scarce.filter(~bulk).drop("_n", "_returns").unionByName(rest)
     walked = fold_in_order(
         undecided, "product_id", ("seq",), [State(("product_id",), "_stock", "_left")], _READS, _WRITES, _Greedy
     ).drop("_left")
-    return easy.unionByName(decided.unionByName(walked).drop("_stock"))
+    return easy.unionByName(decided).unionByName(walked)
 
 
-def _walk(rows: DataFrame) -> DataFrame:
-    """All rows in order, for queues that one task can take."""
-    return fold(rows, "product_id", ("seq",), _READS, _WRITES, _Greedy).drop(CHUNK, "_left", "_stock")
+def _walk(rows: DataFrame, n: int) -> DataFrame:
+    """All ``n`` rows in order, for queues that one task can take."""
+    return fold(rows, "product_id", ("seq",), _READS, _WRITES, _Greedy, n).drop(CHUNK, "_left")
 
 
 def _shorten(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -94,7 +94,8 @@ def refresh_summary(spark: SparkSession, name: str, batch: int, new: Frames, tab
         result = summary.build(tables)
     else:
         parts = summary.parts(new)
-        log = BatchLog(spark, f"{path}/_parts/{name}", parts.schema)
+        log = BatchLog(spark, f"{path}/parts/{name}", parts.schema, tidy_every=10)
+        log.tidy(batch, *summary.part_keys, added=True)
         log.put(batch, parts)
         result = summary.finish(log.summed(*summary.part_keys), tables)
     store = SnapshotStore(spark, path)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.durable import cut
-
 
 WRITERS = 4
 
@@ -32,89 +34,138 @@ class Folder:
     def remove(self, name: str) -> None:
         self._fs.delete(self._path_of(f"{self.path}/{name}"), True)
 
+    def put(self, name: str, text: str) -> None:
+        out = self._fs.create(self._path_of(f"{self.path}/{name}"), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def text(self, name: str) -> str:
+        file = self._fs.open(self._path_of(f"{self.path}/{name}"))
+        try:
+            return bytes(file.readAllBytes()).decode()
+        finally:
+            file.close()
+
     def claim(self, name: str) -> None:
         """Create an empty file; fails if another writer already has."""
         self._fs.create(self._path_of(f"{self.path}/{name}"), False).close()
 
 
 class SnapshotStore:
-    """Versions of one or more tables. All tables of a version are written before its marker appears, so
-    a reader sees either the whole old version or the whole new one."""
+    """Versions of one or more tables. A version is written below a folder of its own, which no other writer uses, and appears
+    with its marker, a file that only one writer can create and that names the folder. So a reader sees either the whole old
+    version or the whole new one, and a writer that loses the race for a number takes the next."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.folder = Folder(spark, path)
 
-    def versions(self) -> list[int]:
-        return [int(name) for name in self.folder.names("_versions") if name.isdigit()]
+    def versions(self) -> dict[int, str]:
+        """Folder of each version."""
+        marks = (name.partition("-") for name in self.folder.names("_versions"))
+        return {int(number): folder for number, _, folder in marks if number.isdigit()}
 
     def write(self, frames: Mapping[str, DataFrame], partition_by: Mapping[str, list[str]] | None = None) -> int:
-        version = max(self.versions(), default=0) + 1
+        attempt = uuid.uuid4().hex
 
         def write_one(name: str) -> None:
             columns = (partition_by or {}).get(name, [])
             # One shuffle by the partition columns, so that each partition is a few large files.
             ordered = frames[name].repartition(*columns) if columns else frames[name]
-            ordered.write.mode("overwrite").partitionBy(*columns).parquet(self._path(version, name))
+            ordered.write.partitionBy(*columns).parquet(f"{self.folder.path}/{attempt}/{name}")
+            # An empty table writes no file that shows its columns.
+            self.folder.put(f"{attempt}/_schemas/{name}", frames[name].schema.json())
 
         # The tables do not depend on each other; their jobs can share the cluster.
         with ThreadPoolExecutor(WRITERS) as pool:
             list(pool.map(write_one, frames))
-        self.folder.claim(f"_versions/{version:010d}")
-        return version
+        while True:
+            version = max((int(n) for n in self.folder.names("_numbers")), default=0) + 1
+            try:
+                self.folder.claim(f"_numbers/{version:010d}")
+            except Py4JJavaError as error:
+                if "AlreadyExists" not in str(error.java_exception):
+                    raise
+                continue  # another writer took the number
+            self.folder.claim(f"_versions/{version:010d}-{attempt}")
+            return version
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """The newest version of a table that has it."""
-        for v in sorted(self.versions(), reverse=True) if version is None else [version]:
-            if name in self.folder.names(f"v{v:010d}"):
-                return self.spark.read.parquet(self._path(v, name))
+        versions = self.versions()
+        for v in sorted(versions, reverse=True) if version is None else [version]:
+            if v in versions and name in self.folder.names(f"{versions[v]}/_schemas"):
+                schema = T.StructType.fromJson(json.loads(self.folder.text(f"{versions[v]}/_schemas/{name}")))
+                return self.spark.read.schema(schema).parquet(f"{self.folder.path}/{versions[v]}/{name}").select(*schema.names)
         raise FileNotFoundError(f"no snapshot of {name} in {self.folder.path}")
 
-    def _path(self, version: int, name: str) -> str:
-        return f"{self.folder.path}/v{version:010d}/{name}"
-
 
 class BatchLog:
     """A table kept as one folder per batch. Writing a batch again replaces it, so a repeated
-    batch changes nothing."""
+    batch changes nothing. Old batches are merged now and then: the merged rows are written to a folder of their own, a marker
+    makes them count, and only then do the batches they replace go."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, tidy_every: int = 100):
+        self.spark, self.path, self.schema, self.tidy_every = spark, path, schema, tidy_every
 
     def put(self, batch: int, df: DataFrame) -> None:
         df.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def rows(self, before: int | None = None) -> DataFrame:
-        """All rows with their ``batch``; only of batches below ``before`` if given."""
+        """All rows with their ``batch``; only of batches below ``before`` if given. Merged rows have the number of the last
+        batch that went into them."""
         schema = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
-        if not [n for n in Folder(self.spark, self.path).names() if n.startswith("batch=")]:
-            return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).option("basePath", self.path).parquet(self.path)
-        return df if before is None else df.filter(F.col("batch") < before)
-
-    def latest(self, *keys: str, before: int | None = None) -> DataFrame:
-        """The row of the newest batch for each key."""
+        folder = Folder(self.spark, self.path)
+        merged, upto = self._merged(folder)
+        single = [n for n in folder.names() if n.startswith("batch=") and int(n[6:]) > upto and (before is None or int(n[6:]) < before)]
+        parts = [self.spark.createDataFrame([], schema)]
+        if merged:
+            parts.append(self.spark.read.schema(self.schema).parquet(f"{self.path}/{merged}").withColumn("batch", F.lit(upto).cast("bigint")))
+        if single:
+            paths = [f"{self.path}/{n}" for n in single]
+            parts.append(self.spark.read.schema(schema).option("basePath", self.path).parquet(*paths))
+        return reduce(DataFrame.unionByName, parts[1:] or parts)
+
+    def _merged(self, folder: Folder) -> tuple[str, int]:
+        """Folder of the newest merge and the last batch in it."""
+        marks = [n.partition("-") for n in folder.names("_merged")]
+        newest = max(((int(a), b) for a, _, b in marks), default=None)
+        return (f"_merges/{newest[1]}", newest[0]) if newest else ("", -1)
+
+    def newest(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """The row of the newest batch for each key among ``rows`` of this log."""
         rest = [n for n in self.schema.fieldNames() if n not in keys]
-        newest = self.rows(before).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
         return newest.select(*keys, "_row.*")
 
-    def compact(self, *keys: str, before: int) -> None:
-        """Merge the batches below ``before`` into the last of them, keeping the newest row per key. The
-        merged folder replaces that batch before older ones go, so ``latest`` never changes."""
-        folder = Folder(self.spark, self.path)
-        old = [n for n in folder.names() if n.startswith("batch=") and int(n[6:]) < before]
-        if len(old) > 1:
-            merged = cut(self.latest(*keys, before=before))
-            self.put(before - 1, merged)
-            for name in old:
-                if name != f"batch={before - 1}":
-                    folder.remove(name)
-
-    def latest_keys(self, *keys: str, before: int | None = None) -> DataFrame:
-        return self.rows(before).select(*keys).distinct()
+    def latest(self, *keys: str, before: int | None = None) -> DataFrame:
+        return self.newest(self.rows(before), *keys)
 
     def summed(self, *keys: str, before: int | None = None) -> DataFrame:
         """The columns other than ``keys`` added up over all batches."""
         rest = [n for n in self.schema.fieldNames() if n not in keys]
         kinds = {f.name: f.dataType for f in self.schema.fields}
         return self.rows(before).groupBy(*keys).agg(*[F.sum(n).cast(kinds[n]).alias(n) for n in rest])
+
+    def compact(self, *keys: str, before: int, added: bool = False) -> None:
+        """Merge the batches below ``before``, keeping the newest row per key or, if ``added``, the sums. What is read
+        does not change at any moment, also not when this is interrupted."""
+        folder = Folder(self.spark, self.path)
+        _, upto = self._merged(folder)
+        old = [n for n in folder.names() if n.startswith("batch=") and int(n[6:]) < before]
+        if any(int(n[6:]) > upto for n in old):
+            name = uuid.uuid4().hex
+            rows = self.summed(*keys, before=before) if added else self.latest(*keys, before=before)
+            rows.select(*self.schema.fieldNames()).write.parquet(f"{self.path}/_merges/{name}")
+            folder.claim(f"_merged/{before - 1:010d}-{name}")
+        current, _ = self._merged(folder)
+        for n in old:
+            folder.remove(n)
+        for n in folder.names("_merges"):
+            if current and f"_merges/{n}" != current:
+                folder.remove(f"_merges/{n}")
+
+    def tidy(self, batch: int, *keys: str, added: bool = False) -> None:
+        """Called for every batch: merge earlier ones now and then, so that reading stays cheap."""
+        if batch and batch % self.tidy_every == 0:
+            self.compact(*keys, before=batch, added=added)

@@ -16,13 +16,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import mean
 from ..functions.durable import cut
-from ..functions.joins import streamed_join
+from ..functions.joins import reduced
 from ..operators.derive import check_order_addresses, history_json, notice_columns, order_history
 from ..operators.sales import monthly_report_from_units
 from ..operators.stock import allocate_stock
 from ..operators.wallet import wallet_ledger
 from ..plans.store import BatchLog
-from ..sources.schema import COUNT, ID, MONEY_SUM, RATE, TIME
+from ..sources.schema import COUNT, ID, MONEY_SUM, RATE, TABLES, TIME
 from .runner import append_to, start
 
 Frames = Mapping[str, DataFrame]
@@ -33,16 +33,6 @@ def _schema(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
-TIDY_EVERY = 100
-
-
-def _tidy(batch: int, *logs: tuple[BatchLog, str]) -> None:
-    """Now and then merge the folders of earlier batches, so that reading state stays cheap."""
-    if batch and batch % TIDY_EVERY == 0:
-        for log, key in logs:
-            log.compact(key, before=batch)
-
-
 def _signed(changes: DataFrame) -> DataFrame:
     return changes if "sign" in changes.columns else changes.withColumn("sign", F.lit(1))
 
@@ -55,23 +45,24 @@ def totals_log(spark, path: str, key: str) -> BatchLog:
 
 
 def stream_totals(items: DataFrame, tables: Now, key: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the total of each order (``key`` order_id) or favorite list (favorite_id) up to date. The sums
-    are the stream's own state, added up before the shuffle; items count at the price of the
-    product table when the stream starts."""
-    prices = tables()["product"].select("product_id", "price")
-    worth = F.col("sign") * F.col("quantity") * F.col("price")
-    totals = (
-        streamed_join(_signed(items), prices, "product_id", spread_by=key)
-        .groupBy(key)
-        .agg(F.sum(worth).cast(MONEY_SUM).alias("total_price"))
-    )
+    """Keep the total of each order (``key`` order_id) or favorite list (favorite_id) up to date. Each batch adds what its
+    items are worth at the prices of its time; a total is the sum over batches."""
     log = totals_log(items.sparkSession, path, key)
-    return start(totals, lambda rows, batch: log.put(batch, rows), checkpoint, "update")
+
+    def on_batch(rows: DataFrame, batch: int) -> None:
+        log.tidy(batch, key, added=True)
+        units = _signed(rows).groupBy(key, "product_id").agg(F.sum(F.col("sign") * F.col("quantity")).alias("units"))
+        units = cut(units)
+        prices = reduced(tables()["product"].select("product_id", "price"), units, "product_id")
+        worth = F.sum(F.col("units") * F.col("price")).cast(MONEY_SUM).alias("total_price")
+        log.put(batch, units.join(prices, "product_id").groupBy(key).agg(worth))
+
+    return start(items, on_batch, checkpoint)
 
 
 def with_totals(owners: DataFrame, log: BatchLog, key: str) -> DataFrame:
     """``owners`` (orders or lists) with the newest totals; one without any keeps its own."""
-    newest = log.latest(key).withColumnRenamed("total_price", "_total")
+    newest = log.summed(key).withColumnRenamed("total_price", "_total")
     return (
         owners.join(newest, key, "left")
         .withColumn("total_price", F.coalesce("_total", "total_price").cast(MONEY_SUM))
@@ -95,7 +86,12 @@ def stream_product_ratings(reviews: DataFrame, path: str, checkpoint: str) -> St
     )
     means = parts.select("product_id", mean("_sum", "_n").cast(RATE).alias("rating"))
     log = ratings_log(reviews.sparkSession, path)
-    return start(means, lambda rows, batch: log.put(batch, rows), checkpoint, "update")
+
+    def on_batch(rows: DataFrame, batch: int) -> None:
+        log.tidy(batch, "product_id")
+        log.put(batch, rows)
+
+    return start(means, on_batch, checkpoint, "update")
 
 
 # ---- stock --------------------------------------------------------------------------------------
@@ -103,7 +99,7 @@ def stream_product_ratings(reviews: DataFrame, path: str, checkpoint: str) -> St
 
 def gate_log(spark, path: str) -> BatchLog:
     return BatchLog(
-        spark, f"{path}/requests", _schema(seq=ID, product_id=ID, quantity=COUNT, accepted=T.BooleanType())
+        spark, f"{path}/requests", _schema(seq=ID, product_id=ID, quantity=COUNT, accepted=T.BooleanType(), status=T.StringType())
     )
 
 
@@ -127,14 +123,19 @@ def stream_stock_gate(
     gate, left = gate_log(spark, path), stock_log(spark, path)
 
     def on_batch(rows: DataFrame, batch: int) -> None:
-        _tidy(batch, (left, "product_id"))
-        stock = (
-            tables()["product"]
-            .select("product_id", F.col("stock_count").cast("bigint").alias("_opening"))
-            .join(left.latest("product_id", before=batch), "product_id", "left")
-            .select("product_id", F.coalesce("stock_count", "_opening").alias("stock_count"))
+        left.tidy(batch, "product_id")
+        asked = cut(prepare(rows).select("seq", "product_id", "quantity"))
+        # Only the products of this batch are looked up, in the product table and in the state.
+        opening = reduced(tables()["product"], asked, "product_id").select(
+            "product_id", F.col("stock_count").cast("bigint").alias("_opening")
         )
-        judged = cut(allocate_stock(prepare(rows).select("seq", "product_id", "quantity"), stock))
+        known = reduced(left.rows(before=batch), asked, "product_id")
+        stock = cut(
+            opening.join(left.newest(known, "product_id"), "product_id", "left").select(
+                "product_id", F.coalesce("stock_count", "_opening").alias("stock_count")
+            )
+        )
+        judged = cut(allocate_stock(asked, stock))
         taken = judged.filter("accepted").groupBy("product_id").agg(F.sum("quantity").alias("_taken"))
         gate.put(batch, judged)
         left.put(
@@ -172,19 +173,19 @@ def stream_wallet_ledger(payments: DataFrame, tables: Now, path: str, checkpoint
     sums = BatchLog(spark, f"{path}/sums", _schema(order_id=ID, paid=MONEY_SUM))
 
     def on_batch(rows: DataFrame, batch: int) -> None:
-        _tidy(batch, (wallets, "customer_id"), (sums, "order_id"))
-        now = tables()
+        wallets.tidy(batch, "customer_id")
+        sums.tidy(batch, "order_id")
+        now, rows = tables(), cut(rows)
+        # Only the customers and orders of this batch are looked up, in the tables and in the state.
+        held = wallets.newest(reduced(wallets.rows(before=batch), rows, "customer_id"), "customer_id")
         opening = (
-            now["customer"]
-            .join(wallets.latest("customer_id", before=batch), "customer_id", "left")
+            reduced(now["customer"], rows, "customer_id")
+            .join(held, "customer_id", "left")
             .select("customer_id", F.coalesce("wallet", "wallet_balance").alias("wallet_balance"))
         )
-        settled = cut(
-            wallet_ledger(
-                {"payment": cut(rows), "order": now["order"], "customer": opening},
-                paid_before=sums.latest("order_id", before=batch),
-            )
-        )
+        orders = reduced(now["order"], rows, "order_id")
+        before = sums.newest(reduced(sums.rows(before=batch), rows, "order_id"), "order_id")
+        settled = cut(wallet_ledger({"payment": rows, "order": orders, "customer": opening}, paid_before=before))
         last = F.struct("payment_date", "payment_id")
         wallets.put(batch, settled.groupBy("customer_id").agg(F.max_by("wallet_after", last).alias("wallet")))
         sums.put(batch, settled.groupBy("order_id").agg(F.max_by("paid_sum", last).alias("paid")))
@@ -212,22 +213,29 @@ def stream_review_notifications(reviews: DataFrame, path: str, checkpoint: str)
     return append_to(notices, path, checkpoint)
 
 
+def history_log(spark, path: str) -> BatchLog:
+    columns = {f.name: T.StringType() if f.name == "order_details" else f.dataType for f in TABLES["order_history_log"].schema.fields}
+    return BatchLog(spark, f"{path}/log", _schema(**columns))
+
+
 def stream_order_history(
-    paid: DataFrame, tables: Now, path: str, checkpoint: str, dedupe: bool = False
+    paid: DataFrame, tables: Now, path: str, checkpoint: str, dedupe: bool = False, as_of: str | None = None
 ) -> StreamingQuery:
-    """Append the document of each paid transition (order_id) as JSON. With ``dedupe`` an order is logged
-    once over all batches."""
-    spark = paid.sparkSession
-    logged = BatchLog(spark, f"{path}/orders", _schema(order_id=ID))
+    """Append a row of the order history table for each paid transition (order_id), its document as JSON. Ids go on
+    after those of earlier batches. With ``dedupe`` an order is logged once over all batches."""
+    log = history_log(paid.sparkSession, path)
 
     def on_batch(rows: DataFrame, batch: int) -> None:
         events = rows.select("order_id")
         if dedupe:
-            events = events.distinct().join(logged.latest_keys("order_id", before=batch), "order_id", "left_anti")
+            events = cut(events.distinct())
+            events = events.join(reduced(log.rows(before=batch), events, "order_id").select("order_id"), "order_id", "left_anti")
         events = cut(events)
-        log = order_history(tables(), paid=events)
-        history_json(log).write.mode("overwrite").parquet(f"{path}/log/batch={batch}")
-        logged.put(batch, events.distinct())
+        now = tables()
+        few = {name: reduced(now[name], events, "order_id") for name in ("order", "order_items")}
+        last = log.rows(before=batch).agg(F.max("log_id")).first()[0] or 0
+        new = order_history({**few, "product": now["product"]}, paid=events, as_of=as_of, last_id=last)
+        log.put(batch, history_json(new))
 
     return start(paid, on_batch, checkpoint)
 
@@ -236,30 +244,48 @@ def stream_order_history(
 
 
 def daily_log(spark, path: str) -> BatchLog:
-    return BatchLog(spark, path, _schema(product_id=ID, day=TIME, units=ID))
+    return BatchLog(spark, f"{path}/days", _schema(product_id=ID, day=TIME, units=ID))
+
+
+def late_log(spark, path: str) -> BatchLog:
+    return BatchLog(spark, f"{path}/late", _schema(product_id=ID, day=TIME, units=ID))
 
 
 def stream_daily_sales(
-    items: DataFrame, tables: Now, path: str, checkpoint: str, watermark: str | None = None
+    items: DataFrame, tables: Now, path: str, checkpoint: str, late_after: str | None = None
 ) -> StreamingQuery:
-    """Units per product and day of the order. Without a watermark no item is ever too late; with one,
-    days older than it leave the state and later items for them are not counted."""
-    orders = tables()["order"].select("order_id", F.col("order_date").cast("timestamp").alias("at"))
-    dated = streamed_join(_signed(items), orders, "order_id", spread_by="product_id")
-    if watermark:
-        dated = dated.withWatermark("at", watermark)
-    units = (
-        dated.groupBy("product_id", F.window("at", "1 day"))
-        .agg(F.sum(F.col("sign") * F.col("quantity")).cast("bigint").alias("units"))
-        .select("product_id", F.col("window.start").cast("timestamp_ntz").alias("day"), "units")
-    )
-    log = daily_log(items.sparkSession, path)
-    return start(units, lambda rows, batch: log.put(batch, rows), checkpoint, "update")
+    """Units per product and day of the order; each batch adds its own, and a day's units are the sum over batches.
+
+    Without ``late_after`` no item is too late. With it (such as "30 days"), units for days that lie further than
+    that behind the newest day of earlier batches go to ``late_log`` instead, where they can be counted or added later.
+    """
+    spark = items.sparkSession
+    days, late = daily_log(spark, path), late_log(spark, path)
+
+    def on_batch(rows: DataFrame, batch: int) -> None:
+        days.tidy(batch, "product_id", "day", added=True)
+        rows = cut(_signed(rows))
+        orders = reduced(tables()["order"].select("order_id", "order_date"), rows, "order_id")
+        day = F.date_trunc("day", "order_date").cast("timestamp_ntz").alias("day")
+        units = cut(
+            rows.join(orders, "order_id")
+            .groupBy("product_id", day)
+            .agg(F.sum(F.col("sign") * F.col("quantity")).cast("bigint").alias("units"))
+        )
+        too_late = F.lit(False)
+        if late_after:
+            seen = days.rows(before=batch).agg(F.max("day")).first()[0]
+            if seen is not None:
+                too_late = F.col("day") < F.lit(seen).cast("timestamp_ntz") - F.expr(f"interval {late_after}")
+        days.put(batch, units.filter(~too_late))
+        late.put(batch, units.filter(too_late))
+
+    return start(items, on_batch, checkpoint)
 
 
 def monthly_report_from_days(log: BatchLog, tables: Frames) -> DataFrame:
     months = (
-        log.latest("product_id", "day")
+        log.rows()
         .groupBy("product_id", F.date_trunc("month", "day").cast("timestamp_ntz").alias("sales_month"))
         .agg(F.sum("units").alias("units"))
     )
