@@ -103,7 +103,7 @@ def order_arrays(spark: SparkSession, folder: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("product_id", "quantity"))).alias("l")
     )
     heads = order_heads(spark, folder).drop("refused").join(lines, "seq")
-    products, quantities = (F.transform("l", lambda x, n=n: x[n]) for n in ("product_id", "quantity"))
+    products, quantities = F.col("l.product_id"), F.col("l.quantity")
     none = F.array().cast("array<bigint>")
     return heads.select(
         "seq",

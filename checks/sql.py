@@ -806,7 +806,7 @@ add("allocate_stock", "select product_id, seq as order_id, quantity, accepted fr
 add(
     "allocate_stock_status",
     """select a.seq, a.product_id, a.quantity, coalesce(w.accepted, false) as accepted,
-              case when a.product_id is null then 'NO_PRODUCT' when a.product_id > 1000000000 then 'UNKNOWN_PRODUCT'
+              case when a.product_id is null then 'NO_PRODUCT' when a.product_id >= 1000000000 then 'UNKNOWN_PRODUCT'
                    when a.quantity is null then 'NO_QUANTITY' when w.accepted then 'DONE' else 'EXCEEDS_STOCK' end as status
        from ask_stock a left join wanted_walk w on w.seq = a.seq and w.product_id = a.product_id""",
     """
@@ -964,16 +964,45 @@ add(
     ),
 )
 
+_CHECKS = [
+    ("product", "check:stock_not_negative", "un_product", "stock_count <= -1"),
+    ("review", "check:rating_1_to_5", "un_review", "rating < 1 or rating > 5"),
+    ("review", "check:comment_or_rating", "un_review", "comment is null and rating is null"),
+    ("discount_code", "check:percentage_0_to_100", "un_discount", "percentage < 0 or percentage > 100"),
+    ("customer", "range:wallet_balance", "un_customer", "abs(wallet_balance) >= 100000000"),
+]
+
+
+def _found(table: str, rule: str, source: str, broken: str, value: str, distinct: str = "") -> str:
+    text = f"concat_ws(',', {value})"
+    return f"select '{table}' as table_name, '{rule}' as rule, count({distinct} {text}) as found, min({text}) as first from {source} where {broken}"
+
+
+def _groups(source: str, key: str) -> str:
+    some = " and ".join(f"{c} is not null" for c in key.split(","))
+    return f"(select {key} from {source} where {some} group by {key} having count(*) > 1)"
+
+
 add(
     "violating_keys",
-    """select table_name, rule, found, first from (
-         select 'order' as table_name, 'foreign_key:address_id->address' as rule, count(distinct address_id) as found,
-                min(cast(address_id as varchar)) as first
-         from un_order o where address_id is not null and address_id not in (select address_id from shop_address)
-         union all
-         select 'review', 'check:rating_1_to_5', count(*), min(cast(review_id as varchar)) from un_review where rating < 1 or rating > 5
-       ) where found > 0""",
-)
+    "select * from ("
+    + _all(
+        [_found(t, f"not_null:{c}", src, f"{c} is null", keys[0]) for t, (src, cols, keys, _, _) in _RULES.items() for c in cols.split()]
+        + [_found(t, rule, src, broken, _RULES[t][2][0]) for t, rule, src, broken in _CHECKS]
+        + [_found(t, f"length:{c}", src, f"length({c}) > {n}", keys[0]) for t, (src, _, keys, _, lengths) in _RULES.items() for c, n in lengths.items()]
+        + [_found(t, f"unique:{key}", _groups(src, key), "true", key) for t, (src, _, keys, _, _) in _RULES.items() for key in keys]
+        + [
+            _found(
+                t, f"foreign_key:{column}->{parent}", f"{src} child",
+                f"{column} is not null and not exists (select 1 from {_RULES[parent][0]} parent "
+                f"where parent.{_RULES[parent][2][0]} = child.{column})", column, "distinct",
+            )
+            for t, (src, _, _, refs, _) in _RULES.items()
+            for column, parent in refs.items()
+        ]
+    )
+    + ") where found > 0",
+)
 
 # ---- streams ------------------------------------------------------------------------------------
 SQL["stream_order_totals"] = SQL["order_totals"]
