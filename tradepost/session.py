@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Zone-less times need one fixed zone; AQE splits skewed partitions and merges small ones.
@@ -17,9 +21,25 @@ SETTINGS = {
 def configure(spark: SparkSession) -> SparkSession:
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
+    if not spark.sparkContext.master.startswith("local"):
+        ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python steps import it. Done once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="tradepost-"), "tradepost")
+        root, name = os.path.split(package)
+        context.addPyFile(shutil.make_archive(target, "zip", root, name))
+        _shipped.add(context.applicationId)
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "tradepost") -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
