@@ -87,7 +87,7 @@ def test_plans_place_every_piece_once(lengths):
     assert (placed == counts).all()
     sequences = sum(times for _, times in plan)
     assert sequences <= sum(t for _, t in packing._best_fit(counts, 1024))
-    if 300 in lengths:
+    if lengths[:4] == [300, 300, 300, 124]:
         assert sequences == 50  # the full configuration, which best fit alone may miss
     rows = packing.plan_rows(plan)
     taken = set()

@@ -11,7 +11,7 @@ from tradepost.llm.queries import QUERIES, toxicity_model
 
 from .conftest import words
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def labelled():
@@ -21,7 +21,7 @@ def labelled():
         toxic = i % 6 == 0
         for _ in range(rng.randint(1, 4) if toxic else 0):
             text.insert(rng.randrange(len(text)), rng.choice(["vilify", "wretch", "qazen", "qazos", "qazir"]))
-        if i % 6 == 1:
+        if i % 60 == 1:
             text.insert(0, "poor wretch")
         rows.append((i, " ".join(text), int(toxic)))
     return rows
@@ -36,9 +36,8 @@ def model(spark, make_docs):
 
 def test_lexicon_beginnings_and_exceptions(model):
     entries = dict(model.lexicon)
-    assert any(e.startswith(" viif") or e.startswith(" vii") for e in entries)  # l is folded to i
-    assert any(" qaz".startswith(e) or e == " qaz" for e in entries)
-    assert any(e.startswith(" wret") or e == " wre" or e == " wretch " for e in entries) and " poor wretch " in model.exceptions
+    assert {" viiify ", " qaz", " wretch "} <= set(entries)  # l is folded to i; a word, what several words begin with, a word
+    assert " poor wretch " in model.exceptions
 
 
 def test_scores(spark, make_docs, model):
@@ -68,14 +67,15 @@ def test_fit_without_labels(spark, make_docs, no_docs):
 
 
 def test_held_out_labels_and_quality(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     scored = QUERIES["op8_toxicity"](spark, folder).join(labels, "doc_id").toPandas()
     held = scored[scored["held_out"]]
     positive, negative = held[held["toxic"] == 1]["score"], held[held["toxic"] == 0]["score"]
     wins = sum((p > negative).mean() + 0.5 * (p == negative).mean() for p in positive) / len(positive)
-    assert wins > 0.9
+    assert wins > 0.95
+    assert (negative >= toxicity.CUT).mean() < 0.005 and (positive >= toxicity.CUT).mean() > 0.85
     changed = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     held_out = toxicity.held_out(F.col("doc_id"))
     one = toxicity.fit(docs, labels.filter(~held_out))

@@ -45,6 +45,9 @@ FIT_ROWS = 20_000
 #: Entries of the lexicon, at most.
 ENTRIES = 2_000
 PREFIXES = range(3, 9)
+#: An entry stands at least e^1.5 times as often in toxic texts, and its counts are no accident.
+LEAST_WEIGHT = 1.5
+SURE = 20.0
 
 
 def folded(text: str | None) -> str:
@@ -167,11 +170,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
         clean, toxic = n.get(0, 0), sum(v for k, v in n.items() if k)
         if not clean or not toxic:
             return Model((), (), (-2.0, 1.0, 0.0))
-        least = max(4, toxic // 400)
-        odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-        found = _counts(sample, _words_and_beginnings).filter(F.col("toxic") >= least).withColumn("weight", odds).filter("weight > 3")
-        best = found.orderBy(F.desc("toxic"), "item").limit(20 * ENTRIES).collect()
-        lexicon = _shortest({r["item"]: r["weight"] for r in best})
+        least = max(3, toxic // 100)
+        t, c, share = F.col("toxic"), F.col("clean"), toxic / (toxic + clean)
+        odds = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
+        # How surely the counts differ from the share of toxic texts: twice the log-likelihood ratio.
+        sure = 2 * (t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0))
+        found = _counts(sample, _words_and_beginnings).filter(t >= least).withColumn("weight", odds).withColumn("sure", sure)
+        best = found.filter((F.col("weight") > LEAST_WEIGHT) & (F.col("sure") > SURE)).orderBy(F.desc("sure"), "item").limit(10 * ENTRIES)
+        lexicon = _distinct({r["item"]: (r["weight"], r["toxic"], r["sure"]) for r in best.collect()})
         first = Model(tuple(lexicon), (), (0.0, 1.0, 0.0))
         pairs = _counts(sample, _Pairs(first)).filter((F.col("clean") >= least) & (F.col("clean") > F.col("toxic") * (4 * clean / toxic)))
         exceptions = sorted(r["item"] for r in pairs.orderBy(F.desc("clean"), "item").limit(ENTRIES).collect())
@@ -180,13 +186,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     return Model(second.lexicon, second.exceptions, _curve(rows[["x", "y"]].to_numpy(), (rows["toxic"] > 0).to_numpy(float)))
 
 
-def _shortest(weights: dict[str, float]) -> list[tuple[str, float]]:
-    """Entries without those that a shorter entry already finds."""
-    out = []
-    for item, weight in weights.items():
-        if not any(item[:n] in weights for n in range(1 + PREFIXES[0], len(item))):
-            out.append((item, round(weight, 6)))
-    return sorted(out, key=lambda x: (-x[1], x[0]))[:ENTRIES]
+def _distinct(found: dict[str, tuple[float, int, float]]) -> list[tuple[str, float]]:
+    """The surest of the entries (weight, toxic texts, sureness) of which none is the beginning of another; of equally sure ones the
+    shorter. Each is then made as long as it can be while it keeps nearly all its toxic texts, so that a beginning that only
+    one word has becomes that word."""
+    kept: list[str] = []
+    beginnings: set[str] = set()
+    for item, _ in sorted(found.items(), key=lambda x: (-x[1][2], len(x[0]), x[0])):
+        own = [item[:n] for n in range(1 + PREFIXES[0], len(item))]
+        if item not in beginnings and not any(o in kept for o in own):
+            kept.append(item)
+            beginnings.update(own)
+    kept = kept[:ENTRIES]
+    longer = {k: max((i for i in found if i.startswith(k) and found[i][1] >= 0.95 * found[k][1]), key=len) for k in kept}
+    return [(longer[k], round(found[longer[k]][0], 6)) for k in kept]
 
 
 class _Pairs:
