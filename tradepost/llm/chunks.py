@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
@@ -16,6 +17,8 @@ import numpy as np
 
 #: Ids are kept and returned as little-endian unsigned 32-bit integers.
 ID = np.dtype("<u4")
+#: Pieces that each memory keeps.
+REMEMBERED = 250_000
 _CUT = re.compile(r" (?=\S)")
 _AWKWARD = re.compile(r" (?:\s|\Z)")
 
@@ -32,6 +35,8 @@ _AS_CHARACTER = dict(enumerate(byte_characters()))
 
 def mapped(piece: str) -> str:
     """UTF-8 bytes of ``piece``, one printable character each."""
+    if piece.isascii() and piece.isalnum():
+        return piece
     return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_AS_CHARACTER)
 
 
@@ -39,7 +44,7 @@ class ChunkEncoder:
     """``encode`` gives the packed ids of one piece; pieces start with their blank. Two generations of at most
     ``remembered`` pieces each are kept (more only while one slice of ``at_once`` characters needs more)."""
 
-    def __init__(self, encode: Callable[[str], bytes], remembered: int = 250_000, at_once: int = 1_000_000):
+    def __init__(self, encode: Callable[[str], bytes], remembered: int = REMEMBERED, at_once: int = 1_000_000):
         self.encode = encode
         self.remembered = remembered
         self.at_once = at_once
@@ -88,17 +93,37 @@ def library_encoder(path: str) -> ChunkEncoder:
     model, normalizer = tokenizer.model, tokenizer.normalizer
     model._resize_cache(0)  # every word comes once
     with open(path, encoding="utf-8") as file:
-        words = regex.compile(_word_pattern(json.load(file)["pre_tokenizer"]))
+        parts = json.load(file)
+    words = regex.compile(_word_pattern(parts["pre_tokenizer"]))
     find, tokenize = words.findall, model.tokenize
+    lower = _only_lower(parts["normalizer"])
+    known: dict[str, bytes] = {}
+
+    def word_ids(word: str) -> bytes:
+        ids = known.get(word)
+        if ids is None:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            found = [t.id for t in tokenize(mapped(word))]
+            ids = known[word] = struct.pack(f"<{len(found)}I", *found)
+        return ids
 
     def encode(piece: str) -> bytes:
         if normalizer is not None:
-            piece = normalizer.normalize_str(piece)
-        return np.array([t.id for word in find(piece) for t in tokenize(mapped(word))], ID).tobytes()
+            # Below U+0250 no character changes when composed, and lower case does not depend on neighbours.
+            piece = piece.lower() if lower and (piece.isascii() or max(piece) < "\u0250") else normalizer.normalize_str(piece)
+        words = find(piece)
+        return word_ids(words[0]) if len(words) == 1 else b"".join(map(word_ids, words))
 
     return ChunkEncoder(encode)
 
 
+def _only_lower(step: dict | None) -> bool:
+    """Whether a file's normalizer composes characters, makes white space blank (which the pattern drops) and writes lower case."""
+    kinds = [s["type"] for s in step["normalizers"]] if step and step["type"] == "Sequence" else []
+    return kinds == ["NFC", "Replace", "Lowercase"] and step["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+
+
 def _word_pattern(step: dict) -> str:
     """Pattern whose matches a file's pre-tokenizer gives to the model."""
     if step["type"] == "ByteLevel" and step["use_regex"] and not step["add_prefix_space"]:
