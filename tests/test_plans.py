@@ -6,6 +6,7 @@ import pytest
 
 from checks.registry import QUERIES
 from seed import frame, seed_tables
+from tradepost.functions.joins import reduced
 from tradepost.functions.scan import numbered
 from tradepost.operators import cascade, customers, derive, lookups, reviews, sales
 from tradepost.sources import shop_tables
@@ -97,3 +98,10 @@ def test_cascade_reads_little(spark, no_broadcast):
     names = frame(spark, [("Customer#000000001",)], "username string")
     left = cascade.delete_customers(t, names)
     assert sum(plan(df).count("FileScan parquet") for df in left.values()) < 60
+
+
+def test_a_batch_does_not_shuffle_the_whole_side(spark, no_broadcast):
+    side = shop_tables(spark, SF)["product"]
+    few = reduced(side, frame(spark, [(1,), (2,)], "product_id bigint"), "product_id")
+    text = plan(few)
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text.split("BroadcastExchange")[0]
