@@ -75,7 +75,8 @@ def train(rows: DataFrame, path: str, end_id: int) -> bytes:
     share = 1 << 20
     n = max(1, short.count())
     picked = short.filter(F.pmod(F.xxhash64("id"), F.lit(share)) < min(share, SAMPLE * share // n + 1)).limit(2 * SAMPLE)
-    return picked.select("text").coalesce(1).mapInArrow(_train(path, end_id), "dictionary binary").first()[0]
+    trained = picked.select("text").coalesce(1).mapInArrow(_train(path, end_id), "dictionary binary").first()
+    return bytes(trained[0]) if trained else b""
 
 
 def _raw(dictionary: bytes):
