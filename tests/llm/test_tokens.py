@@ -8,7 +8,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from tradepost.llm import byte_bpe, packing, token_files
-from tradepost.llm.chunks import ChunkEncoder, library_encoder
+from tradepost.llm.chunks import ChunkEncoder, library_encoder, text_encoder
 from tradepost.llm.scratch import Scratch
 
 from .conftest import words
@@ -28,7 +28,9 @@ def test_chunks_encode_as_the_library_does(name):
     whole = Tokenizer.from_file(P.path(name))
     whole.encode_special_tokens = True
     texts = ODD + [words(300, 5), " ".join(ODD)]
-    assert library_encoder(P.path(name))(texts) == [packed(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    expected = [packed(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert library_encoder(P.path(name))(texts) == expected
+    assert text_encoder(P.path(name))(texts) == expected
 
 
 def test_a_small_memory_gives_the_same_ids():
