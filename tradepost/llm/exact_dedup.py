@@ -207,15 +207,21 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     Missing texts equal empty ones. Repeated rows are copies of each other: one stays. An empty table gives no rows.
     Other columns are not read.
     """
-    slim = numbered(docs).select(
-        F.col(ROW).alias("row"), column(docs, id_column).cast("bigint").alias("id"), text_digest(column(docs, text)).alias("digest")
+    return _decided(numbered(docs), id_column, text)
+
+
+def _decided(rows: DataFrame, id_column: str, text: str) -> DataFrame:
+    """``exact_dedup`` of rows with a number; ``decide`` stores the numbers it reads."""
+    slim = rows.select(
+        F.col(ROW).alias("row"), column(rows, id_column).cast("bigint").alias("id"), text_digest(column(rows, text)).alias("digest")
     )
-    ends = docs.agg(F.min(id_column), F.max(id_column)).first()
+    ends = rows.agg(F.min(id_column), F.max(id_column)).first()
     middle = 0 if ends[0] is None else (ends[0] + ends[1]) // 2
     return decide(slim, F.coalesce(F.col("id") <= middle, F.lit(False)))
 
 
 def without_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stay = exact_dedup(docs, id_column, text).filter("row = keep_row").select(F.col("row").alias(ROW))
-    return numbered(docs).join(stay, ROW, "left_semi").drop(ROW)
+    rows = Scratch(docs.sparkSession, "dedup-rows").cut(numbered(docs))
+    stay = _decided(rows, id_column, text).filter("row = keep_row").select(F.col("row").alias(ROW))
+    return rows.join(stay, ROW, "left_semi").drop(ROW)

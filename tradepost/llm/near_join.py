@@ -255,11 +255,17 @@ def near_duplicates(
     over links. Missing, empty and blank texts have the empty set; equal sets, also empty ones, are linked.
     Missing ids are the largest. An empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    keep = Scratch(spark, "near")
-    rows = numbered(docs).select(
+    slim = numbered(docs).select(
         F.col(ROW).alias("row"), column(docs, id_column).cast("bigint").alias("id"), column(docs, text).alias("text")
     )
+    with Scratch(docs.sparkSession, "near-rows") as temp:
+        return _near(temp.cut(slim), settings)
+
+
+def _near(rows: DataFrame, settings: Settings) -> DataFrame:
+    """``near_duplicates`` of stored rows (row, id, text); they are not needed for reading the result."""
+    spark = rows.sparkSession
+    keep = Scratch(spark, "near")
     with Scratch(spark, "near-candidates") as temp:
         sketched = temp.cut(rows.mapInArrow(_sketch(settings), "row bigint, id bigint, d1 bigint, d2 bigint, keys array<bigint>"))
         first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("first")
@@ -309,5 +315,7 @@ def near_duplicates(
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stay = near_duplicates(docs, id_column, text, settings).filter("kept").select(F.col("row").alias(ROW))
-    return numbered(docs).join(stay, ROW, "left_semi").drop(ROW)
+    rows = Scratch(docs.sparkSession, "near-rows").cut(numbered(docs))
+    slim = rows.select(F.col(ROW).alias("row"), column(rows, id_column).cast("bigint").alias("id"), column(rows, text).alias("text"))
+    stay = _near(slim, settings).filter("kept").select(F.col("row").alias(ROW))
+    return rows.join(stay, ROW, "left_semi").drop(ROW)

@@ -38,8 +38,10 @@ class Scratch:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with a number per row. Reading the same files again gives the same numbers, so a decision about a
-    row finds it again even when ids are missing or repeated."""
+    """``df`` with a number per row, so a decision about a row finds it again even when ids are missing or repeated.
+
+    Numbers depend on how files are split, and so on the cores there are when a job is planned: they hold for one job only.
+    What several jobs need has to be written with its numbers by one of them (``Scratch.cut``) and read from there."""
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 

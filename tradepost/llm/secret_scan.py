@@ -131,9 +131,14 @@ def find_spans(rows: DataFrame, keep: Scratch, temp: Scratch) -> DataFrame:
 def secret_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (row, id, spans) per row of ``docs``. Missing and empty texts have no spans, repeated rows are
     scanned each for itself, an empty table gives no rows. Other columns are not read."""
-    rows = numbered(docs).select(F.col(ROW).alias("row"), column(docs, id_column).alias("id"), column(docs, text).alias("text"))
-    with Scratch(docs.sparkSession, "secret-places") as temp:
-        return find_spans(rows, Scratch(docs.sparkSession, "secrets"), temp)
+    return _spans(numbered(docs), id_column, text)
+
+
+def _spans(rows: DataFrame, id_column: str, text: str) -> DataFrame:
+    """``secret_spans`` of rows with a number; ``find_spans`` stores the numbers it reads."""
+    slim = rows.select(F.col(ROW).alias("row"), column(rows, id_column).alias("id"), column(rows, text).alias("text"))
+    with Scratch(rows.sparkSession, "secret-places") as temp:
+        return find_spans(slim, Scratch(rows.sparkSession, "secrets"), temp)
 
 
 def spans_text(spans: Column) -> Column:
@@ -161,7 +166,8 @@ def redact(docs: DataFrame, text: str = "text", size: str = "n_chars", id_column
     """``docs`` with every span replaced by ``[secret]``; spans that overlap become one. ``size`` becomes the number of
     code points of the new text. Texts without spans stay as they are."""
     spark = docs.sparkSession
-    found = secret_spans(docs, id_column, text).filter(F.size("spans") > 0).select(F.col("row").alias(ROW), F.col("spans").alias("_tp_spans"))
+    rows = Scratch(spark, "secret-rows").cut(numbered(docs))
+    found = _spans(rows, id_column, text).filter(F.size("spans") > 0).select(F.col("row").alias(ROW), F.col("spans").alias("_tp_spans"))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(state, span):
@@ -173,7 +179,7 @@ def redact(docs: DataFrame, text: str = "text", size: str = "n_chars", id_column
     done = F.aggregate("_tp_spans", start, step)
     rest = F.substring(F.col(_q(text)), done["at"].cast("int") + 1, F.length(F.col(_q(text))))
     clean = F.when(F.col("_tp_spans").isNotNull(), F.concat(done["out"], rest)).otherwise(F.col(_q(text)))
-    joined = numbered(docs).join(found, ROW, "left").withColumn(text, clean)
+    joined = rows.join(found, ROW, "left").withColumn(text, clean)
     if size in docs.columns:
         kind = docs.schema[size].dataType
         joined = joined.withColumn(size, F.when(F.col("_tp_spans").isNotNull(), F.length(F.col(_q(text))).cast(kind)).otherwise(F.col(_q(size))))
