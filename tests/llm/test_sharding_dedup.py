@@ -90,3 +90,20 @@ def test_rows_that_stay(odd_docs, odd_rows):
 def test_no_rows_no_decisions(no_docs):
     assert exact_dedup.exact_dedup(no_docs).collect() == []
     assert exact_dedup.without_copies(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("ids", [[None] * 80, [-(10**15), *range(79)], [*range(79), 10**15]])
+def test_buckets_grow_with_all_rows(make_docs, monkeypatch, ids):
+    rows = [(i, f"text {n // 2}") for n, i in enumerate(ids)]
+    asked, distinct = [], exact_dedup.distinct_digests
+
+    def spy(some, buckets):
+        asked.append((some.count(), buckets))
+        return distinct(some, buckets)
+
+    monkeypatch.setattr(exact_dedup, "BUCKET", 4)
+    monkeypatch.setattr(exact_dedup, "distinct_digests", spy)
+    check_dedup(exact_dedup.exact_dedup(make_docs(rows)).collect(), rows)
+    (old, buckets), (new, same) = asked
+    assert buckets == same and old + new == len(rows) and max(old, new) <= 4 * buckets
+    assert abs(old - new) <= 8 or ids[0] is None  # one far id does not move the middle

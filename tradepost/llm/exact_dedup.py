@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .scratch import ROW, Scratch, column, numbered
 
-#: Digests of one bucket on average; bounds what one task holds.
+#: Digests of the history, and of the other rows, in one bucket on average; bounds what one task holds.
 BUCKET = 2048
 #: Stands for a missing id inside locators.
 NO_ID = -(1 << 63)
@@ -183,7 +183,8 @@ def decide(rows: DataFrame, is_history: Column, buckets: int | None = None) -> D
         rows = keep.cut(rows.select("row", F.coalesce("id", F.lit(NO_ID)).alias("id"), "digest", is_history.alias("_old")))
         old, new = rows.filter("_old"), rows.filter("not _old")
         if buckets is None:
-            buckets = max(1, -(-old.count() // BUCKET))
+            counts = rows.groupBy("_old").count().collect()  # two rows
+            buckets = max(1, -(-max((r["count"] for r in counts), default=0) // BUCKET))
         seen = temp.cut(distinct_digests(old, buckets))
         index = temp.cut(build_index(seen))
         found = temp.cut(lookup(index, distinct_digests(new, buckets)))
@@ -202,7 +203,7 @@ def decide(rows: DataFrame, is_history: Column, buckets: int | None = None) -> D
 
 
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Decisions for all ``docs``, whose lower half of ids is the history that fills the index.
+    """Decisions for all ``docs``, whose rows up to about the median id are the history that fills the index.
 
     Missing texts equal empty ones. Repeated rows are copies of each other: one stays. An empty table gives no rows.
     Other columns are not read.
@@ -215,9 +216,8 @@ def _decided(rows: DataFrame, id_column: str, text: str) -> DataFrame:
     slim = rows.select(
         F.col(ROW).alias("row"), column(rows, id_column).cast("bigint").alias("id"), text_digest(column(rows, text)).alias("digest")
     )
-    ends = rows.agg(F.min(id_column), F.max(id_column)).first()
-    middle = 0 if ends[0] is None else (ends[0] + ends[1]) // 2
-    return decide(slim, F.coalesce(F.col("id") <= middle, F.lit(False)))
+    middle = rows.agg(F.percentile_approx(column(rows, id_column).cast("bigint"), 0.5, 1000)).first()[0]
+    return decide(slim, F.lit(False) if middle is None else F.coalesce(F.col("id") <= middle, F.lit(False)))
 
 
 def without_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
