@@ -8,7 +8,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from tradepost.llm import byte_bpe, packing, token_files
-from tradepost.llm.chunks import ChunkEncoder, library_encoder, text_encoder
+from tradepost.llm.chunks import ChunkEncoder, document_encoder, library_encoder, text_encoder
 from tradepost.llm.scratch import Scratch
 
 from .conftest import words
@@ -188,3 +188,42 @@ def test_round_trip_of_documents(odd_docs, odd_rows):
 
 def test_no_rows_no_ids(no_docs):
     assert byte_bpe.decode(byte_bpe.encode(no_docs, MULTI, P.PATTERN), MULTI, P.PATTERN).collect() == []
+
+
+ADDED = [
+    "a <|endoftext|> b", "<|endoftext|>", "<|startoftext|><|endoftext|><|endoftext|>x", "  <|endoftext|>  \n<|startoftext|> y  ", "<|ENDOFTEXT|> <|endoftext", "É<|endoftext|>́x İ",
+]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_as_the_unmodified_library_does(name):
+    whole = Tokenizer.from_file(P.path(name))
+    texts = ODD + ADDED + [words(300, 5), " ".join(ODD + ADDED), "".join(ADDED)]
+    assert document_encoder(P.path(name))(texts) == [packed(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+@pytest.mark.parametrize("flag", ["lstrip", "rstrip", "single_word", "normalized"])
+def test_added_tokens_with_rules_of_their_own(flag, tmp_path):
+    import json
+
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        parts = json.load(file)
+    parts["added_tokens"][-1][flag] = True
+    path = str(tmp_path / "file.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(parts, file)
+    whole = Tokenizer.from_file(path)
+    assert document_encoder(path)(ADDED) == [packed(whole.encode(t, add_special_tokens=False).ids) for t in ADDED]
+
+
+def test_operators_turn_added_tokens_into_ids(make_docs, spark):
+    docs = make_docs(list(enumerate(ADDED)))
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = [packed(whole.encode(t, add_special_tokens=False).ids + [2]) for t in ADDED]
+    got = packing.pack(docs, P.path("byte_bpe_50k.json")).collect()
+    assert {r["id"]: (r["length"], r["ids_crc32"]) for r in got} == {i: (len(w) // 4, zlib.crc32(w)) for i, w in enumerate(want)}
+    whole = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = [packed(whole.encode(t, add_special_tokens=False).ids + [2]) for t in ADDED]
+    files = sorted(token_files.token_files(docs, P.path("word_bpe_49k.json")).collect(), key=lambda r: r["id"])
+    assert [bytes(r["ids"]) for r in files] == want
+    assert [r["start"] for r in files] == [sum(len(w) // 4 for w in want[:i]) for i in range(len(want))]

@@ -136,6 +136,34 @@ def text_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     return lambda texts: [encoding.encode_to_numpy(t, disallowed_special=()).astype(ID).tobytes() for t in texts]
 
 
+@lru_cache(maxsize=4)
+def document_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Encoder with the ids that the library's ``encode`` gives without the special tokens of templates: strings of the file's
+    added tokens become their ids first, the leftmost and longest ones, and the text between is encoded piece by piece.
+
+    Added tokens that take blanks with them, stand for whole words only or are looked for in normalized text go to the library.
+    """
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path).encode
+        return lambda texts: [np.array(whole(t, add_special_tokens=False).ids, ID).tobytes() for t in texts]
+    encode = text_encoder(path)
+    if not added:
+        return encode
+    ids = {t["content"]: struct.pack("<I", t["id"]) for t in added}
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")")
+
+    def run(texts: list[str]) -> list[bytes]:
+        parts = [cut.split(t) if any(c in t for c in ids) else [t] for t in texts]
+        coded = iter(encode([p for some in parts for p in some[::2]]))
+        return [b"".join(ids[p] if i % 2 else next(coded) for i, p in enumerate(some)) for some in parts]
+
+    return run
+
+
 def _ranks(parts: dict) -> dict[bytes, int] | None:
     """Ids by token bytes, if the file has no normalizer and a merge of a lower rank always makes a token of a lower id."""
     model, vocab = parts["model"], parts["model"]["vocab"]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .chunks import ID, text_encoder
+from .chunks import ID, document_encoder
 from .scratch import ROW, Scratch, column, numbered
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -156,7 +156,7 @@ def _cut_up(path: str, end_id: int, capacity: int):
     end = np.array([end_id], ID).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = text_encoder(path), TaskContext.get().partitionId()
+        encode, part = document_encoder(path), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .chunks import ID, library_encoder
+from .chunks import ID, document_encoder
 from .scratch import Scratch, column
 
 MAGIC = b"TPSEG1"
@@ -56,7 +56,7 @@ def _train(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t for b in batches for t in b.column("text").to_pylist()]
         end = np.array([end_id], ID).tobytes()
-        samples = [narrow(ids + end) for ids in library_encoder(path)(texts)]
+        samples = [narrow(ids + end) for ids in document_encoder(path)(texts)]
         total = sum(map(len, samples))
         try:
             size = min(DICTIONARY_BYTES, max(256, total // 8))
@@ -140,7 +140,7 @@ def _write(path: str, end_id: int, dictionary: bytes):
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer = library_encoder(path), SegmentWriter(dictionary)
+        encode, writer = document_encoder(path), SegmentWriter(dictionary)
         part, nth, before = TaskContext.get().partitionId(), 0, 0
 
         def closed() -> pa.RecordBatch:
