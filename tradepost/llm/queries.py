@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_join, exact_dedup, near_join, packing, secret_scan, sharding, token_files, tool_calls, toxicity
+from ..session import configure
+from . import alignment, byte_bpe, embedding_join, exact_dedup, near_join, packing, periodic_runs, secret_scan, sharding, token_files, tool_calls, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(function):
-    QUERIES[function.__name__] = function
-    return function
+    @wraps(function)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return function(configure(spark), folder)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -146,3 +152,49 @@ def op7_embedding_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """``docs`` in which every tenth text, by a checksum of its id, repeats itself from some word on."""
+    check = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    seed = F.floor(check / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        first = seed % n
+        period = 1 + F.floor((n - first) / (3 + seed % 8))
+        place = lambda i: F.when(i < first, i).otherwise(first + (i - first) % period)
+        return F.array_join(F.transform(words, lambda _, i: F.get(words, place(i).cast("int"))), " ")
+
+    # Held in an array of one, the words are found once per text.
+    words = F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    changed = F.transform(words, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(""))[0]
+    return docs.withColumn("text", F.when(check % 10 == 0, changed).otherwise(F.col("text")))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted(table(spark, folder, "documents"))).withColumn("best", periodic_runs.longest())
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    period = -F.col("best.period")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        period.alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    tokens = alignment.tokenizer_pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(alignment.group_text().cast("binary"), 256))
+    return alignment.aligned(table(spark, folder, "documents"), tokens, {"groups_sha256": digest}).withColumnRenamed("id", "doc_id")
