@@ -16,7 +16,7 @@ def test_one_query_per_operator():
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "pages"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     result = con.execute(SQL[name])
     columns = [c[0] for c in result.description]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import alignment, byte_bpe, embedding_join, exact_dedup, near_join, packing, periodic_runs, secret_scan, sharding, token_files, tool_calls, toxicity
+from . import alignment, byte_bpe, embedding_join, exact_dedup, near_join, packing, periodic_runs, secret_scan, sharding, token_files, tool_calls, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -198,3 +198,11 @@ def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     tokens = alignment.tokenizer_pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(alignment.group_text().cast("binary"), 256))
     return alignment.aligned(table(spark, folder, "documents"), tokens, {"groups_sha256": digest}).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.archived(table(spark, folder, "pages"))
+    return records.select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_id").alias("refers_to")
+    )

@@ -119,3 +119,18 @@ from judged left join levels using (conv_id, turn) left join answers using (call
 union all
 select conv_id, turn, call_id, 'orphan', null, null, null, null, null from results where call_id not in (select call_id from calls)
 """
+
+SQL["op13_warc"] = """
+with payloads as (select page_id, coalesce(html, '') as payload from pages),
+digests as (
+  select page_id, payload, sha1(payload) as digest, min(page_id) over (partition by payload) as first_id from payloads
+)
+select page_id, cast(strlen(payload) as bigint) as payload_bytes,
+  list_aggregate(list_transform(range(32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      cast((cast('0x' || substr(digest, cast(k // 8 * 10 + 1 as bigint), 10) as bigint) >> cast(35 - 5 * (k % 8) as bigint)) & 31 as bigint) + 1, 1)
+  ), 'string_agg', '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from digests
+"""
