@@ -89,3 +89,27 @@ def test_one_of_each_keeps_columns(make_docs):
 
 def test_no_rows_no_links(no_docs):
     assert near_join.near_duplicates(no_docs).collect() == []
+
+
+def test_contracted_edges_connect_the_same(spark):
+    rng = random.Random(4)
+    lows = list(range(40))
+    edges = [(a, rng.choice(lows)) for a in range(40, 2000) for _ in range(8)] + [(a, a - 1) for a in range(3001, 3030)]
+    edges += [(a, b) for a in range(1, 40) for b in rng.sample(lows[:a], 1)]
+    few = [tuple(r) for r in near_join.contracted(spark.createDataFrame(edges, "a bigint, b bigint")).collect()]
+
+    def groups(pairs):
+        root = {x: x for e in pairs for x in e}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {x: find(x) for x in root}
+
+    assert groups(few) == groups(edges)
+    assert len(few) < 1.6 * 2000 < len(set(edges)) / 4

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.groups import linked_groups
 from .scratch import ROW, Scratch, column, numbered
@@ -245,6 +246,14 @@ def _verify(settings: Settings):
     return run
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the same nodes as ``edges``: each a keeps only its smallest b, and its other neighbours are tied to
+    that one instead. Nodes of one large group share most of their neighbours, so little more than one edge per node is left."""
+    least = F.min("b").over(Window.partitionBy("a"))
+    tied = edges.select("a", "b", least.alias("least"))
+    return tied.select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", settings: Settings = Settings()
 ) -> DataFrame:
@@ -276,7 +285,7 @@ def _near(rows: DataFrame, settings: Settings) -> DataFrame:
         keys = sketched.select("row", "keys").join(owners, "row").select(F.col("row").alias("node"), F.explode("keys").alias("key"))
         shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
         meets = keys.join(shared, "key").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-        areas = temp.cut(linked_groups(meets).select("node", F.col("group").alias("area")))
+        areas = temp.cut(linked_groups(contracted(meets)).select("node", F.col("group").alias("area")))
         counts = areas.groupBy("area").agg(F.ceil(F.count(F.lit(1)) / settings.block).alias("blocks"))
         dealt = (
             areas.join(counts, "area")
@@ -297,7 +306,7 @@ def _near(rows: DataFrame, settings: Settings) -> DataFrame:
         )
         links = keep.cut(met.groupBy("node").agg(F.sum("links").alias("links")))
         star = met.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
-        classes = keep.cut(linked_groups(star).select("node", F.col("group").alias("class")))
+        classes = keep.cut(linked_groups(contracted(star)).select("node", F.col("group").alias("class")))
         nodes = (
             sets.join(links, "node", "left")
             .join(classes, "node", "left")
