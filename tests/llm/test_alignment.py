@@ -9,7 +9,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from tradepost.llm import alignment
-from tradepost.llm.alignment import align_ends
+from tradepost.llm.alignment import BLANK, align_ends
 from tradepost.llm.queries import QUERIES
 
 from .conftest import words
@@ -41,20 +41,40 @@ def test_ends_equal_brute_force():
         cuts = set(rng.sample(range(1, n + 1), rng.randint(0, n))) | {n}
         a = sorted(cuts | {n} if rng.random() < 0.3 else {c for c in cuts if rng.random() < 0.9} | {n})
         b = sorted({c for c in cuts if rng.random() < 0.9} | set(rng.sample(range(1, n + 1), rng.randint(0, n // 4))) | {n})
-        ends_a, ends_b, links_a, links_b = align_ends(a, b)
-        assert (ends_a, ends_b) == brute_groups(a, b)
+        assert [x.tolist() for x in align_ends(np.array(a), np.array(b))] == list(brute_groups(a, b))
+        links_a, links_b = alignment.overlaps(np.array(a), np.array(b))
         assert list(zip(links_a, links_b)) == sorted(brute_links(a, b))
 
 
 @pytest.mark.parametrize("ahead", [1, 2, 3, 4, 7, 8, 9, 1000])
 def test_one_on_one_stretches_are_jumped_whole(ahead):
     a = list(range(1, ahead + 1))
-    assert alignment._equal_ahead([5, *a, 4000], [9, 9, *a, 5000], 1, 2) == ahead
-    assert alignment._equal_ahead(a, a, 0, 0) == ahead
+    assert alignment.irregular_groups(a, a) == []
+    more = [ahead + 7, ahead + 9]
+    assert alignment.irregular_groups(a + more, a + more[1:]) == [ahead, ahead, ahead + 1, ahead]
+    assert alignment.irregular_groups([2, *(x + 5 for x in a), 4000], [1, 2, *(x + 5 for x in a), 3000, 4000]) == [0, 0, 0, 1, ahead + 1, ahead + 2, ahead + 1, ahead + 3]
 
 
 def test_no_ends():
-    assert align_ends([], []) == ([], [], [], [])
+    assert [x.tolist() for x in align_ends(np.array([], int), np.array([], int))] == [[], []]
+
+
+def test_pieces_have_the_ids_of_whole_texts():
+    rng, texts = random.Random(2), []
+    for _ in range(2000):
+        picks = (rng.choice(["  ", " ", "\n", "\t ", "a", "the", "é", "日", "🙂", "1", "'s", ".", "\x1c", "\x85", "\xa0", "</s>", "<0x20>"]) for _ in range(rng.randint(1, 25)))
+        texts.append("".join(picks))
+    texts += [words(200, i) for i in range(20)] + ODD
+    a, b = BOTH()
+    for remembered in (10**6, 5):
+        encode = alignment.PairEncoder(a, b, remembered)
+        for some in (texts[:700], texts[700:]):
+            for text, (x, y) in zip(some, encode(some)):
+                if BLANK not in text:
+                    assert x.tolist() == WHOLE.encode(" " + text, add_special_tokens=False).ids
+                    assert y.tolist() == MODEL.encode(text, num_threads=1)
+                else:
+                    assert not len(x) and not len(y)
 
 
 ODD = [
@@ -113,7 +133,7 @@ def test_rows_equal_plain_python(make_docs, odd_rows, monkeypatch, chunk):
 
     monkeypatch.setattr(alignment, "CHUNK_LINKS", chunk)
     rows = [r for r in odd_rows if len(r[1] or "") < 20_000] + [(100 + i, t) for i, t in enumerate(ODD)] + [(200 + i, words(30, i % 4)) for i in range(20)]
-    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(alignment.group_text().cast("binary"), 256))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(F.col("written").cast("binary"), 256))
     got = alignment.aligned(make_docs(rows), BOTH, {"groups_sha256": digest})
     assert collected(got) == plain(rows)
 

@@ -196,7 +196,7 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     tokens = alignment.tokenizer_pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
-    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(alignment.group_text().cast("binary"), 256))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(F.col("written").cast("binary"), 256))
     return alignment.aligned(table(spark, folder, "documents"), tokens, {"groups_sha256": digest}).withColumnRenamed("id", "doc_id")
 
 
