@@ -8,7 +8,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from tradepost.llm import byte_bpe, packing, token_files
-from tradepost.llm.chunks import ChunkEncoder, document_encoder, library_encoder, text_encoder
+from tradepost.llm.chunks import ChunkEncoder, document_encoder, library_encoder, text_encoder, word_end_encoder
 from tradepost.llm.scratch import Scratch
 
 from .conftest import words
@@ -227,3 +227,32 @@ def test_operators_turn_added_tokens_into_ids(make_docs, spark):
     files = sorted(token_files.token_files(docs, P.path("word_bpe_49k.json")).collect(), key=lambda r: r["id"])
     assert [bytes(r["ids"]) for r in files] == want
     assert [r["start"] for r in files] == [sum(len(w) // 4 for w in want[:i]) for i in range(len(want))]
+
+
+def test_words_with_end_marks_as_the_unmodified_library_does():
+    import random
+
+    path = P.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    rng, texts = random.Random(9), []
+    pools = [range(32, 0x180), range(0x180, 0x3000), range(0x10000, 0x1FFFF), "abc ABC'sZz \t\n09\u00bd\u00b2_\u0130\u017f\u212b"]
+    for _ in range(3000):
+        picks = (rng.choice(rng.choice(pools)) for _ in range(rng.randint(0, 40)))
+        texts.append("".join(c if isinstance(c, str) else chr(c) for c in picks))
+    texts += ODD + ADDED + ["", "Z", "zZz Z", "'S'll don't"]
+    plain = [t for t in texts if "<|" not in t]
+    assert word_end_encoder(path)(plain) == [packed(whole.encode(t, add_special_tokens=False).ids) for t in plain]
+    assert word_end_encoder(path)(plain, at_once=10) == word_end_encoder(path)(plain)
+    assert word_end_encoder(P.path("byte_bpe_50k.json")) is None
+
+
+def test_a_small_memory_of_words_gives_the_same_ids():
+    from tradepost.llm.chunks import _Words
+
+    def encode(words):
+        return np.frombuffer("".join(words).encode(), np.uint8).astype("<u4"), np.array([len(w) for w in words])
+
+    words_held = _Words(encode, remembered=3)
+    for some in (["ab", "c", "ab"], [], ["c", "defg", "h", "ab"], ["h", "x", "ab", "ab"]):
+        ids, ends = words_held(some)
+        assert bytes(ids.astype(np.uint8)).decode() == "".join(some) and ends.tolist() == np.cumsum([0, *map(len, some)]).tolist()

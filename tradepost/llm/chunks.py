@@ -118,6 +118,148 @@ def library_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(encode)
 
 
+class _Words(dict):
+    """Ids of words seen before, in one array. ``encode`` gives the ids of many words and how many each has. Once more than
+    ``remembered`` words are held, all are forgotten before the next call."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], remembered: int = REMEMBERED // 2):
+        self.encode = encode
+        self.remembered = remembered
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.ids, self.starts, self.sizes = np.empty(0, ID), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and where each word's end, with a leading 0."""
+        if len(self) > self.remembered:
+            self.forget()
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            ids, sizes = self.encode(self.new)
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+            self.new = []
+        sizes = self.sizes[numbers]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self.ids[np.repeat(self.starts[numbers] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
+def _cut_at_ends(ids: np.ndarray, is_end: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return ids[ranks], np.diff(np.flatnonzero(is_end[ranks]), prepend=-1)
+
+
+#: Written after each word for a vocabulary that marks the ends of words; lower-case text does not hold it.
+_END = "Z"
+
+
+@lru_cache(maxsize=4)
+def word_end_encoder(path: str) -> Callable[[list[str]], list[bytes]] | None:
+    """Encoder of whole texts by a file whose tokens mark the ends of words, with the same ids as ``library_encoder``; None for other
+    files and for texts in other than lower case.
+
+    The file's merges are a table of ranks once the mark is a byte of its own that is merged with the byte before it first. The new
+    words of many texts, a mark after each, go through tiktoken in one call, and the tokens that end in a mark say where words end.
+    """
+    import regex
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    model, suffix = parts["model"], parts["model"].get("end_of_word_suffix")
+    made = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    if model["type"] != "BPE" or not suffix or model.get("continuing_subword_prefix") or not _only_lower(parts["normalizer"]):
+        return None
+    if any(_END in piece.removesuffix(suffix) for pair in made for piece in pair):
+        return None
+    alphabet = {c: b for b, c in _AS_CHARACTER.items()}
+
+    def written(token: str) -> bytes:
+        ends = token.endswith(suffix)
+        return bytes(alphabet[c] for c in token.removesuffix(suffix)) + (_END.encode() if ends else b"")
+
+    tokens = list(alphabet) + [c + suffix for c in alphabet if c != _END] + ["".join(pair) for pair in made]
+    ranks = {written(t): rank for rank, t in enumerate(tokens)}
+    if len(ranks) != len(tokens):
+        return None  # a token is made in two ways
+    ids = np.array([model["vocab"][t] for t in tokens], ID)
+    is_end = np.array([t.endswith(suffix) for t in tokens])
+    encoding = tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={})
+    whole = regex.compile(_word_pattern(parts["pre_tokenizer"])).findall
+    # For characters whose lower case is one of them too, the classes of the file's pattern are written out for the faster module.
+    plain = [c for c in map(chr, range(0x180)) if len(c.lower()) == 1 and ord(c.lower()) < 0x180]
+    beyond = re.compile("[^" + "".join(map(re.escape, plain)) + "]").search
+    simple = _simple_words(_word_pattern(parts["pre_tokenizer"]), plain)
+    library = Tokenizer.from_file(path)
+    normalize, cut, newer = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str, _unassigned()
+
+    def words_of(text: str) -> list[str]:
+        if simple and not beyond(text):
+            return simple(text.lower())
+        text = normalize(text)
+        # About characters newer than Python's tables the modules may disagree; the library's own cut decides.
+        return [text[a:b] for _, (a, b) in cut(text)] if newer(text) else whole(text)
+
+    known = _Words(lambda words: _cut_at_ends(ids, is_end, encoding.encode_to_numpy(_END.join(words) + _END, disallowed_special=())))
+
+    def some(texts: list[str]) -> list[bytes]:
+        words = [words_of(t) for t in texts]
+        found, ends = known(list(chain.from_iterable(words)))
+        cuts = 4 * ends[np.concatenate([[0], np.cumsum([len(w) for w in words])])]
+        packed = found.tobytes()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def run(texts: list[str], at_once: int = 500_000) -> list[bytes]:
+        out: list[bytes] = []
+        start = size = 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= at_once:
+                out += some(texts[start : i + 1])
+                start, size = i + 1, 0
+        return out + (some(texts[start:]) if start < len(texts) else [])
+
+    return run
+
+
+@lru_cache(maxsize=1)
+def _unassigned():
+    """Search for a character that Python's tables don't know."""
+    from unicodedata import category
+
+    ranges: list[list[int]] = []
+    for c in range(0x110000):
+        if category(chr(c)) == "Cn":
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]").search
+
+
+def _simple_words(pattern: str, characters: list[str]) -> Callable[[str], list[str]] | None:
+    """``findall`` of a file's word pattern for texts of ``characters`` only."""
+    import regex
+
+    def kind(name: str) -> str:
+        return "".join(re.escape(c) for c in characters if regex.match(name, c))
+
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        pattern = pattern.replace(f"[{name}]", f"[{kind(name)}]").replace(name, kind(name))
+    try:
+        return re.compile(pattern).findall
+    except re.error:
+        return None
+
+
 @lru_cache(maxsize=4)
 def text_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Encoder of whole texts by a byte-level file of the tokenizers library, with the same ids as ``library_encoder``.
@@ -129,7 +271,7 @@ def text_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         parts = json.load(file)
     ranks = _ranks(parts)
     if ranks is None:
-        return library_encoder(path)
+        return word_end_encoder(path) or library_encoder(path)
     import tiktoken
 
     encoding = tiktoken.Encoding("file", pat_str=_word_pattern(parts["pre_tokenizer"]), mergeable_ranks=ranks, special_tokens={})
