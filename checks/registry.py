@@ -85,24 +85,36 @@ def _snapshot(name: str) -> None:
     """A stored summary written and read back."""
 
     def read_back(spark, folder):
-        store = catalog.write_summaries(spark, shop_tables(configure(spark), folder), work_folder(spark, "snapshot"), [name])
-        return store.read(name)
+        t, path = shop_tables(configure(spark), folder), work_folder(spark, "snapshot")
+        catalog.write_summaries(t, path, [name])
+        return catalog.read_summary(t, name, path)
 
     QUERIES[f"mv_snapshot_{name}"] = read_back
 
 
+def _refreshed(name: str) -> None:
+    """A stored summary of earlier tables, brought up to date by what has changed since."""
+
+    def refresh(spark, folder):
+        t, path = shop_tables(configure(spark), folder), work_folder(spark, "refresh")
+        before, changes, moved = ask.earlier(t)
+        catalog.write_summaries(before, path, [name])
+        return catalog.refresh_summary(name, 1, changes, t, path, moved.get(catalog.SUMMARIES[name].moved))
+
+    QUERIES[f"mv_refresh_{name}"] = refresh
+
+
 for _name in catalog.SUMMARIES:
     _snapshot(_name)
+    _refreshed(_name)
 
 
 @registered
 def mv_snapshot(spark, folder):
-    """All summaries written as one version, one of them read back."""
-    store = catalog.write_summaries(spark, shop_tables(spark, folder), work_folder(spark, "snapshot"))
-    return store.read("monthly_report").select(*_MONTHLY)
-
-
-_MONTHLY = ["category_name", "sales_month", "total_products_sold", "total_revenue"]
+    """All summaries written, one of them read back."""
+    t, path = shop_tables(spark, folder), work_folder(spark, "snapshot")
+    catalog.write_summaries(t, path)
+    return catalog.read_summary(t, "monthly_report", path)
 
 
 @registered
@@ -112,10 +124,8 @@ def mv_refresh(spark, folder):
     path = work_folder(spark, "refresh")
     first, second = (F.col("order_date") < F.lit(d).cast("timestamp_ntz") for d in ("1995-01-01", "1998-01-01"))
     for batch, stretch in enumerate([first, ~first & second, ~second]):
-        result = catalog.refresh_summary(
-            spark, "monthly_report", batch, t.replace(order=t["order"].filter(stretch)), t, path
-        )
-    return result.select(*_MONTHLY)
+        result = catalog.refresh_summary("monthly_report", batch, t.replace(order=t["order"].filter(stretch)), t, path)
+    return result
 
 
 # ---- analytic queries
@@ -408,14 +418,12 @@ def order_history(spark, folder):
 def history_sink(spark, folder):
     """The history of three stretches of orders appended to one table and read back."""
     t = shop_tables(spark, folder)
-    sink = jobs.history_log(spark, work_folder(spark, "history"))
+    path = work_folder(spark, "history")
     paid = derive.paid_orders(t["order"])
-    bounds = ask.thirds(spark, folder)
-    for batch, (low, high) in enumerate(bounds):
-        last = sink.rows().agg(F.max("log_id")).first()[0] or 0
+    for batch, (low, high) in enumerate(ask.thirds(spark, folder)):
         some = paid.filter((F.col("order_id") >= low) & (F.col("order_id") < high))
-        sink.put(batch, derive.history_json(derive.order_history(t, some, as_of=ask.AS_OF, last_id=last)))
-    return sink.rows().drop("batch")
+        jobs.add_history(spark, lambda last: derive.order_history(t, some, as_of=ask.AS_OF, last_id=last), path, batch)
+    return jobs.history(spark, path)
 
 
 # ---- data quality

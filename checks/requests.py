@@ -166,6 +166,45 @@ def more_customers(spark: SparkSession, folder: str) -> Tables:
     return t.replace(**{name: t[name].unionByName(rows.select(*t[name].columns)) for name, rows in more.items()})
 
 
+def earlier(t: Tables) -> tuple[Tables, dict[str, DataFrame], dict[str, DataFrame]]:
+    """(tables before a batch of changes, signed changes, keys of products and customers that changed). Before, items of every
+    seventh order were not there, those of every fifth had one unit more, every third order after 1997 had items that were taken back,
+    every eleventh product had another category and price, every sixth review was not there, every seventh had another rating
+    and every fourth customer another name."""
+    items, key = t["order_items"].select("order_id", "product_id", "quantity"), F.col("order_id")
+    gone = items.join(t["order"].filter("order_date >= timestamp_ntz'1997-01-01' and order_id % 3 = 1").select("order_id"), "order_id", "left_semi")
+    gone = gone.withColumn("quantity", F.lit(5))
+    kept = items.filter(key % 7 != 0)
+    old = kept.withColumn("quantity", F.col("quantity") + F.when(key % 5 == 0, 1).otherwise(0)).unionByName(gone)
+    updated = kept.filter(key % 5 == 0)
+    plus, minus = (lambda rows, sign=sign: rows.withColumn("sign", F.lit(sign)) for sign in (1, -1))
+    item_changes = (
+        plus(items.filter(key % 7 == 0))
+        .unionByName(plus(updated))
+        .unionByName(minus(updated.withColumn("quantity", F.col("quantity") + 1)))
+        .unionByName(minus(gone))
+    )
+    review, rid = t["review"], F.col("review_id")
+    rated = review.filter((rid % 7 == 0) & (rid % 6 != 0))
+    other = F.when(rid % 7 == 0, F.when(F.col("rating").isNull(), 3).otherwise(F.col("rating") % 5 + 1)).otherwise(F.col("rating")).cast("int")
+    review_changes = plus(review.filter(rid % 6 == 0)).unionByName(plus(rated)).unionByName(minus(rated.withColumn("rating", other)))
+    pid, cid = F.col("product_id"), F.col("customer_id")
+    categories = t["category"].agg(F.max("category_id")).first()[0]
+    before = t.replace(
+        order_items=old,
+        product=t["product"].withColumns(
+            {
+                "category_id": F.when(pid % 11 == 0, F.col("category_id") % categories + 1).otherwise(F.col("category_id")),
+                "price": F.when(pid % 11 == 0, F.col("price") + 1).otherwise(F.col("price")).cast(t["product"].schema["price"].dataType),
+            }
+        ),
+        review=review.filter(rid % 6 != 0).withColumn("rating", other),
+        customer=t["customer"].withColumn("first_name", F.when(cid % 4 == 0, "Once").otherwise(F.col("first_name"))),
+    )
+    moved = {"product_id": t["product"].filter(pid % 11 == 0).select("product_id"), "customer_id": t["customer"].filter(cid % 4 == 0).select("customer_id")}
+    return before, {"order_items": item_changes, "order": t["order"], "review": review_changes}, moved
+
+
 def thirds(spark: SparkSession, folder: str) -> list[tuple[int, int]]:
     """Bounds of three stretches of order keys."""
     low, high = raw_table(spark, folder, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()

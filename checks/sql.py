@@ -435,6 +435,7 @@ add(
 SQL["mv_snapshot"] = SQL["monthly_report"]
 for _name in ("reviews", "product_summary", "discount_summary", "sales_by_category", "monthly_report"):
     SQL[f"mv_snapshot_{_name}"] = SQL[_name]
+    SQL[f"mv_refresh_{_name}"] = SQL[_name]
 SQL["mv_refresh"] = SQL["monthly_report"]
 
 # ---- lookups ------------------------------------------------------------------------------------
@@ -1006,24 +1007,46 @@ add(
 
 # ---- streams ------------------------------------------------------------------------------------
 SQL["stream_order_totals"] = SQL["order_totals"]
+SQL["stream_order_totals_late_products"] = SQL["order_totals"]
 SQL["stream_favorite_totals"] = SQL["favorite_totals"]
 add("stream_product_ratings", "select product_id, mean as rating from rated", _ratings)
 SQL["stream_stock_gate"] = SQL["allocate_stock"]
 SQL["stream_stock_gate_status"] = SQL["allocate_stock_status"]
-add(
-    "stream_daily_sales_late",
-    """select product_id, order_date as day, cast(sum(quantity) as bigint) as units
-       from sold join (select batch, lag(upto) over (order by batch) as seen from (
-           select distinct batch, max(order_date) over (order by batch) as upto from sold)) using (batch)
-       where order_date < seen - interval 30 days group by product_id, order_date""",
-    """
+_sold = """
     ends as (select min(l_orderkey) as low, max(l_orderkey) as high from lineitem),
     sold as (
         select o_orderdate as order_date, l_partkey as product_id, cast(l_quantity as int) as quantity,
                case when l_orderkey < low + (high - low) // 3 then 0 when l_orderkey < low + (high - low) * 2 // 3 then 1 else 2 end as batch
-        from lineitem join orders on o_orderkey = l_orderkey cross join ends)""",
+        from lineitem join orders on o_orderkey = l_orderkey cross join ends),
+    judged as (
+        select date_trunc('day', order_date) as day, product_id, quantity,
+               coalesce(date_trunc('day', order_date) + interval 1 day <= seen - interval 30 days, false) as late
+        from sold join (select batch, lag(upto) over (order by batch) as seen from (
+            select distinct batch, max(order_date) over (order by batch) as upto from sold)) using (batch))"""
+for _name, _which in (("late", "late"), ("on_time", "not late")):
+    add(
+        f"stream_daily_sales_{_name}",
+        f"select product_id, cast(day as timestamp) as day, cast(sum(quantity) as bigint) as units from judged where {_which} group by product_id, day",
+        _sold,
+    )
+add(
+    "stream_dated_items",
+    """select l_orderkey as order_id, l_partkey as product_id, cast(l_quantity as bigint) as quantity, 1 as sign, o_orderdate as order_date
+       from lineitem join orders on o_orderkey = l_orderkey""",
 )
 SQL["stream_wallet_ledger"] = SQL["wallet_ledger"]
+SQL["stream_wallet_ledger_shared"] = SQL["wallet_ledger_shared"]
+add(
+    "stream_wallet_ledger_status",
+    f"""select payment_id, customer_id, order_id, order_paid, cast(stored / 100.0 as {MONEY}) as stored_amount,
+              cast(wallet_after / 100.0 as {MONEY}) as wallet_after, cast(sums[order_id] / 100.0 as {MONEY}) as paid_sum,
+              case when order_paid then 'PAID' else 'OPEN' end as status
+       from walk
+       union all
+       select payment_id, customer_id, order_id, false, cast(amount as {MONEY}), cast(null as {MONEY}), cast(null as {MONEY}), 'UNKNOWN_ORDER'
+       from shop_payment where order_id % 9 = 0""",
+    _wallet.replace("where o.customer_id = p.customer_id", "where o.customer_id = p.customer_id and o.order_id % 9 <> 0"),
+)
 add(
     "stream_order_address_check",
     """select o_orderkey as order_id, o_custkey as customer_id, o_custkey * 4 + o_orderkey % 4 as address_id,
@@ -1031,4 +1054,5 @@ add(
 )
 SQL["stream_review_notifications"] = SQL["review_notifications"]
 SQL["stream_order_history"] = SQL["order_history"]
+SQL["stream_order_history_once"] = SQL["order_history"]
 SQL["stream_daily_sales"] = SQL["monthly_report"]

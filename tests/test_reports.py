@@ -1,4 +1,5 @@
-from concurrent.futures import ThreadPoolExecutor
+import glob
+import os
 from decimal import Decimal
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from seed import frame, seed_tables
 from tradepost.operators import derive, lookups, reviews, sales
 from tradepost.plans import catalog
-from tradepost.plans.store import BatchLog, Folder, SnapshotStore
+from tradepost.functions.batches import newest, put_batch, stored
 from tradepost.sources import TABLES, load
 
 D = Decimal
@@ -120,47 +121,73 @@ def test_products_read_in_both_ways_agree(shop, limits):
     assert everything() == small
 
 
-def test_snapshot_versions(spark, shop, folder):
-    store = catalog.write_summaries(spark, shop, folder)
-    assert list(store.versions()) == [1]
-    assert store.read("monthly_report").count() == 6
-    store.write({"reviews": reviews.customer_reviews(shop)})
-    assert list(store.versions()) == [1, 2]
-    assert store.read("monthly_report").count() == 6
-    # A version that was not finished has no marker and is not seen.
-    reviews.customer_reviews(shop).limit(1).write.parquet(f"{folder}/unfinished/reviews")
-    assert SnapshotStore(spark, folder).read("reviews").count() == 25
-
-
-def test_two_writers_of_one_store(spark, folder):
-    one, two = SnapshotStore(spark, folder), SnapshotStore(spark, folder)
-    few, many = (spark.range(n).withColumn("p", F.col("id") % 2) for n in (10, 99))
-    with ThreadPoolExecutor(2) as pool:
-        numbers = list(pool.map(lambda x: x[0].write({"t": x[1]}, {"t": ["p"]}), [(one, few), (two, many)]))
-    assert sorted(numbers) == [1, 2]
-    assert sorted(one.read("t", v).count() for v in numbers) == [10, 99]
-
-
-def test_empty_partitioned_version(spark, folder):
-    store = SnapshotStore(spark, folder)
-    store.write({"t": spark.range(0).withColumn("p", F.lit(1))}, {"t": ["p"]})
-    assert store.read("t").columns == ["id", "p"] and store.read("t").count() == 0
-
-
-def test_interrupted_merge_loses_nothing(spark, folder, monkeypatch):
-    log = BatchLog(spark, folder, frame(spark, [], "k bigint, v bigint").schema)
-    for batch in range(4):
-        log.put(batch, frame(spark, [(batch, batch), (9, 1)], "k bigint, v bigint"))
-    whole = {r.k: r.v for r in log.summed("k").collect()}
-    for step in ("claim", "remove"):
-        with monkeypatch.context() as m:
-            m.setattr(Folder, step, lambda self, name: (_ for _ in ()).throw(RuntimeError("lost")))
-            with pytest.raises(RuntimeError):
-                log.compact("k", before=3, added=True)
-        assert {r.k: r.v for r in log.summed("k").collect()} == whole
-    log.compact("k", before=4, added=True)
-    assert {r.k: r.v for r in log.summed("k").collect()} == whole
-    assert Folder(spark, folder).names("_merges") and not [n for n in Folder(spark, folder).names() if n.startswith("batch=")]
+def files(path):
+    return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/**/*.parquet", recursive=True)}
+
+
+def by_months(shop):
+    return shop.replace(order=shop["order"].withColumn("order_date", F.expr("order_date + make_ym_interval(0, cast(order_id as int))")))
+
+
+def told(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_only_touched_months_are_written(spark, shop, folder):
+    t = by_months(shop)
+    old = t.replace(order_items=t["order_items"].filter("order_id <> 4"))
+    catalog.write_summaries(old, folder, ["monthly_report"])
+    before = files(f"{folder}/monthly_report")
+    added = t["order_items"].filter("order_id = 4")
+    got = catalog.refresh_summary("monthly_report", 1, {"order_items": added, "order": t["order"]}, t, folder)
+    assert told(got) == told(sales.monthly_report(t))
+    after = files(f"{folder}/monthly_report")
+    kept = {f for f in before if "part=2025-03" not in f}
+    assert len(kept) >= 5 and all(after.get(f) == before[f] for f in kept) and any("part=2025-03" in f for f in after)
+
+
+def test_a_month_without_items_goes(spark, shop, folder):
+    t = by_months(shop)
+    catalog.write_summaries(t, folder, ["monthly_report"])
+    gone = t["order_items"].filter("order_id = 5").withColumn("sign", F.lit(-1))
+    left = t.replace(order_items=t["order_items"].filter("order_id <> 5"))
+    for _ in range(2):  # a repeated batch changes nothing
+        got = catalog.refresh_summary("monthly_report", 1, {"order_items": gone, "order": t["order"]}, left, folder)
+        assert told(got) == told(sales.monthly_report(left)) and got.count() < sales.monthly_report(t).count()
+
+
+@pytest.mark.parametrize("name", ["monthly_report", "sales_by_category", "product_summary"])
+def test_a_moved_product(spark, shop, folder, name):
+    t = by_months(shop)
+    catalog.write_summaries(t, folder, [name])
+    change = F.col("product_id") == 3
+    moved = t.replace(product=t["product"].withColumns({"category_id": F.when(change, 10).otherwise(F.col("category_id")).cast("bigint"), "name": F.when(change, "New").otherwise(F.col("name"))}))
+    none = {"order_items": t["order_items"].limit(0), "order": t["order"]}
+    got = catalog.refresh_summary(name, 1, none, moved, folder, spark.createDataFrame([(3,)], "product_id bigint"))
+    assert told(got) == told(catalog.SUMMARIES[name].build(moved).select(got.columns)) != told(catalog.SUMMARIES[name].build(t).select(got.columns))
+
+
+def test_deleted_and_rated_anew_reviews_and_a_new_customer(spark, shop, folder):
+    catalog.write_summaries(shop, folder, ["reviews"])
+    review = shop["review"]
+    gone, changed = review.filter("review_id = 5"), review.filter("review_id = 6")
+    changes = gone.withColumn("sign", F.lit(-1)).unionByName(changed.withColumn("sign", F.lit(-1)))
+    changes = changes.unionByName(changed.withColumn("rating", F.lit(1)).withColumn("sign", F.lit(1)))
+    person = shop["customer"].limit(1).withColumn("customer_id", F.lit(777).cast("bigint"))
+    now = shop.replace(
+        review=review.filter("review_id <> 5").withColumn("rating", F.when(F.col("review_id") == 6, 1).otherwise(F.col("rating"))),
+        customer=shop["customer"].unionByName(person),
+    )
+    got = catalog.refresh_summary("reviews", 1, {"review": changes}, now, folder, person.select("customer_id"))
+    assert told(got) == told(reviews.customer_reviews(now))
+
+
+def test_empty_tables_give_empty_summaries(spark, shop, folder):
+    none = shop.replace(**{n: shop[n].limit(0) for n in ("order_items", "review", "product", "customer", "discount_code")})
+    catalog.write_summaries(none, folder)
+    for name in catalog.SUMMARIES:
+        got = catalog.read_summary(none, name, folder)
+        assert got.isEmpty() and got.columns == catalog.SUMMARIES[name].build(none).columns
 
 
 @pytest.mark.parametrize("name", list(catalog.SUMMARIES))
@@ -171,21 +198,19 @@ def test_refresh_in_batches_equals_one_build(spark, shop, folder, name):
         for c, r in ((odd, F.col("review_id") < 4), (~odd, F.col("review_id") >= 4))
     ]
     for batch, new in [(0, parts[0]), (1, parts[1]), (1, parts[1])]:
-        result = catalog.refresh_summary(spark, name, batch, new, shop, folder)
+        result = catalog.refresh_summary(name, batch, new, shop, folder)
     expected = catalog.SUMMARIES[name].build(shop)
     assert sorted(map(str, result.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
 
 
-def test_batch_log(spark, folder):
-    log = BatchLog(spark, folder, frame(spark, [], "k bigint, v bigint").schema)
-    assert log.latest("k").count() == 0
-    for batch, rows in [(0, [(1, 10), (2, 20)]), (1, [(1, 11)]), (2, [(2, 99)]), (2, [(2, 22)])]:
-        log.put(batch, frame(spark, rows, "k bigint, v bigint"))
-    assert {r.k: r.v for r in log.latest("k").collect()} == {1: 11, 2: 22}
-    assert {r.k: r.v for r in log.latest("k", before=2).collect()} == {1: 11, 2: 20}
-    assert {r.k: r.v for r in log.summed("k").collect()} == {1: 21, 2: 42}
-    log.compact("k", before=2)
-    assert {(r.batch, r.k, r.v) for r in log.rows().collect()} == {(1, 1, 11), (1, 2, 20), (2, 2, 22)}
+def test_batches(spark, folder):
+    columns = "k bigint, v bigint"
+    assert stored(spark, f"{folder}/t", columns).count() == 0
+    for batch, some in [(0, [(1, 10), (2, 20)]), (1, [(1, 11)]), (2, [(2, 99)]), (2, [(2, 22)])]:
+        put_batch(frame(spark, some, columns), f"{folder}/t", batch)
+    kept = stored(spark, f"{folder}/t", columns)
+    assert {r.k: r.v for r in newest(kept, "k").collect()} == {1: 11, 2: 22}
+    assert {r.k: r.v for r in newest(kept.filter("batch < 2"), "k").collect()} == {1: 11, 2: 20}
 
 
 def test_load_reads_the_declared_schema(spark, shop, folder):

@@ -9,28 +9,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.batches import newest, put_batch, stored
 from ..functions.columns import mean
 from ..functions.durable import cut
 from ..functions.joins import reduced
 from ..operators.derive import check_order_addresses, history_json, notice_columns, order_history
 from ..operators.sales import monthly_report_from_units
-from ..operators.stock import allocate_stock
-from ..operators.wallet import wallet_ledger
-from ..plans.store import BatchLog
-from ..sources.schema import COUNT, ID, MONEY_SUM, RATE, TABLES, TIME
-from .runner import append_to, start
+from ..sources.schema import MONEY_SUM, RATE, TABLES
+from .runner import append_to, file_stream, start
+from .stateful import NONE, LateSplit, Settlement, StockGate, in_order, missing, number
 
 Frames = Mapping[str, DataFrame]
 Now = Callable[[], Frames]
 
-
-def _schema(**columns: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+_SUM = MONEY_SUM.simpleString()
 
 
 def _signed(changes: DataFrame) -> DataFrame:
@@ -40,31 +36,33 @@ def _signed(changes: DataFrame) -> DataFrame:
 # ---- totals -------------------------------------------------------------------------------------
 
 
-def totals_log(spark, path: str, key: str) -> BatchLog:
-    return BatchLog(spark, path, _schema(**{key: ID, "total_price": MONEY_SUM}))
-
-
 def stream_totals(items: DataFrame, tables: Now, key: str, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the total of each order (``key`` order_id) or favorite list (favorite_id) up to date. Each batch adds what its
-    items are worth at the prices of its time; a total is the sum over batches."""
-    log = totals_log(items.sparkSession, path, key)
+    items are worth at the prices of its time; a total is the sum over batches. Units of a product that has no price yet are
+    kept open and count at its price once it has one."""
 
     def on_batch(rows: DataFrame, batch: int) -> None:
-        log.tidy(batch, key, added=True)
         units = _signed(rows).groupBy(key, "product_id").agg(F.sum(F.col("sign") * F.col("quantity")).alias("units"))
         units = cut(units)
         prices = reduced(tables()["product"].select("product_id", "price"), units, "product_id")
-        worth = F.sum(F.col("units") * F.col("price")).cast(MONEY_SUM).alias("total_price")
-        log.put(batch, units.join(prices, "product_id").groupBy(key).agg(worth))
+        priced = units.join(prices, "product_id", "left")
+        # What has a price is added up at once; the open units stay apart by product.
+        product = F.when(F.col("price").isNull(), F.col("product_id")).alias("open_product")
+        open_units = F.sum(F.when(F.col("price").isNull(), F.col("units"))).cast("bigint").alias("open_units")
+        worth = F.sum(F.col("units") * F.col("price")).cast(MONEY_SUM).alias("worth")
+        put_batch(priced.groupBy(key, product).agg(worth, open_units), path, batch)
 
     return start(items, on_batch, checkpoint)
 
 
-def with_totals(owners: DataFrame, log: BatchLog, key: str) -> DataFrame:
-    """``owners`` (orders or lists) with the newest totals; one without any keeps its own."""
-    newest = log.summed(key).withColumnRenamed("total_price", "_total")
+def with_totals(owners: DataFrame, product: DataFrame, path: str, key: str) -> DataFrame:
+    """``owners`` (orders or lists) with the totals that the stream has written to ``path``; one without any keeps its own."""
+    rows = stored(owners.sparkSession, path, f"{key} bigint, open_product bigint, worth {_SUM}, open_units bigint")
+    late = reduced(product.select(F.col("product_id").alias("open_product"), "price"), rows.filter("open_product is not null"), "open_product")
+    worth = F.coalesce("worth", F.col("open_units") * F.col("price"))
+    totals = rows.join(late, "open_product", "left").groupBy(key).agg(F.sum(worth).cast(MONEY_SUM).alias("_total"))
     return (
-        owners.join(newest, key, "left")
+        owners.join(totals, key, "left")
         .withColumn("total_price", F.coalesce("_total", "total_price").cast(MONEY_SUM))
         .drop("_total")
     )
@@ -73,125 +71,105 @@ def with_totals(owners: DataFrame, log: BatchLog, key: str) -> DataFrame:
 # ---- ratings ------------------------------------------------------------------------------------
 
 
-def ratings_log(spark, path: str) -> BatchLog:
-    return BatchLog(spark, path, _schema(product_id=ID, rating=RATE))
-
-
 def stream_product_ratings(reviews: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the mean rating of each reviewed product, NULL while none of its reviews is rated."""
-    signed = _signed(reviews)
-    parts = signed.groupBy("product_id").agg(
+    parts = _signed(reviews).groupBy("product_id").agg(
         F.coalesce(F.sum(F.col("sign") * F.col("rating")), F.lit(0)).alias("_sum"),
         F.sum(F.when(F.col("rating").isNotNull(), F.col("sign")).otherwise(0)).alias("_n"),
     )
     means = parts.select("product_id", mean("_sum", "_n").cast(RATE).alias("rating"))
-    log = ratings_log(reviews.sparkSession, path)
+    return start(means, lambda rows, batch: put_batch(rows, path, batch), checkpoint, "update")
 
-    def on_batch(rows: DataFrame, batch: int) -> None:
-        log.tidy(batch, "product_id")
-        log.put(batch, rows)
 
-    return start(means, on_batch, checkpoint, "update")
+def ratings(spark: SparkSession, path: str) -> DataFrame:
+    return newest(stored(spark, path, f"product_id bigint, rating {RATE.simpleString()}"), "product_id")
 
 
 # ---- stock --------------------------------------------------------------------------------------
 
 
-def gate_log(spark, path: str) -> BatchLog:
-    return BatchLog(
-        spark, f"{path}/requests", _schema(seq=ID, product_id=ID, quantity=COUNT, accepted=T.BooleanType(), status=T.StringType())
+def stock_events(requests: DataFrame, product: DataFrame, time: str, opened) -> DataFrame:
+    """Events for ``stream_stock_gate`` from requests (seq, product_id, quantity and ``time``) and products, whose stock is
+    known from the time ``opened`` on."""
+    asked = requests.select(
+        number("product_id"), F.lit("row").alias("kind"), F.col(time).cast("timestamp").alias("at"), F.col("seq").cast("bigint").alias("id"), number("quantity")
     )
+    stock = product.select(
+        number("product_id"), F.lit("stock").alias("kind"), opened.cast("timestamp").alias("at"), F.lit(0).cast("bigint").alias("id"), number("stock_count").alias("quantity")
+    )
+    return asked.unionByName(stock)
 
 
-def stock_log(spark, path: str) -> BatchLog:
-    return BatchLog(spark, f"{path}/stock", _schema(product_id=ID, stock_count=ID))
-
-
-def stream_stock_gate(
-    requests: DataFrame,
-    tables: Now,
-    path: str,
-    checkpoint: str,
-    prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows,
-) -> StreamingQuery:
-    """Accept or skip requests (seq, product_id, quantity) against the stock that earlier batches left.
-
-    A batch goes through the same allocation as a batch job, which does not hold a product's queue
-    in one task. Only products it touched are written back. ``prepare`` reshapes a batch first.
-    """
-    spark = requests.sparkSession
-    gate, left = gate_log(spark, path), stock_log(spark, path)
+def clock_event(like: DataFrame, key: str, at) -> DataFrame:
+    """One event of no key that only moves the watermark to ``at``; it closes a stream whose last rows still wait."""
+    values = {key: F.lit(NONE), "kind": F.lit("clock"), "at": at.cast("timestamp")}
+    one = like.sparkSession.range(1)
+    return one.select(*(values.get(n, F.lit(0)).cast(t).alias(n) for n, t in like.dtypes))
 
-    def on_batch(rows: DataFrame, batch: int) -> None:
-        left.tidy(batch, "product_id")
-        asked = cut(prepare(rows).select("seq", "product_id", "quantity"))
-        # Only the products of this batch are looked up, in the product table and in the state.
-        opening = reduced(tables()["product"], asked, "product_id").select(
-            "product_id", F.col("stock_count").cast("bigint").alias("_opening")
-        )
-        known = reduced(left.rows(before=batch), asked, "product_id")
-        stock = cut(
-            opening.join(left.newest(known, "product_id"), "product_id", "left").select(
-                "product_id", F.coalesce("stock_count", "_opening").alias("stock_count")
-            )
-        )
-        judged = cut(allocate_stock(asked, stock))
-        taken = judged.filter("accepted").groupBy("product_id").agg(F.sum("quantity").alias("_taken"))
-        gate.put(batch, judged)
-        left.put(
-            batch,
-            stock.join(taken, "product_id").withColumn("stock_count", F.col("stock_count") - F.col("_taken")),
-        )
 
-    return start(requests, on_batch, checkpoint)
+def stream_stock_gate(events: DataFrame, path: str, checkpoint: str, delay: str) -> StreamingQuery:
+    """Accept or skip the requests of each product in the order of (time, id) against the stock that earlier ones left, see
+    ``stock_events``. Requests may come in any order within ``delay``; a request waits until the watermark has passed its time.
+    Appends product_id, seq, quantity, accepted, status, stock_left and late to a parquet table; every request gets a row."""
+    judged = in_order(events, "product_id", "at", delay, StockGate())
+    rows = judged.select(missing("product_id"), "seq", missing("quantity").cast("int").alias("quantity"), "accepted", "status", missing("stock_left"), "late")
+    return append_to(rows, path, checkpoint)
 
 
 # ---- wallets ------------------------------------------------------------------------------------
 
-LEDGER = _schema(
-    payment_id=ID,
-    payment_date=TIME,
-    customer_id=ID,
-    order_id=ID,
-    order_paid=T.BooleanType(),
-    stored_amount=MONEY_SUM,
-    paid_sum=MONEY_SUM,
-    wallet_after=MONEY_SUM,
-)
-
 
-def ledger_log(spark, path: str) -> BatchLog:
-    return BatchLog(spark, f"{path}/ledger", LEDGER)
+def wallet_events(payments: DataFrame, orders: DataFrame, customers: DataFrame, opened, accounts: DataFrame | None = None) -> DataFrame:
+    """Events for ``stream_wallet_ledger``: payments at their date, orders at theirs, and wallets as they are at ``opened``.
 
+    Payments of one account are taken in order. An account is a customer, or a group of customers who pay for orders of each other:
+    ``accounts`` (customer_id, account) names the account of those."""
 
-def stream_wallet_ledger(payments: DataFrame, tables: Now, path: str, checkpoint: str) -> StreamingQuery:
-    """Settle payments with wallets. Wallets and paid sums that a batch ends with are written per customer
-    and per order and are where the next batch starts."""
-    spark = payments.sparkSession
-    ledger = ledger_log(spark, path)
-    wallets = BatchLog(spark, f"{path}/wallets", _schema(customer_id=ID, wallet=MONEY_SUM))
-    sums = BatchLog(spark, f"{path}/sums", _schema(order_id=ID, paid=MONEY_SUM))
+    def cents(name: str):
+        return F.coalesce((F.col(name) * 100).cast("bigint"), F.lit(NONE)).alias("cents")
 
-    def on_batch(rows: DataFrame, batch: int) -> None:
-        wallets.tidy(batch, "customer_id")
-        sums.tidy(batch, "order_id")
-        now, rows = tables(), cut(rows)
-        # Only the customers and orders of this batch are looked up, in the tables and in the state.
-        held = wallets.newest(reduced(wallets.rows(before=batch), rows, "customer_id"), "customer_id")
-        opening = (
-            reduced(now["customer"], rows, "customer_id")
-            .join(held, "customer_id", "left")
-            .select("customer_id", F.coalesce("wallet", "wallet_balance").alias("wallet_balance"))
+    def events(rows: DataFrame, kind: str, at, ident, order, amount) -> DataFrame:
+        return rows.select(
+            number("customer_id"), F.lit(kind).alias("kind"), at.cast("timestamp").alias("at"), ident.cast("bigint").alias("id"), order.alias("order_id"), amount
         )
-        orders = reduced(now["order"], rows, "order_id")
-        before = sums.newest(reduced(sums.rows(before=batch), rows, "order_id"), "order_id")
-        settled = cut(wallet_ledger({"payment": rows, "order": orders, "customer": opening}, paid_before=before))
-        last = F.struct("payment_date", "payment_id")
-        wallets.put(batch, settled.groupBy("customer_id").agg(F.max_by("wallet_after", last).alias("wallet")))
-        sums.put(batch, settled.groupBy("order_id").agg(F.max_by("paid_sum", last).alias("paid")))
-        ledger.put(batch, settled)
 
-    return start(payments, on_batch, checkpoint)
+    nothing = F.lit(NONE)
+    every = (
+        events(payments, "row", F.col("payment_date"), F.col("payment_id"), number("order_id"), cents("amount"))
+        .unionByName(events(orders, "order", F.col("order_date"), nothing, number("order_id"), cents("total_price")))
+        .unionByName(events(customers, "wallet", opened, nothing, nothing, F.coalesce((F.col("wallet_balance") * 100).cast("bigint"), F.lit(0)).alias("cents")))
+    )
+    if accounts is None:
+        return every.withColumn("account", F.col("customer_id"))
+    return every.join(accounts, "customer_id", "left").withColumn("account", F.coalesce("account", "customer_id"))
+
+
+def stream_wallet_ledger(events: DataFrame, path: str, checkpoint: str, delay: str, keep: str = "365 days") -> StreamingQuery:
+    """Settle payments with wallets in the order of (date, id), see ``wallet_events``.
+
+    Events may come in any order within ``delay``: a payment waits until the watermark has passed its date, so an order that comes
+    after its payments is known in time. Wallets, orders and their paid sums are entries of the state store; a paid order leaves it
+    when nothing was paid for it during ``keep``. Appends a row for every payment to a parquet table; one whose order or customer is not
+    known by then settles nothing and says so in its status, as does a payment of an order that has left."""
+    keep_ms = int(events.sparkSession.sql(f"select cast(unix_millis(timestamp'1970-01-01' + interval {keep}) - unix_millis(timestamp'1970-01-01') as bigint)").first()[0])
+    settled = in_order(events, "account", "at", delay, Settlement(keep_ms))
+
+    def money(name: str, alias: str):
+        return F.when(F.col(name) != NONE, (F.col(name).cast("decimal(20,0)") / 100).cast(MONEY_SUM)).alias(alias)
+
+    rows = settled.select(
+        "payment_id",
+        F.timestamp_millis("at_ms").cast("timestamp_ntz").alias("payment_date"),
+        missing("customer_id"),
+        missing("order_id"),
+        "order_paid",
+        money("stored", "stored_amount"),
+        money("paid", "paid_sum"),
+        money("wallet", "wallet_after"),
+        "status",
+        "late",
+    )
+    return append_to(rows, path, checkpoint)
 
 
 # ---- checks, notices and history ----------------------------------------------------------------
@@ -201,8 +179,7 @@ def stream_order_address_check(orders: DataFrame, tables: Now, path: str, checkp
     """Append every new order with ``accepted``: does the address belong to the customer?"""
 
     def on_batch(rows: DataFrame, batch: int) -> None:
-        checked = check_order_addresses(rows, tables()["address"])
-        checked.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        put_batch(check_order_addresses(rows, tables()["address"]), path, batch)
 
     return start(orders, on_batch, checkpoint)
 
@@ -213,82 +190,108 @@ def stream_review_notifications(reviews: DataFrame, path: str, checkpoint: str)
     return append_to(notices, path, checkpoint)
 
 
-def history_log(spark, path: str) -> BatchLog:
-    columns = {f.name: T.StringType() if f.name == "order_details" else f.dataType for f in TABLES["order_history_log"].schema.fields}
-    return BatchLog(spark, f"{path}/log", _schema(**columns))
+_LOG = ", ".join(
+    f"{f.name} {'string' if f.name == 'order_details' else f.dataType.simpleString()}" for f in TABLES["order_history_log"].schema.fields
+)
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the order history table written below ``path``."""
+    return stored(spark, f"{path}/log", _LOG).drop("batch")
+
+
+def add_history(spark: SparkSession, rows_of: Callable[[int], DataFrame], path: str, batch: int) -> None:
+    """Append ``rows_of`` (last id) as one batch. How many rows a batch has is kept beside the log, which is not read."""
+    counts = stored(spark, f"{path}/counts", "n bigint")
+    last = counts.filter(F.col("batch") < batch).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    put_batch(history_json(rows_of(last)), f"{path}/log", batch)
+    put_batch(stored(spark, f"{path}/log", _LOG).filter(F.col("batch") == batch).agg(F.count(F.lit(1)).alias("n")), f"{path}/counts", batch)
 
 
 def stream_order_history(
-    paid: DataFrame, tables: Now, path: str, checkpoint: str, dedupe: bool = False, as_of: str | None = None
+    paid: DataFrame, tables: Now, path: str, checkpoint: str, dedupe_within: str | None = None, as_of: str | None = None
 ) -> StreamingQuery:
     """Append a row of the order history table for each paid transition (order_id), its document as JSON. Ids go on
-    after those of earlier batches. With ``dedupe`` an order is logged once over all batches."""
-    log = history_log(paid.sparkSession, path)
+    after those of earlier batches. With ``dedupe_within`` (such as "7 days") transitions have a time ``paid_at``, and an order that is
+    set to paid again within that time of the first is not logged again; Spark's state store keeps the orders of that time only."""
+    spark = paid.sparkSession
+    if dedupe_within:
+        paid = paid.withWatermark("paid_at", dedupe_within).dropDuplicatesWithinWatermark(["order_id"])
 
     def on_batch(rows: DataFrame, batch: int) -> None:
-        events = rows.select("order_id")
-        if dedupe:
-            events = cut(events.distinct())
-            events = events.join(reduced(log.rows(before=batch), events, "order_id").select("order_id"), "order_id", "left_anti")
-        events = cut(events)
+        events = cut(rows.select("order_id"))
         now = tables()
         few = {name: reduced(now[name], events, "order_id") for name in ("order", "order_items")}
-        last = log.rows(before=batch).agg(F.max("log_id")).first()[0] or 0
-        new = order_history({**few, "product": now["product"]}, paid=events, as_of=as_of, last_id=last)
-        log.put(batch, history_json(new))
+        add_history(
+            spark, lambda last: order_history({**few, "product": now["product"]}, paid=events, as_of=as_of, last_id=last), path, batch
+        )
 
     return start(paid, on_batch, checkpoint)
 
 
 # ---- sales --------------------------------------------------------------------------------------
 
+_SPREAD = 64
+_SOLD = "order_id bigint, product_id bigint, quantity bigint, sign int, order_date timestamp"
+
 
-def daily_log(spark, path: str) -> BatchLog:
-    return BatchLog(spark, f"{path}/days", _schema(product_id=ID, day=TIME, units=ID))
+def dated_items(items: DataFrame, orders: DataFrame, delay: str) -> DataFrame:
+    """A stream of items with the dates of their orders, whichever of the two comes first: items (order_id, product_id, quantity,
+    sign, ``known_at``) and orders (order_id, order_date, ``known_at``) wait for each other for ``delay`` after they became known."""
+    a = _signed(items).withColumnRenamed("known_at", "_item_at").withWatermark("_item_at", delay)
+    b = orders.select(F.col("order_id").alias("_order"), "order_date", F.col("known_at").alias("_order_at")).withWatermark("_order_at", delay)
+    near = F.expr(f"_order_at between _item_at - interval {delay} and _item_at + interval {delay}")
+    joined = a.join(b, (F.col("order_id") == F.col("_order")) & near)
+    return joined.select(
+        "order_id", "product_id", F.col("quantity").cast("bigint").alias("quantity"), F.col("sign").cast("int").alias("sign"), F.col("order_date").cast("timestamp").alias("order_date")
+    )
 
 
-def late_log(spark, path: str) -> BatchLog:
-    return BatchLog(spark, f"{path}/late", _schema(product_id=ID, day=TIME, units=ID))
+def split_late(sold: DataFrame, path: str, checkpoint: str, delay: str) -> StreamingQuery:
+    """Append sold items (order_id, product_id, quantity, sign, order_date) to ``path``/late=false or, once the watermark has passed the day
+    of their order, to ``path``/late=true."""
+    columns = ["order_id", "product_id", "quantity", "sign", "sold_ms"]
+    day_end = F.unix_millis(F.date_trunc("day", "order_date")) + 86_400_000
+    timed = sold.withWatermark("order_date", delay)
+    plain = timed.select(
+        number("order_id"), number("product_id"), number("quantity"), F.col("sign").cast("int").alias("sign"),
+        F.unix_millis("order_date").alias("sold_ms"), day_end.alias("day_end_ms"), F.pmod(F.hash("order_id"), F.lit(_SPREAD)).alias("bucket"),
+    )
+    kinds = "order_id bigint, product_id bigint, quantity bigint, sign int, sold_ms bigint, late boolean"
+    marked = plain.groupBy("bucket").transformWithStateInPandas(LateSplit(columns), kinds, "append", "eventTime")
+    rows = marked.select(
+        missing("order_id"), missing("product_id"), missing("quantity"), "sign", F.timestamp_millis("sold_ms").alias("order_date"), "late"
+    )
+    writer = rows.writeStream.format("parquet").partitionBy("late").outputMode("append").option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start(path)
 
 
-def stream_daily_sales(
-    items: DataFrame, tables: Now, path: str, checkpoint: str, late_after: str | None = None
-) -> StreamingQuery:
-    """Units per product and day of the order; each batch adds its own, and a day's units are the sum over batches.
+def stream_daily_sales(sold: DataFrame, path: str, checkpoint: str, delay: str) -> StreamingQuery:
+    """Units per product and day of the order, kept in windows of Spark's own state until the watermark, ``delay`` behind the newest
+    order, has passed the day.
 
-    Without ``late_after`` no item is too late. With it (such as "30 days"), units for days that lie further than
-    that behind the newest day of earlier batches go to ``late_log`` instead, where they can be counted or added later.
-    """
-    spark = items.sparkSession
-    days, late = daily_log(spark, path), late_log(spark, path)
+    Items that come later than that are set apart first (``late_units``), so that the windows drop none. The windows read all that a batch
+    of that step wrote in one batch, and so never see a newer watermark than it did."""
+    split = split_late(sold, f"{path}/items", f"{checkpoint}/items", delay)
+    split.awaitTermination()
+    on_time = file_stream(sold.sparkSession, f"{path}/items", f"{_SOLD}, late boolean", files_per_batch=None).filter("not late")
+    windows = on_time.withWatermark("order_date", delay).groupBy("product_id", F.window("order_date", "1 day").alias("day"))
+    units = windows.agg(F.sum(F.col("sign") * F.col("quantity")).alias("units"))
+    rows = units.select("product_id", F.col("day.start").cast("timestamp_ntz").alias("day"), "units")
+    return start(rows, lambda changed, batch: put_batch(changed, f"{path}/days", batch), f"{checkpoint}/days", "update")
 
-    def on_batch(rows: DataFrame, batch: int) -> None:
-        days.tidy(batch, "product_id", "day", added=True)
-        rows = cut(_signed(rows))
-        orders = reduced(tables()["order"].select("order_id", "order_date"), rows, "order_id")
-        day = F.date_trunc("day", "order_date").cast("timestamp_ntz").alias("day")
-        units = cut(
-            rows.join(orders, "order_id")
-            .groupBy("product_id", day)
-            .agg(F.sum(F.col("sign") * F.col("quantity")).cast("bigint").alias("units"))
-        )
-        too_late = F.lit(False)
-        if late_after:
-            seen = days.rows(before=batch).agg(F.max("day")).first()[0]
-            if seen is not None:
-                too_late = F.col("day") < F.lit(seen).cast("timestamp_ntz") - F.expr(f"interval {late_after}")
-        days.put(batch, units.filter(~too_late))
-        late.put(batch, units.filter(too_late))
 
-    return start(items, on_batch, checkpoint)
+def daily_units(spark: SparkSession, path: str) -> DataFrame:
+    return newest(stored(spark, f"{path}/days", "product_id bigint, day timestamp_ntz, units bigint"), "product_id", "day")
 
 
-def monthly_report_from_days(log: BatchLog, tables: Frames) -> DataFrame:
-    months = (
-        log.rows()
-        .groupBy("product_id", F.date_trunc("month", "day").cast("timestamp_ntz").alias("sales_month"))
-        .agg(F.sum("units").alias("units"))
-    )
-    return monthly_report_from_units(months, tables["product"], tables["category"])
+def late_units(spark: SparkSession, path: str) -> DataFrame:
+    """Units per product and day of items that came too late."""
+    rows = spark.read.schema(f"{_SOLD}, late boolean").parquet(f"{path}/items").filter("late")
+    day = F.date_trunc("day", "order_date").cast("timestamp_ntz").alias("day")
+    return rows.groupBy("product_id", day).agg(F.sum(F.col("sign") * F.col("quantity")).cast("bigint").alias("units"))
 
 
+def monthly_report_from_days(days: DataFrame, tables: Frames) -> DataFrame:
+    months = days.groupBy("product_id", F.date_trunc("month", "day").cast("timestamp_ntz").alias("sales_month")).agg(F.sum("units").alias("units"))
+    return monthly_report_from_units(months, tables["product"], tables["category"])

@@ -1,8 +1,6 @@
 """Starting and finishing Structured Streaming jobs.
 
-Keyed results are kept in a ``BatchLog``: each micro-batch writes the rows it changed into its own
-folder, so a batch that is repeated after a failure replaces what it wrote before. State that a batch
-reads is taken only from earlier batches, for the same reason.
+What a micro-batch adds or changes is written with ``functions.batches``, so a repeated batch replaces what it wrote before.
 """
 
 from __future__ import annotations
@@ -16,15 +14,11 @@ OnBatch = Callable[[DataFrame, int], None]
 
 
 def file_stream(
-    spark: SparkSession, folder: str, schema, files: str = "*.parquet", files_per_batch: int = 1000
+    spark: SparkSession, folder: str, schema, files: str = "*.parquet", files_per_batch: int | None = 1000
 ) -> DataFrame:
-    """Rows of the parquet files that appear in ``folder``, oldest file first."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", files)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+    """Rows of the parquet files that appear in ``folder``, oldest file first; without ``files_per_batch`` a batch takes all there are."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
 
 
 def start(changes: DataFrame, on_batch: OnBatch, checkpoint: str, mode: str = "append", every: str | None = None) -> StreamingQuery:
