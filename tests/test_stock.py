@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seed import frame
+from tradepost.operators import stock
 from tradepost.operators.stock import allocate_stock, remaining_stock
 
 
@@ -79,3 +80,40 @@ def test_every_request_keeps_a_status(spark):
     got = {r.seq: (r.accepted, r.status) for r in allocate_stock(wanted, goods).collect()}
     refused = {2: (False, "UNKNOWN_PRODUCT"), 3: (False, "NO_PRODUCT"), 4: (False, "NO_QUANTITY"), 5: (False, "EXCEEDS_STOCK")}
     assert got == {1: (True, "DONE"), **refused}
+
+
+@pytest.mark.parametrize("fold_rows", [7, 20, 90])
+@pytest.mark.parametrize("negative", [False, True])
+def test_long_queues_by_tables_at_any_chunk_size(spark, limits, monkeypatch, fold_rows, negative):
+    limits.fold_rows = fold_rows
+    guessed = stock._guessed
+
+    def few(rows):
+        assert rows.groupBy("product_id").count().filter(F.col("count") > fold_rows).isEmpty()  # no long queue in one task
+        return guessed(rows)
+
+    monkeypatch.setattr(stock, "_guessed", few)
+    monkeypatch.setattr(stock, "ROUNDS", 1)  # bulk decisions leave long queues
+    requests = some_requests(8, n=300, negative=negative, largest=9)
+    assert run(spark, requests, STOCK) == greedy(requests, STOCK)
+
+
+def test_wide_stock_starts_from_guesses(spark, limits):
+    limits.fold_rows, limits.stock_values = 20, 10
+    requests = some_requests(9, n=200, negative=True)
+    assert run(spark, requests, STOCK) == greedy(requests, STOCK)
+
+
+def test_negative_opening_stock(spark, limits):
+    limits.fold_rows = 5
+    rng = random.Random(4)
+    requests = [(i, 1, rng.randint(-4, 6)) for i in range(80)]
+    assert run(spark, requests, {1: -3}) == greedy(requests, {1: -3})
+
+
+def test_chunks_are_walked_side_by_side(spark, limits):
+    limits.fold_rows = 50
+    rows = frame(spark, [(i, 1, i % 7, 20) for i in range(2000)], "seq bigint, product_id bigint, quantity int, _stock bigint")
+    walked = stock._walk_long(rows)
+    sizes = [r["count"] for r in walked.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 500  # hashing puts several chunks of 25 or so together, never the queue

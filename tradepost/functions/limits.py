@@ -13,6 +13,8 @@ class Limits:
     window_rows: int = 1_000_000
     # Rows of one key that one task may fold in order, and rows of one fold task.
     fold_rows: int = 1_000_000
+    # Values that the stock of a long queue may take for its chunks to be walked by tables.
+    stock_values: int = 4096
 
 
 LIMITS = Limits()

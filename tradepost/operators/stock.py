@@ -3,6 +3,10 @@ and is skipped otherwise, and the next one is tried."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,7 +55,7 @@ def allocate_stock(requests: DataFrame, stock: DataFrame) -> DataFrame:
 
     Every request is kept: one for no product, an unknown product or no quantity is not accepted, takes no stock and says so
     in its status. Products whose stock covers all requests need only a sum. Of the others, very long queues are first
-    decided in bulk as far as that goes, and what is left is walked through in order.
+    decided in bulk as far as that goes, and what is left is walked through in order, long queues in chunks side by side.
     """
     on_hand = stock.select("product_id", F.col("stock_count").cast("bigint").alias("_stock"), F.lit(True).alias("_product"))
     judged = keyed_join(requests, on_hand, "product_id", "left").withColumn(
@@ -95,10 +99,81 @@ def _decide(rows: DataFrame) -> DataFrame:
     bulk = (F.col("_n") > LIMITS.fold_rows) & (F.col("_returns") == 0)
     decided, rest = _shorten(cut(scarce.filter(bulk).drop("_n", "_returns")))
     undecided = scarce.filter(~bulk).drop("_n", "_returns").unionByName(rest)
-    walked = fold_in_order(
-        undecided, "product_id", ("seq",), [State(("product_id",), "_stock", "_left")], _READS, _WRITES, _Greedy
-    ).drop("_left")
-    return easy.unionByName(decided).unionByName(walked)
+    return easy.unionByName(decided).unionByName(_walk_long(cut(undecided)))
+
+
+def _walk_long(rows: DataFrame) -> DataFrame:
+    """``rows`` plus ``accepted`` for queues of any length. A long queue whose stock stays within few values is walked chunk by chunk,
+    see ``_by_tables``; of one with large returns, chunks start from guesses."""
+    stock = F.max("_stock")
+    most = F.greatest(stock, F.lit(0)) + F.sum(F.greatest(-F.col("quantity").cast("bigint"), F.lit(0)))
+    queues = cut(
+        rows.groupBy("product_id").agg(
+            F.count(F.lit(1)).alias("_n"), F.least(stock, F.lit(0)).alias("_low"), most.alias("_most"), stock.alias("_opening")
+        )
+    )
+    long = F.col("_n") > LIMITS.fold_rows
+    narrow = F.col("_most") - F.col("_low") < LIMITS.stock_values
+    tabled = queues.filter(long & narrow)
+    if tabled.isEmpty():
+        return _guessed(rows)
+    return _guessed(rows.join(tabled, "product_id", "left_anti")).unionByName(_by_tables(keyed_join(rows, tabled, "product_id"), rows.columns))
+
+
+def _guessed(rows: DataFrame) -> DataFrame:
+    state = [State(("product_id",), "_stock", "_left")]
+    return fold_in_order(rows, "product_id", ("seq",), state, _READS, _WRITES, _Greedy).drop("_left")
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each chunk of a queue, whose rows come in order: the stock after it for every stock from ``_low`` to ``_most`` before it."""
+    chunk, left = None, np.empty(0, np.int64)
+
+    def table() -> pa.RecordBatch:
+        arrays = [pa.array([chunk[0]], pa.int64()), pa.array([chunk[1]], pa.int32()), pa.array([left.tolist()], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, names=["product_id", CHUNK, "_after"])
+
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("product_id", CHUNK, "quantity", "_low", "_most"))
+        for product, number, quantity, low, most in zip(*columns):
+            if (product, number) != chunk:
+                if chunk:
+                    yield table()
+                chunk, left = (product, number), np.arange(low, most + 1)
+            np.subtract(left, quantity, out=left, where=left >= quantity)
+    if chunk:
+        yield table()
+
+
+def _by_tables(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` (with ``_n``, ``_low``, ``_most`` and ``_opening`` of their queue) plus ``accepted``.
+
+    Queues are cut into chunks of consecutive requests. What a chunk makes of any stock it may find is a table of few values, made for all
+    chunks side by side. The tables of a queue, one row per chunk, are read one after another from the opening stock on, which
+    gives the stock each chunk really finds; then all chunks are walked side by side. No queue is ever in one task.
+    """
+    n = rows.count()
+    chunks = -(-2 * n // LIMITS.fold_rows)
+    # The bounds come from a sample: write the split out so that every later use sees the same one.
+    dealt = cut(rows.repartitionByRange(chunks, "product_id", "seq").withColumn(CHUNK, F.spark_partition_id()))
+    ordered = dealt.repartition(chunks, CHUNK).sortWithinPartitions(CHUNK, "product_id", "seq")
+    tables = ordered.select("product_id", CHUNK, F.col("quantity").cast("bigint").alias("quantity"), "_low", "_most").mapInArrow(
+        _tables, f"product_id bigint, {CHUNK} int, _after array<bigint>"
+    )
+    opening = dealt.select("product_id", "_low", "_opening").distinct()
+    queue = F.array_sort(F.collect_list(F.struct(CHUNK, "_after"))).alias("_queue")
+    lined = tables.groupBy("product_id").agg(queue).join(opening, "product_id")
+    none = F.array().cast(f"array<struct<{CHUNK}: int, _stock: bigint>>")
+
+    def next_chunk(seen, chunk):
+        found = F.struct(chunk[CHUNK].alias(CHUNK), seen["now"].alias("_stock"))
+        after = F.element_at(chunk["_after"], (seen["now"] - F.col("_low") + 1).cast("int"))
+        return F.struct(after.alias("now"), F.concat(seen["starts"], F.array(found)).alias("starts"))
+
+    seen = F.aggregate("_queue", F.struct(F.col("_opening").alias("now"), none.alias("starts")), next_chunk)
+    starts = cut(lined.select("product_id", F.explode(seen["starts"]).alias("s")).select("product_id", "s.*"))
+    found = dealt.drop("_stock").join(starts, ["product_id", CHUNK])
+    return fold(found.select(*columns, CHUNK), "product_id", ("seq",), _READS, _WRITES, _Greedy, n).drop(CHUNK, "_left")
 
 
 def _walk(rows: DataFrame, n: int) -> DataFrame:
