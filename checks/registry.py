@@ -72,6 +72,42 @@ def ingest_rejects(spark, folder):
     return _ingested(spark, folder)[1].select("seq", F.array_join("reasons", ",").alias("reasons"))
 
 
+# Table: (id columns, a column that refers to another table).
+SEEDED = {
+    "customer": (("customer_id",), None),
+    "address": (("address_id",), "customer_id"),
+    "category": (("category_id",), None),
+    "product": (("product_id",), "category_id"),
+    "favorite_list": (("favorite_id",), "customer_id"),
+    "favorite_list_items": (("favorite_id", "product_id"), "product_id"),
+    "order": (("order_id",), "customer_id"),
+    "payment": (("payment_id",), "order_id"),
+    "order_items": (("order_id", "product_id"), "product_id"),
+    "discount_code": (("discount_id",), "order_id"),
+    "gift_card": (("gift_id",), "order_id"),
+}
+
+
+def _seed(spark, folder, name):
+    t, (ids, reference) = shop_tables(configure(spark), folder), SEEDED[name]
+    raw = ask.raw_seed(t[name], ids[0], ids, None if reference == ids[-1] else reference)
+    return ingest(raw, TABLES[name], None, {n: t[n] for n in t if n != name})
+
+
+for _name in SEEDED:
+    QUERIES[f"ingest_{_name}"] = lambda spark, folder, name=_name: _seed(spark, folder, name)[0].select(*LEFT[name])
+
+
+@registered
+def ingest_seed_rejects(spark, folder):
+    """Why rows of which table were refused."""
+    found = []
+    for name in SEEDED:
+        reasons = _seed(spark, folder, name)[1].select(F.lit(name).alias("table_name"), F.explode("reasons").alias("reason"))
+        found.append(reasons.groupBy("table_name", "reason").agg(F.count(F.lit(1)).alias("n_rows")))
+    return reduce(DataFrame.unionByName, found)
+
+
 @registered
 def view_catalog(spark, folder):
     names = catalog.register_views(shop_tables(spark, folder))
@@ -341,6 +377,54 @@ def apply_gift_cards_codes(spark, folder):
     return _gifts(spark, folder).codes.select("gift_id", "code", "status", "order_id")
 
 
+def _every_third(spark, folder, letters):
+    return ask.code_requests(spark, folder, letters).filter("order_id % 3 = 1")
+
+
+@registered
+def apply_discounts_unrequested(spark, folder):
+    """Only every third order asks, so most usable codes stay usable."""
+    t = shop_tables(spark, folder)
+    return promos.apply_discounts(t["order"], ask.more_discounts(spark, folder), _every_third(spark, folder, ("D", "E"))).codes
+
+
+@registered
+def apply_gift_cards_unrequested(spark, folder):
+    t = shop_tables(spark, folder)
+    used = promos.apply_gift_cards(t["order"], ask.more_gift_cards(spark, folder), _every_third(spark, folder, ("G", "H"))).codes
+    return used.select("gift_id", "code", "status", "order_id")
+
+
+#: Columns by which rows of a table are compared.
+LEFT = {
+    "customer": ["customer_id", "first_name", "last_name", "username"],
+    "address": ["address_id", "customer_id"],
+    "category": ["category_id", "name"],
+    "product": ["product_id", "name", "price", "stock_count", "category_id"],
+    "review": ["review_id", "rating", "customer_id", "product_id"],
+    "favorite_list": ["favorite_id", "customer_id"],
+    "favorite_list_items": ["favorite_id", "product_id", "quantity"],
+    "order": ["order_id", "order_date", "total_price", "status", "customer_id"],
+    "payment": ["payment_id", "amount", "payment_date", "order_id", "customer_id"],
+    "order_items": ["order_id", "product_id", "quantity"],
+    "discount_code": ["discount_id", "code", "percentage", "status", "order_id"],
+    "gift_card": ["gift_id", "code", "value", "status", "order_id"],
+}
+
+
+def _left_rows(name):
+    def left(spark, folder):
+        t = shop_tables(configure(spark), folder)
+        return cascade.delete_customers(t, ask.leaving_usernames(spark, folder))[name].select(*LEFT[name])
+
+    QUERIES[f"delete_customers_{name}"] = left
+
+
+for _name in LEFT:
+    if _name not in ("category", "product"):
+        _left_rows(_name)
+
+
 @registered
 def delete_customers(spark, folder):
     t = shop_tables(spark, folder)
@@ -378,6 +462,21 @@ over_tables(
 )
 
 
+@registered
+def wallet_ledger_status(spark, folder):
+    """Orders divisible by 9 and customers divisible by 10 are not known."""
+    t = shop_tables(spark, folder)
+    known = t.replace(order=t["order"].filter("order_id % 9 <> 0"), customer=t["customer"].filter("customer_id % 10 <> 0"))
+    return wallet.payments_with_status(known).drop("payment_date")
+
+
+@registered
+def payment_progress_status(spark, folder):
+    """Orders divisible by 9 are not known."""
+    t = shop_tables(spark, folder)
+    return derive.payment_progress(t.replace(order=t["order"].filter("order_id % 9 <> 0")))
+
+
 @registered
 def wallet_ledger_shared(spark, folder):
     t = shop_tables(spark, folder)

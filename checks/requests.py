@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradepost.sources import Tables
+from tradepost.functions.scan import numbered
 from tradepost.sources.adapter import event_product, orders, raw_table, shop_tables
 
 AS_OF = "2002-01-01"
@@ -332,3 +334,20 @@ def raw_reviews(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+
+
+def raw_seed(table: DataFrame, key: str, id_columns: tuple[str, ...], reference: str | None) -> DataFrame:
+    """``table`` as loose text, every tenth row given twice, and every fifteenth once more with a new id and, in turn, an id that is no
+    number or a ``reference`` to nothing."""
+    far = 1_000_000_000
+    rows = numbered(table.withColumn("_ids", F.struct(*id_columns)), "_ids", "seq")
+    text = [F.col(f.name).cast("string").alias(f.name) if not isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in table.schema.fields]
+    rows = rows.select("seq", *text)
+    again = rows.filter("seq % 10 = 0").withColumn("seq", F.col("seq") + far)
+    broken = rows.filter("seq % 15 = 0").withColumn("seq", F.col("seq") + 2 * far)
+    wrong = F.concat(F.lit("x"), F.col(key))
+    if reference:
+        odd = F.col("seq") % 2 == 0
+        broken = broken.withColumn(reference, F.when(odd, F.lit(str(9 * far))).otherwise(F.col(reference)))
+        wrong = F.when(odd, (F.col(key).cast("bigint") + 3 * far).cast("string")).otherwise(wrong)
+    return rows.unionByName(again).unionByName(broken.withColumn(key, wrong))

@@ -656,6 +656,8 @@ add(
 )
 add("apply_gift_cards_log", "select seq, order_id, code, status from judged", _gift_tries)
 add("apply_gift_cards_codes", "select gift_id, code, false as status, order_id from all_gifts")
+for _name, _id in (("discounts", "discount_id, code, status and order_id % 3 <> 1 as status, order_id, percentage"), ("gifts", "gift_id, code, status and order_id % 3 <> 1 as status, order_id")):
+    add(f"apply_{'discounts' if _name == 'discounts' else 'gift_cards'}_unrequested", f"select {_id} from all_{_name}")
 _left = {
     "customer": ("shop_customer", "customer_id", "customer_id not in (from leaving)"),
     "address": ("shop_address", "address_id", "customer_id not in (from leaving)"),
@@ -672,6 +674,45 @@ _left = {
     "discount_code": ("shop_discount", "discount_id", "order_id not in (select order_id from shop_order where customer_id in (from leaving))"),
     "gift_card": ("shop_gift", "gift_id", "order_id not in (select order_id from shop_order where customer_id in (from leaving))"),
 }
+_columns = {
+    "customer": "customer_id, first_name, last_name, username",
+    "address": "address_id, customer_id",
+    "category": "category_id, name",
+    "product": "product_id, name, price, stock_count, category_id",
+    "review": "review_id, rating, customer_id, product_id",
+    "favorite_list": "favorite_id, customer_id",
+    "favorite_list_items": "favorite_id, product_id, quantity",
+    "order": "order_id, order_date, total_price, status, customer_id",
+    "payment": "payment_id, amount, payment_date, order_id, customer_id",
+    "order_items": "order_id, product_id, quantity",
+    "discount_code": "discount_id, code, percentage, status, order_id",
+    "gift_card": "gift_id, code, value, status, order_id",
+}
+for _name, (_source, _key, _rule) in _left.items():
+    add(f"delete_customers_{_name}", f"select {_columns[_name]} from {_source} where {_rule}")
+# Table: (source, id columns, a column that refers to another table and is spoilt, unique columns besides).
+_seeds = {
+    "customer": ("shop_customer", "customer_id", None, "username"),
+    "address": ("shop_address", "address_id", "customer_id", None),
+    "category": ("shop_category", "category_id", None, None),
+    "product": ("shop_product", "product_id", "category_id", None),
+    "favorite_list": ("shop_list", "favorite_id", "customer_id", "customer_id"),
+    "favorite_list_items": ("shop_list_items", "favorite_id, product_id", None, None),
+    "order": ("shop_order", "order_id", "customer_id", None),
+    "payment": ("shop_payment", "payment_id", "order_id", None),
+    "order_items": ("shop_items", "order_id, product_id", None, None),
+    "discount_code": ("shop_discount", "discount_id", "order_id", "code"),
+    "gift_card": ("shop_gift", "gift_id", "order_id", "code"),
+}
+_refused = []
+for _name, (_source, _ids, _reference, _other) in _seeds.items():
+    add(f"ingest_{_name}", f"select {_columns[_name]} from {_source}")
+    _counts = [(f"unique:{_key.replace(', ', ',')}", "count(*) // 10") for _key in (_ids, _other) if _key]
+    _counts.append((f"type:{_ids.split(',')[0]}", "count(*) // 15 - count(*) // 30" if _reference else "count(*) // 15"))
+    if _reference:
+        _counts.append((f"foreign_key:{_reference}", "count(*) // 30"))
+    _refused += [f"select '{_name}' as table_name, '{_reason}' as reason, {_n} as n_rows from {_source} having {_n} > 0" for _reason, _n in _counts]
+add("ingest_seed_rejects", " union all ".join(_refused))
 add(
     "delete_customers",
     " union all ".join(
@@ -706,6 +747,14 @@ _progress = f"""
                cast(sum(p.amount) over (partition by p.order_id order by p.payment_id) as {MONEY}) as paid_so_far
         from shop_payment p join shop_order o using (order_id))"""
 add("payment_progress", "select *, paid_so_far >= total_price as covers from progress", _progress)
+add(
+    "payment_progress_status",
+    f"""select p.payment_id, p.order_id, p.amount, case when p.order_id % 9 <> 0 then o.total_price end as total_price,
+              cast(sum(p.amount) over (partition by p.order_id order by p.payment_id) as {MONEY}) as paid_so_far,
+              coalesce(sum(p.amount) over (partition by p.order_id order by p.payment_id)
+                       >= case when p.order_id % 9 <> 0 then o.total_price end, false) as covers
+       from shop_payment p join shop_order o using (order_id)""",
+)
 add(
     "payment_settlement",
     f"""select order_id, total_price, cast(sum(amount) as {MONEY}) as total_paid, bool_or(paid_so_far >= total_price) as paid,
@@ -743,6 +792,19 @@ add(
        from walk""",
     _wallet,
 )
+_known = _wallet.replace("where o.customer_id = p.customer_id", "where o.customer_id = p.customer_id and o.order_id % 9 <> 0 and c.customer_id % 10 <> 0")
+add(
+    "wallet_ledger_status",
+    f"""select payment_id, customer_id, order_id, order_paid, cast(stored / 100.0 as {MONEY}) as stored_amount,
+              cast(wallet_after / 100.0 as {MONEY}) as wallet_after, cast(sums[order_id] / 100.0 as {MONEY}) as paid_sum,
+              case when order_paid then 'PAID' else 'OPEN' end as status
+       from walk
+       union all
+       select payment_id, customer_id, order_id, false, cast(amount as {MONEY}), cast(null as {MONEY}), cast(null as {MONEY}),
+              case when order_id % 9 = 0 then 'UNKNOWN_ORDER' else 'UNKNOWN_CUSTOMER' end
+       from shop_payment where order_id % 9 = 0 or customer_id % 10 = 0""",
+    _known,
+)
 add("settled_orders", "select order_id, status or order_id in (select order_id from walk where order_paid) as status from shop_order", _wallet)
 add(
     "settled_wallets",

@@ -6,6 +6,7 @@ import pytest
 
 from seed import frame
 from tradepost.functions.groups import linked_groups
+from tradepost.operators import derive, wallet
 from tradepost.operators.wallet import settle_with_wallet, wallet_ledger
 
 START = datetime(2024, 1, 1)
@@ -115,3 +116,13 @@ def test_linked_groups(spark):
     links = frame(spark, chain + star + [(7, 5), (5, 6)], "a bigint, b bigint")
     got = {r.node: r.group for r in linked_groups(links).collect()}
     assert got == {**dict.fromkeys(range(10, 41), 10), **dict.fromkeys(range(100, 140), 100), 5: 5, 6: 5, 7: 5}
+
+
+def test_every_payment_keeps_a_row(spark):
+    payments = [(1, START, 1, 10, 500), (2, START, 1, 99, 700), (3, START, 77, 10, 300), (4, START, 1, 10, 600)]
+    t = tables(spark, payments, {10: 1000}, {1: 0})
+    got = {r.payment_id: (r.status, r.order_paid, r.stored_amount) for r in wallet.payments_with_status(t).collect()}
+    assert {p: s for p, (s, *_) in got.items()} == {1: "OPEN", 2: "UNKNOWN_ORDER", 3: "UNKNOWN_CUSTOMER", 4: "PAID"}
+    assert got[2][1:] == (False, 7) and got[3][1:] == (False, 3)
+    progress = {r.payment_id: (r.total_price, r.covers) for r in derive.payment_progress(t).collect()}
+    assert progress[2] == (None, False) and len(progress) == 4

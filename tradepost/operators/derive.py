@@ -63,23 +63,25 @@ def check_order_addresses(orders: DataFrame, address: DataFrame) -> DataFrame:
 
 
 def payment_progress(tables: Frames) -> DataFrame:
-    """Payments with the running paid sum of their order in arrival order (payment id)."""
+    """Payments with the running paid sum of their order in arrival order (payment id). A payment of an order that is not known (yet)
+    is kept, without a total, and covers nothing."""
     orders = tables["order"].select("order_id", "total_price")
-    paid = keyed_join(tables["payment"].select("payment_id", "order_id", "amount"), orders, "order_id")
-    running = running_total(paid, ["order_id"], "payment_id", F.col("amount").cast(MONEY_SUM), "paid_so_far")
-    return running.select(
+    # The largest order is looked for among the payments alone, before anything is joined.
+    payments = tables["payment"].select("payment_id", "order_id", "amount")
+    running = running_total(payments, ["order_id"], "payment_id", F.col("amount").cast(MONEY_SUM), "paid_so_far")
+    return keyed_join(running, orders, "order_id", "left").select(
         "payment_id",
         "order_id",
         "amount",
         "total_price",
         F.col("paid_so_far").cast(MONEY_SUM).alias("paid_so_far"),
-        (F.col("paid_so_far") >= F.col("total_price")).alias("covers"),
+        F.coalesce(F.col("paid_so_far") >= F.col("total_price"), F.lit(False)).alias("covers"),
     )
 
 
 def payment_settlement(tables: Frames) -> DataFrame:
     """Per order with payments, without wallets: the payment that first covers the total, what it left
-    over, and all that was paid."""
+    over, and all that was paid. An order that is not known has no total and is not paid."""
     reached = F.when(F.col("covers"), F.struct("payment_id", "paid_so_far"))
     return (
         payment_progress(tables)

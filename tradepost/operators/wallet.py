@@ -92,6 +92,27 @@ def payer_groups(payment: DataFrame) -> DataFrame | None:
     return linked_groups(links).select(F.col("node").alias("customer_id"), F.col("group").alias("_group"))
 
 
+def payments_with_status(tables: Frames) -> DataFrame:
+    """``wallet_ledger`` plus ``status``, with a row for every payment: PAID if the order is paid by it, OPEN if not, and UNKNOWN_ORDER or
+    UNKNOWN_CUSTOMER for one whose order or payer is not there, which settles nothing."""
+    payment = tables["payment"]
+    known_order = tables["order"].select("order_id", F.lit(True).alias("_order"))
+    known_payer = tables["customer"].select("customer_id", F.lit(True).alias("_payer"))
+    marked = keyed_join(keyed_join(payment, known_order, "order_id", "left"), known_payer, "customer_id", "left")
+    status = F.when(F.col("_order").isNull(), "UNKNOWN_ORDER").when(F.col("_payer").isNull(), "UNKNOWN_CUSTOMER")
+    marked = cut(marked.withColumn("status", status).select(*payment.columns, "status"))
+    settled = wallet_ledger({**tables, "payment": marked.filter("status is null").drop("status")})
+    settled = settled.withColumn("status", F.when(F.col("order_paid"), "PAID").otherwise("OPEN"))
+    told = {
+        "order_paid": F.lit(False),
+        "stored_amount": F.col("amount").cast(settled.schema["stored_amount"].dataType),
+        "paid_sum": F.lit(None).cast(settled.schema["paid_sum"].dataType),
+        "wallet_after": F.lit(None).cast(settled.schema["wallet_after"].dataType),
+    }
+    refused = marked.filter("status is not null").withColumns(told)
+    return settled.unionByName(refused.select(settled.columns))
+
+
 def wallet_ledger(tables: Frames, paid_before: DataFrame | None = None) -> DataFrame:
     """One row per payment: stored amount, whether the order is paid by it, the order's paid sum and the
     payer's wallet afterwards. ``paid_before`` (order_id, paid) carries on from an earlier batch."""
