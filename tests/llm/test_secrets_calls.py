@@ -111,6 +111,43 @@ def test_levels_are_longest_paths(spark):
     assert got == {**{f"k{i}": i for i in range(60)}, "a": 0, "b": 1, "c": 2, "d": 3, "x": None, "y": None, "z": None, "self": None}
 
 
+def test_one_identifier_in_two_chats(spark):
+    calls = spark.createDataFrame([(i, "call_1", "f", '{"a":"x"}', ["call_0"]) for i in (1, 2, None)] + [(2, "call_0", "f", "{}", None)], CALLS)
+    results = spark.createDataFrame([(1, "call_1", "one"), (2, "call_1", "two"), (None, "call_1", "none"), (3, "call_1", "lost")], "scope int, call_id string, content string")
+    schemas = spark.createDataFrame([], tool_calls.SCHEMA)
+    got = tool_calls.tool_calls(calls, results, schemas, "scope").collect()
+    assert {(r["scope"], r["call_id"]): (r["linked"], r["n_results"], r["result"], r["level"]) for r in got} == {
+        (1, "call_1"): ("ok", 1, "one", 0), (2, "call_1"): ("ok", 1, "two", 1), (None, "call_1"): ("ok", 1, "none", 0), (2, "call_0"): ("missing", 0, None, 0),
+    }
+    assert [r["content"] for r in tool_calls.orphans(results, calls, "scope").collect()] == ["lost"]
+    assert {r["n_results"] for r in tool_calls.tool_calls(calls, results, schemas).collect()} == {4, 0}
+
+
+def test_a_small_circle_among_many_calls_takes_few_rounds(spark, monkeypatch):
+    chain = [(1, f"k{i}", "f", "{}", [f"k{i - 1}"] if i else []) for i in range(900)]
+    circle = [(1, "x", "f", "{}", ["y", "z"]), (1, "y", "f", "{}", ["x"]), (1, "z", "f", "{}", ["k50"]), (1, "w", "f", "{}", ["y"]), (1, "v", "f", "{}", ["z"])]
+    rounds, cut = [], tool_calls.Scratch.cut
+    monkeypatch.setattr(tool_calls.Scratch, "cut", lambda self, df: rounds.append("to" in df.columns) or cut(self, df))
+    got = {r["call_id"]: r["level"] for r in run(spark, chain + circle, [])}
+    assert got == {**{f"k{i}": i for i in range(900)}, "z": 51, "v": 52, "x": None, "y": None, "w": None}
+    assert sum(rounds) < 15
+
+
+def test_columns_with_names_of_new_ones_are_replaced(spark):
+    columns = ", ".join(f"{n} string" for n in (*tool_calls.NEW, "_level", "extra"))
+    calls = spark.createDataFrame([(1, "c", "f", '{"a":"x"}', ["c0"], *"abcdefghi"), (1, "c0", "f", '{"a":"x"}', None, *"abcdefghi")], f"{CALLS}, {columns}")
+    results = spark.createDataFrame([("c", "r", "q")], RESULTS)
+    got = tool_calls.tool_calls(calls, results, spark.createDataFrame([], tool_calls.SCHEMA)).collect()
+    assert {r["call_id"]: (r["result"], r["n_results"], r["linked"], r["level"], r["extra"]) for r in got} == {"c": ("r", 1, "ok", 1, "i"), "c0": (None, 0, "missing", 0, "i")}
+    assert all(r["valid"] is False and r["problems"] == ["no such tool"] and r["json"].startswith("{") for r in got)
+
+
+def test_long_texts_and_ties(spark):
+    long = "x" * 300_000
+    got = run(spark, [(1, "c", "f", json.dumps({"a": long}), None)] * 2, [("c", long, ""), ("c", long, "")])
+    assert [(r["linked"], r["result"] == long, r["problems"]) for r in got] == [("repeated", True, ["a: out of range"])] * 2
+
+
 def test_no_calls(spark):
     assert run(spark, [], [("c", "r", "")]) == []
     assert run(spark, [(1, "c", "f", "{}", None)], [], [])[0]["problems"] == ["no such tool"]

@@ -68,10 +68,10 @@ TOOLS = [
 
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of conversations: user and system turns call a tool, an assistant turn is the result of the turn before
-    it, and a call depends on the calls one and two turns before it."""
+    it, and a call depends on the calls one and two turns before it. Identifiers are the turns' numbers, the same in every conversation."""
 
     def ident(back: int):
-        return F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn") - back)
+        return F.concat(F.lit("call-"), F.col("turn") - back)
 
     asks = turns.filter(F.col("role").isin("user", "system")).select(
         "conv_id",
@@ -91,10 +91,10 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     calls, results = conversation_calls(table(spark, folder, "conversations"))
     schemas = spark.createDataFrame(TOOLS, tool_calls.SCHEMA)
-    linked = tool_calls.tool_calls(calls, results, schemas).select(
+    linked = tool_calls.tool_calls(calls, results, schemas, "conv_id").select(
         "conv_id", "turn", "call_id", "linked", "n_results", "level", F.array_join("problems", "; ").alias("problems"), "valid", "json"
     )
-    lost = tool_calls.orphans(results, calls).select("conv_id", "turn", "call_id", F.lit("orphan").alias("linked"))
+    lost = tool_calls.orphans(results, calls, "conv_id").select("conv_id", "turn", "call_id", F.lit("orphan").alias("linked"))
     return linked.unionByName(lost, allowMissingColumns=True)
 
 

@@ -90,11 +90,11 @@ from documents left join texts using (doc_id)
 
 SQL["op6_chat_formatting"] = """
 with calls as (
-  select *, 'c' || conv_id || '-' || turn as call_id, if(role = 'user', 'ask', 'configure') as tool
+  select *, 'call-' || turn as call_id, if(role = 'user', 'ask', 'configure') as tool
   from conversations where role in ('user', 'system')
 ),
 results as (
-  select conv_id, turn, 'c' || conv_id || '-' || (turn - 1) as call_id, text as content from conversations where role = 'assistant'
+  select conv_id, turn, 'call-' || (turn - 1) as call_id, text as content from conversations where role = 'assistant'
 ),
 ids as (select distinct conv_id, turn from calls),
 chains as (
@@ -104,7 +104,7 @@ chains as (
   )
 ),
 levels as (select conv_id, turn, row_number() over (partition by conv_id, chain order by turn) - 1 as level from chains),
-answers as (select call_id, min(content) as result, count(*) as n from results group by call_id),
+answers as (select conv_id, call_id, min(content) as result, count(*) as n from results group by conv_id, call_id),
 judged as (
   select *, concat_ws('; ',
     case when text is null then 'prompt: missing'
@@ -115,9 +115,10 @@ judged as (
 select conv_id, turn, call_id, case when coalesce(n, 0) = 0 then 'missing' when n = 1 then 'ok' else 'repeated' end as linked,
   coalesce(n, 0) as n_results, level, problems, problems = '' as valid,
   cast(json_object('arguments', json_object('prompt', text, 'turn', turn), 'id', call_id, 'level', level, 'name', tool, 'result', result) as varchar) as json
-from judged left join levels using (conv_id, turn) left join answers using (call_id)
+from judged left join levels using (conv_id, turn) left join answers using (conv_id, call_id)
 union all
-select conv_id, turn, call_id, 'orphan', null, null, null, null, null from results where call_id not in (select call_id from calls)
+select conv_id, turn, call_id, 'orphan', null, null, null, null, null from results
+where not exists (select 1 from calls where calls.conv_id = results.conv_id and calls.call_id = results.call_id)
 """
 
 SQL["op13_warc"] = """
