@@ -52,35 +52,47 @@ def orphans(results: DataFrame, calls: DataFrame, scope: str | None = None) -> D
     return results.withColumn(_CALL, _identity(results, scope)).join(known, _CALL, "left_anti").drop(_CALL)
 
 
+#: Rounds in which levels may settle before shortcuts are made anew.
+ROUNDS = 8
+
+
 def levels(edges: DataFrame, limit: int, temp: Scratch) -> DataFrame:
     """(call, level) for every call that occurs in edges (call, needs); levels of ``limit``, the number of calls, or more can't be. A
     call on a circle, or behind one, gets null.
 
-    In each round every call points to the dependency that has the highest level so far, and shortcuts of 2, 4, 8, ... steps along
-    these pointers, which are paths too, raise levels further; a chain of n calls settles in about log n rounds. On a
-    circle levels outgrow all others, the pointers go around it, and the shortcuts reach ``limit`` at once.
+    Every call points to the dependency that has the highest level so far, and shortcuts of 2, 4, 8, ... steps along these pointers
+    are paths too, so the longest-path rule may use them; a chain of n calls then settles in about log n rounds. What has not settled
+    after some rounds gets shortcuts by the levels found until then: on a circle levels outgrow all others, the pointers go around
+    it, and the shortcuts reach ``limit`` at once.
     """
     edges = temp.cut(edges.distinct())
     nodes = edges.select("call").union(edges.select(F.col("needs").alias("call"))).distinct()
-    now = temp.cut(nodes.withColumn("level", F.lit(0).cast("bigint")))
+    now, rounds = temp.cut(nodes.withColumn("level", F.lit(0).cast("bigint"))), 0
     while True:
         below = now.select(F.col("call").alias("needs"), F.col("level").alias("low"))
-        highest = F.max(F.struct("low", "needs")).alias("top")
-        jump = temp.cut(edges.join(below, "needs").groupBy("call").agg(highest).select("call", "top.needs", (F.col("top.low") + 1).alias("new")))
-        steps, length = jump.select("call", "new"), 1
-        while length < limit:
-            onward = jump.select(F.col("call").alias("needs"), F.col("needs").alias("far"))
-            jump = temp.cut(jump.join(onward, "needs").select("call", F.col("far").alias("needs")))
-            if jump.isEmpty():
-                break
-            length *= 2
-            steps = steps.unionByName(jump.join(below, "needs").select("call", (F.col("low") + length).alias("new")))
-        found = steps.groupBy("call").agg(F.max("new").alias("new"))
+        if rounds % ROUNDS == 0:
+            steps = temp.cut(edges.withColumn("w", F.lit(1).cast("bigint")).unionByName(_shortcuts(edges, below, limit, temp)))
+        found = steps.join(below, "needs").groupBy("call").agg(F.max(F.col("low") + F.col("w")).alias("new"))
         raised = F.least(F.greatest("level", F.coalesce("new", F.lit(0))), F.lit(limit))
         step = temp.cut(now.join(found, "call", "left").select("call", raised.alias("to"), "level"))
         if step.filter("to > level").isEmpty():
             return now.select("call", F.when(F.col("level") < limit, F.col("level")).alias("level"))
-        now = step.select("call", F.col("to").alias("level"))
+        now, rounds = step.select("call", F.col("to").alias("level")), rounds + 1
+
+
+def _shortcuts(edges: DataFrame, below: DataFrame, limit: int, temp: Scratch) -> DataFrame:
+    """(call, needs, w): where 2, 4, 8, ... steps lead, each to the dependency of the highest level."""
+    highest = F.max(F.struct("low", "needs")).alias("top")
+    jump = temp.cut(edges.join(below, "needs").groupBy("call").agg(highest).select("call", "top.needs"))
+    steps, length = jump.limit(0).withColumn("w", F.lit(1).cast("bigint")), 1
+    while length < limit:
+        onward = jump.select(F.col("call").alias("needs"), F.col("needs").alias("far"))
+        jump = temp.cut(jump.join(onward, "needs").select("call", F.col("far").alias("needs")))
+        if jump.isEmpty():
+            break
+        length *= 2
+        steps = steps.unionByName(jump.withColumn("w", F.lit(length).cast("bigint")))
+    return steps
 
 
 def canonical(json: Column) -> Column:
