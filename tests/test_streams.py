@@ -121,6 +121,19 @@ def test_stock_gate_in_any_order_within_the_delay(spark, folder):
     assert held[-1] <= len(stock) + 1 < max(held)  # nothing waits at the end
 
 
+def test_products_share_the_state_of_their_bucket(spark, folder):
+    rng = random.Random(5)
+    requests = [(i, rng.randint(1, 300), rng.randint(1, 9)) for i in range(1, 1200)]
+    stock = {p: rng.randint(0, 30) for p in range(1, 301)}
+    events, end = gate_events(spark, requests, list(stock.items()))
+    stream = arrive(spark, folder, events, end)
+    query = jobs.stream_stock_gate(stream, f"{folder}/out", f"{folder}/cp", "2000 seconds", buckets=4)
+    finish(query)
+    judged = spark.read.parquet(f"{folder}/out").collect()
+    assert {(r.seq, r.product_id): r.accepted for r in judged} == greedy(requests, stock)[0]
+    assert max(entries(query)) <= 4 * 6  # and not some for each of 300 products
+
+
 def test_late_requests_are_judged_and_marked(spark, folder):
     events, end = gate_events(spark, [(10, 1, 3), (100, 1, 3), (50, 1, 4), (5, 1, 2)], [(1, 8)])
     one = lambda *ids: events.filter(((F.col("kind") == "stock") & F.lit(10 in ids)) | ((F.col("kind") == "row") & F.col("id").isin(*ids)))
@@ -185,6 +198,20 @@ def test_paid_orders_leave_the_state(spark, folder):
     assert held[-1] == 1 < max(held)  # the wallet is all that is left
 
 
+def test_accounts_share_the_state_of_their_bucket(spark, folder):
+    schema = "account bigint, kind string, at timestamp, id bigint, customer_id bigint, order_id bigint, cents bigint"
+    day = datetime(2024, 1, 1)
+    # Orders of one number in every account; a payment meets its own account's order and wallet only.
+    facts = [x for a in range(200) for x in ((a, "wallet", day, 0, 7, 0, 100 * a), (a, "order", day, 0, 7, 1, 10050))]
+    paid = [(a, "row", day + timedelta(hours=1 + a % 3), a, 7, 1, 5000) for a in range(200)]
+    stream = arrive(spark, folder, frame(spark, facts + paid, schema), frame(spark, [(None, "clock", day + timedelta(days=99), 0, 0, 0, 0)], schema))
+    query = jobs.stream_wallet_ledger(stream, f"{folder}/out", f"{folder}/cp", "1 day", buckets=4)
+    finish(query)
+    got = {r.payment_id: (r.order_paid, r.wallet_after) for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got == {a: (a > 50, D(100 * a - 5050) / 100 if a > 50 else D(0)) for a in range(200)}
+    assert max(entries(query)) <= 4 * 7  # and not some for each of 200 accounts
+
+
 def test_a_payment_before_its_order(spark, folder):
     schema = "account bigint, kind string, at timestamp, id bigint, customer_id bigint, order_id bigint, cents bigint"
     at = lambda hours: datetime(2024, 1, 1) + timedelta(hours=hours)
