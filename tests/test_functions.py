@@ -69,3 +69,19 @@ def test_month_range_at_the_end_of_a_year(spark):
 def test_extended_array(spark):
     df = frame(spark, [(["a"], ["b"]), (None, ["b"]), (["a"], None)], "x array<string>, y array<string>")
     assert [r[0] for r in df.select(columns.extended("x", "y")).collect()] == [["a", "b"], ["b"], ["a"]]
+
+
+def test_merged_partitions_stay_small(spark):
+    # Packed keys take some five bytes a row in a shuffle and over a hundred in a task.
+    assert spark._jsparkSession.sessionState().conf().getConfString("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+
+
+def test_ingested_rows_are_judged_once(spark):
+    from tradepost.sources import TABLES
+    from tradepost.sources.ingest import ingest
+
+    drawn = F.udf(lambda _: str(random.randint(1, 40)), "string").asNondeterministic()
+    raw = spark.range(300).select(F.col("id").alias("seq"), drawn("id").alias("category_id"), F.lit("x").alias("name"))
+    accepted, rejected = ingest(raw, TABLES["category"])
+    kept = [r.category_id for r in accepted.collect()]
+    assert len(kept) == len(set(kept)) <= 40 and len(kept) + rejected.count() == 300
