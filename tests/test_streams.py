@@ -315,3 +315,14 @@ def test_repeated_batch_changes_nothing(spark, shop, folder):
         # A lost checkpoint makes the stream start over; a batch then replaces what it held.
         finish(jobs.stream_totals(stream, lambda: shop, "order_id", f"{folder}/out", f"{folder}/cp{run}"))
     assert rows(jobs.with_totals(shop["order"], shop["product"], f"{folder}/out", "order_id")) == rows(derive.order_totals(shop))
+
+
+def test_arriving_rows_are_made_once(spark, folder):
+    from checks.streams import _arriving
+
+    drawn = F.udf(lambda _: random.randint(0, 10**6), "bigint").asNondeterministic()
+    rows_ = spark.range(3000).select("id", drawn("id").alias("key"))
+    start = lambda rows: append_to(rows, f"{folder}/out", f"{folder}/cp")
+    _arriving(spark, rows_, F.col("key"), start)
+    # Drawn anew for each third, some rows would come twice or not at all.
+    assert sorted(r.id for r in spark.read.parquet(f"{folder}/out").collect()) == list(range(3000))
