@@ -173,3 +173,10 @@ def test_query_equals_plain_python(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = QUERIES["op12_token_alignment"](spark, SF)
     assert collected(got, "doc_id") == plain(rows)
+
+
+def test_only_aligned_rows_are_stored(make_docs, odd_rows, monkeypatch):
+    purposes, cut = [], alignment.Scratch.cut
+    monkeypatch.setattr(alignment.Scratch, "cut", lambda self, df, *a: purposes.append(self.path.rsplit("/", 1)[-1].rsplit("-", 1)[0]) or cut(self, df, *a))
+    assert alignment.aligned(make_docs(odd_rows), BOTH).count() == len(odd_rows)
+    assert purposes == ["alignment"]

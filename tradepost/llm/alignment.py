@@ -467,22 +467,19 @@ def aligned(
     stored = keep.cut(stored)
     rows = stored.filter("nth is not null").select("chunk", "nth", *own, *(f"_d_{n}" for n in derive))
     chunks = stored.filter("nth is null")
-    with Scratch(docs.sparkSession, "alignment-pairs") as temp:
-        counts = temp.cut(pair_counts(chunks))
-        pairs = chunks.select("chunk", F.posexplode(F.arrays_zip("pair_a", "pair_b")).alias("place", "p"))
-        pairs = pairs.select("chunk", "place", F.col("p.pair_a").alias("a"), F.col("p.pair_b").alias("b"))
-        found = (
-            pairs.join(counts, ["a", "b"])
-            .groupBy("chunk")  # a chunk has a bounded number of pairs
-            .agg(F.collect_list(F.struct("place", F.col("n").alias("count"), F.col("best").cast("bigint").alias("best"))).alias("found"))
-        )
-        known = chunks.select("chunk", "uses").join(found, "chunk", "left")
-        empty = F.array().cast("array<struct<place: int, count: bigint, best: bigint>>")
-        scores = keep.cut(
-            known.select("chunk", "uses", F.coalesce("found", empty).alias("found")).mapInArrow(
-                _score, "chunk bigint, nth int, n_best bigint, count_sum bigint"
-            )
-        )
+    pairs = chunks.select("chunk", F.posexplode(F.arrays_zip("pair_a", "pair_b")).alias("place", "p"))
+    pairs = pairs.select("chunk", "place", F.col("p.pair_a").alias("a"), F.col("p.pair_b").alias("b"))
+    # Counts and scores are read once each, so they are not stored: a file costs a task several small processes where Hadoop has no native code.
+    found = (
+        pairs.join(pair_counts(chunks), ["a", "b"])
+        .groupBy("chunk")  # a chunk has a bounded number of pairs
+        .agg(F.collect_list(F.struct("place", F.col("n").alias("count"), F.col("best").cast("bigint").alias("best"))).alias("found"))
+    )
+    known = chunks.select("chunk", "uses").join(found, "chunk", "left")
+    empty = F.array().cast("array<struct<place: int, count: bigint, best: bigint>>")
+    scores = known.select("chunk", "uses", F.coalesce("found", empty).alias("found")).mapInArrow(
+        _score, "chunk bigint, nth int, n_best bigint, count_sum bigint"
+    )
     return rows.join(scores, ["chunk", "nth"]).select(
         *own, "n_best", "count_sum", *(F.col(f"_d_{n}").alias(n) for n in derive)
     )
