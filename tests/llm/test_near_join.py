@@ -113,3 +113,11 @@ def test_contracted_edges_connect_the_same(spark):
 
     assert groups(few) == groups(edges)
     assert len(few) < 1.6 * 2000 < len(set(edges)) / 4
+
+
+def test_each_table_is_stored_once(make_docs, odd_rows, monkeypatch):
+    stored, cut = [], near_join.Scratch.cut
+    monkeypatch.setattr(near_join.Scratch, "cut", lambda self, df, *a: stored.append(tuple(df.columns)) or cut(self, df, *a))
+    assert near_join.near_duplicates(make_docs(odd_rows)).count() == len(odd_rows)
+    # Groups of linked nodes are stored where they are found, sums of links with the nodes.
+    assert not {("node", "area"), ("node", "class"), ("node", "links")} & set(stored) and len(stored) == 7

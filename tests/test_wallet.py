@@ -1,10 +1,12 @@
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
 
 from seed import frame
+from tradepost.functions import durable
 from tradepost.functions.groups import linked_groups
 from tradepost.operators import derive, wallet
 from tradepost.operators.wallet import settle_with_wallet, wallet_ledger
@@ -118,6 +120,22 @@ def test_linked_groups(spark):
     assert got == {**dict.fromkeys(range(10, 41), 10), **dict.fromkeys(range(100, 140), 100), 5: 5, 6: 5, 7: 5}
 
 
+def test_few_links_are_stored_in_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(durable, "shared_folder", lambda _: str(tmp_path))
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        links = frame(spark, [(i, i + 1) for i in range(300)], "a bigint, b bigint")
+        assert {r.group for r in linked_groups(links).collect()} == {0}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+    files = Counter(p.parent for p in tmp_path.rglob("part-*.parquet"))
+    assert len(files) > 3 and sorted(files.values())[-2] <= spark.sparkContext.defaultParallelism
+
+
 def test_every_payment_keeps_a_row(spark):
     payments = [(1, START, 1, 10, 500), (2, START, 1, 99, 700), (3, START, 77, 10, 300), (4, START, 1, 10, 600)]
     t = tables(spark, payments, {10: 1000}, {1: 0})

@@ -285,7 +285,7 @@ def _near(rows: DataFrame, settings: Settings) -> DataFrame:
         keys = sketched.select("row", "keys").join(owners, "row").select(F.col("row").alias("node"), F.explode("keys").alias("key"))
         shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
         meets = keys.join(shared, "key").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-        areas = temp.cut(linked_groups(contracted(meets)).select("node", F.col("group").alias("area")))
+        areas = linked_groups(contracted(meets)).select("node", F.col("group").alias("area"))  # stored already
         counts = areas.groupBy("area").agg(F.ceil(F.count(F.lit(1)) / settings.block).alias("blocks"))
         dealt = (
             areas.join(counts, "area")
@@ -304,9 +304,9 @@ def _near(rows: DataFrame, settings: Settings) -> DataFrame:
             .sortWithinPartitions("area", "i", "j")
             .mapInArrow(_verify(settings), "node bigint, links bigint, root bigint")
         )
-        links = keep.cut(met.groupBy("node").agg(F.sum("links").alias("links")))
+        links = met.groupBy("node").agg(F.sum("links").alias("links"))
         star = met.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
-        classes = keep.cut(linked_groups(contracted(star)).select("node", F.col("group").alias("class")))
+        classes = linked_groups(contracted(star)).select("node", F.col("group").alias("class"))
         nodes = (
             sets.join(links, "node", "left")
             .join(classes, "node", "left")
