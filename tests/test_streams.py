@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from test_wallet import tables as wallet_tables
 from tradepost.operators import derive, sales
 from tradepost.streaming import jobs
 from tradepost.streaming.runner import append_to, file_stream, finish
+from tradepost.streaming.stateful import NONE, _squeezed, _unsqueezed
 
 D = Decimal
 
@@ -309,6 +311,87 @@ def test_items_wait_for_their_orders(spark, shop, folder):
     assert rows(spark.read.parquet(f"{folder}/out").select(items.columns)) == rows(items)
 
 
+KNOWN = "order_id bigint, product_id bigint, quantity bigint, sign int, order_date timestamp, known_at timestamp"
+
+
+def dated(stream, delay):
+    return jobs.dated_items(stream.filter("product_id is not null").drop("order_date"), stream.filter("product_id is null"), delay)
+
+
+def wanted(all_rows):
+    items, orders = all_rows.filter("product_id is not null").drop("order_date"), all_rows.filter("product_id is null").select("order_id", "order_date")
+    return rows(items.join(orders, "order_id").select("order_id", "product_id", "quantity", "sign", "order_date"))
+
+
+def test_waiting_items_are_held_in_few_entries(spark, folder):
+    at = F.timestamp_seconds(F.col("order_id") + 10**9).alias("known_at")
+    order = (F.col("id") % 600).alias("order_id")
+    items = spark.range(12000).select(order, (F.col("id") + 1).alias("product_id"), F.lit(2).cast("bigint").alias("quantity"), F.lit(1).alias("sign"))
+    items = items.select("*", F.lit(None).cast("timestamp").alias("order_date"), at)
+    orders = spark.range(500).select(F.col("id").alias("order_id"), F.timestamp_seconds("id").alias("order_date")).select("*", at)
+    whole = items.unionByName(orders, allowMissingColumns=True)
+    parts = [whole.filter(x) for x in ("product_id % 3 = 0 or order_id % 2 = 0 and product_id is null", "product_id % 3 = 1", "product_id % 3 = 2 or order_id % 2 = 1 and product_id is null")]
+    query = append_to(dated(arrive(spark, folder, *parts), "1 hour"), f"{folder}/out", f"{folder}/cp")
+    finish(query)
+    assert rows(spark.read.parquet(f"{folder}/out")) == wanted(whole)
+    assert max(entries(query)) < 6 * 512  # 12,500 rows wait
+
+
+def test_waiting_rows_are_compared_in_pieces(spark, folder, monkeypatch):
+    """One order holds most rows, and a bucket is compared and held 50 rows at a time."""
+    make = jobs.Dated
+    monkeypatch.setattr(jobs, "Dated", lambda **how: make(50, **how))
+    draw = random.Random(4)
+    made = []
+    for _ in range(900):
+        order, at = draw.choice([7, 7, 7, draw.randrange(40), None]), datetime(2020, 1, 1) + timedelta(seconds=draw.randrange(600))
+        is_item = draw.random() < 0.8
+        made.append((order, draw.randrange(9) if is_item else None, draw.choice([None, 5, -2]), draw.choice([1, -1]), None if is_item or draw.random() < 0.1 else at, None if draw.random() < 0.02 else at))
+    parts = [spark.createDataFrame(made[i : i + 300], KNOWN) for i in (0, 300, 600)]
+    for some in parts:
+        finish(append_to(dated(arrive(spark, folder, some), "1 hour"), f"{folder}/out", f"{folder}/cp"))
+    assert rows(spark.read.parquet(f"{folder}/out")) == wanted(spark.createDataFrame(made, KNOWN).filter("known_at is not null"))
+
+
+def test_rows_wait_no_longer_than_the_delay(spark, folder):
+    day = datetime(2020, 1, 1)
+
+    def both(*rows_):
+        return spark.createDataFrame([(o, p, 1, 1, None if p else day, day + timedelta(minutes=m)) for o, p, m in rows_], KNOWN)
+
+    held = []
+    for some in (
+        both((1, 5, 0), (2, 6, 0), (2, None, 10)),  # order 1 does not come in time
+        both((3, 7, 119), (3, None, 121), (2, 8, 119)),  # product 8 comes too long after order 2 to be its item
+        both((8, 9, 60 * 24), (8, None, 60 * 24)),
+        both((1, None, 30), (3, 4, 120), (9, 9, 60 * 25), (9, None, 60 * 25)),  # behind the watermark
+    ):
+        query = append_to(dated(arrive(spark, folder, some), "1 hour"), f"{folder}/out", f"{folder}/cp")
+        finish(query)
+        held.append(spark.read.format("statestore").option("stateVarName", "chunks").load(f"{folder}/cp").count())
+    assert sorted((r.order_id, r.product_id) for r in spark.read.parquet(f"{folder}/out").collect()) == [(2, 6), (3, 7), (8, 9), (9, 9)]
+    assert held[2] == 2  # only the rows of order 8
+
+
+def test_numbers_of_held_rows_are_kept_exactly():
+    top = np.iinfo("int64").max
+    for held in ([[5, 5, 5]] * 7, [[-top - 1, top, 0]] * 7, [[0, 1, 2], [9, 300, 70000], [8, 299, 69999], [top, 1, -5], [NONE, 4, 2], [7, 7, 7], [1, -1, 1 << 32]]):
+        held = np.array(held, dtype="int64")
+        assert (_unsqueezed(_squeezed(held)) == held).all()
+
+
+def test_parts_are_made_once(spark, folder):
+    from checks.streams import _in_parts
+
+    drawn = F.udf(lambda _: random.randint(0, 3), "int").asNondeterministic()
+    start = lambda rows: append_to(rows, f"{folder}/out", f"{folder}/cp")
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    _in_parts(spark, spark.range(3000).select("id", drawn("id").alias("part")).filter("part <> 1"), 3, start, [spark.range(3000, 3002)])
+    assert sorted(r.id for r in spark.read.parquet(f"{folder}/out").collect() if r.id >= 3000) == [3000, 3001]
+    seen = [r.id for r in spark.read.parquet(f"{folder}/out").collect()]
+    assert len(seen) == len(set(seen)) and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
 def test_repeated_batch_changes_nothing(spark, shop, folder):
     stream = arrive(spark, folder, shop["order_items"])
     for run in range(2):
